@@ -1,12 +1,16 @@
 """BPE encoding and decoding by tree concatenation.
 
-Texts up to ``piece_chars`` are encoded where they are read, word by word:
-white space always ends a token of the word vocabulary, so each distinct word
-of a batch is encoded once and looked up afterwards.  A longer text is halved
-again and again without looking for white space; the pieces are dealt over the
-cluster and encoded in parallel, and the tree is folded back by re-encoding a
-growing window around each join until its tokens agree with the left half and
-with the right half.
+A text is halved again and again, without looking for white space, into pieces
+of at most ``piece_chars``; the pieces are encoded each for itself, and the
+tree is folded back by re-encoding a growing window around each join until its
+tokens agree with those of the left half and with those of the right half.
+Pieces of a text of more than ``spread_chars`` are dealt over the cluster and
+encoded in parallel; smaller texts are folded by the task that reads them, and
+nothing is shuffled.
+
+In a piece, white space always ends a token of the word vocabulary, so each
+distinct word is encoded once and remembered; runs too long to be remembered
+are encoded token by token, and joins inside them are found between tokens.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
 string; repeated rows are encoded each for itself; other columns pass through
@@ -15,11 +19,12 @@ untouched, and a column of theirs that has the name of a result is replaced.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +32,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Texts of more characters are encoded in pieces.
+#: Characters of a piece, the leaf of a tree.
 PIECE_CHARS = 16_384
+#: Texts of more characters are encoded by several tasks.
+SPREAD_CHARS = 1 << 20
 #: Characters that a seam keeps from the edges of what was encoded; no added
 #: token and no composed character is as long.
 MARGIN = 32
 #: Equal neighbouring tokens that make a seam inside one unsplit run.
 AGREE = 8
-#: Distinct words that one Python worker remembers.
-REMEMBERED = 400_000
+#: Distinct words that one Python worker remembers, and characters of the longest.
+REMEMBERED, LONGEST = 300_000, 64
 #: Texts that are encoded at once.
-BATCH = 500
+BATCH = 200
 
 _BREAK = re.compile(r"[\x20\x09-\x0D]+")
+_CONTROLS = re.compile(r"[\x1c-\x1f]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @cache
 def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -53,38 +63,66 @@ def tokenizer(path: str):
 
 
 @cache
-def _memory(path: str) -> dict:
-    return {}
+def _memory(path: str) -> dict[str, bytes]:
+    return {"": b""}
 
 
-def encode_words(path: str, texts: list[str]) -> list[list[tuple[int, ...]]]:
-    """The ids of each word of each text; distinct words are encoded once."""
-    t, known = tokenizer(path), _memory(path)
-    split = [_BREAK.split(x) for x in texts]
-    new = list({w for ws in split for w in ws if w and w not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list({w for ws in split for w in ws if w})
-    for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False)):
-        known[w] = tuple(e.ids)
-    known[""] = ()
-    return [[known[w] for w in ws] for ws in split]
+def split_words(text: str) -> list[str]:
+    """The text at white space, which no token crosses."""
+    # str.split is faster, but takes four control characters for white space
+    return _BREAK.split(text) if _CONTROLS.search(text) else text.split()
 
 
-#: A token: start and end in the text, id, and whether it begins a word.
-Token = tuple[int, int, int, bool]
+def _plain(word: str) -> tuple[str, str]:
+    """A word as one in lower case and the full stop or comma that ended it.
 
+    Lower-casing ASCII and cutting off a mark after a letter change no token;
+    added tokens, which hold ``<|``, are left alone.
+    """
+    if "<|" in word:
+        return word, ""
+    base, mark = (word[:-1], word[-1]) if word[-1] in ".," and "a" <= word[-2:-1].lower() < "\u0250" and word[-2].isalpha() else (word, "")
+    return (base.lower() if base.isascii() else base), mark
 
-def encode_piece(path: str, text: str, at: int = 0) -> list[Token]:
-    e = tokenizer(path).encode(text, add_special_tokens=False)
-    before, out = None, []
-    for (a, b), i, w in zip(e.offsets, e.ids, e.word_ids):
-        out.append((a + at, b + at, i, w != before))
-        before = w
+
+def learn_words(path: str, words: set[str]) -> dict[str, bytes]:
+    """Encode the words that aren't known yet; ids are kept as bytes of int32."""
+    known = _memory(path)
+    new = words - known.keys()
+    if len(known) + len(new) > REMEMBERED:
+        kept = {w: known[w] for w in words & known.keys() if len(w) <= LONGEST}
+        known.clear()
+        known.update(kept)
+        known[""] = b""
+    parts = {w: _plain(w) for w in new}
+    bases = list({x for both in parts.values() for x in both} - known.keys())
+    found = tokenizer(path).encode_batch_fast(bases, add_special_tokens=False)
+    known.update((w, array("i", e.ids).tobytes()) for w, e in zip(bases, found))
+    known.update((w, known[x] + known[mark]) for w, (x, mark) in parts.items())
+    return known
+
+
+#: What seams are found between: start and end in the text, ids as bytes, and
+#: whether it begins a word.  Mostly a word; in long runs a single token.
+Unit = tuple[int, int, bytes, bool]
+
+
+def encode_piece(path: str, text: str, at: int = 0) -> list[Unit]:
+    spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
+    known = learn_words(path, {w for _, _, w in spans if len(w) <= LONGEST})
+    out: list[Unit] = []
+    for a, b, w in spans:
+        if len(w) <= LONGEST:
+            out.append((a + at, b + at, known[w], True))
+            continue
+        e, before = tokenizer(path).encode(w, add_special_tokens=False), None
+        for (x, y), i, n in zip(e.offsets, e.ids, e.word_ids):
+            out.append((a + at + x, a + at + y, np.int32(i).tobytes(), n != before))
+            before = n
     return out
 
 
-def _seam(one: list[Token], two: list[Token], low: int, high: int) -> tuple[int, int] | None:
+def _seam(one: list[Unit], two: list[Unit], low: int, high: int) -> tuple[int, int] | None:
     """Places in both lists from which they go on alike, between low and high."""
     starts = {}
     for k, x in enumerate(one):
@@ -105,15 +143,14 @@ def _seam(one: list[Token], two: list[Token], low: int, high: int) -> tuple[int,
     return None
 
 
-def _near(tokens: list[Token], low: int, high: int) -> tuple[int, list[Token]]:
-    """The tokens that lie in [low, high), and the place of the first."""
-    a = bisect_left(tokens, (low,))
-    b = bisect_left(tokens, (high,))
-    return a, tokens[a:b]
+def _near(units: list[Unit], low: int, high: int) -> tuple[int, list[Unit]]:
+    """The units that begin in [low, high), and the place of the first."""
+    a = bisect_left(units, (low,))
+    return a, units[a : bisect_left(units, (high,))]
 
 
-def join(path: str, text: str, left: list[Token], right: list[Token], a: int, m: int, b: int) -> list[Token]:
-    """The tokens of text[a:b] from those of text[a:m] and of text[m:b]."""
+def join(path: str, text: str, left: list[Unit], right: list[Unit], a: int, m: int, b: int) -> list[Unit]:
+    """The units of text[a:b] from those of text[a:m] and of text[m:b]."""
     width = 4 * MARGIN
     while True:
         low, high = max(a, m - width), min(b, m + width)
@@ -146,51 +183,62 @@ def cuts(n: int, piece_chars: int = PIECE_CHARS) -> list[tuple[int, int]]:
     return done
 
 
-def fold(path: str, text: str, leaves: dict[int, list[Token]], piece_chars: int) -> list[Token]:
-    """Fold the encoded leaves up the same tree of halves."""
+def fold(path: str, text: str, leaves: dict[int, list[Unit]], piece_chars: int) -> bytes:
+    """Fold the encoded leaves up the same tree of halves; ids as bytes."""
 
-    def part(a: int, b: int) -> list[Token]:
+    def part(a: int, b: int) -> list[Unit]:
         if b - a <= piece_chars:
             return leaves[a]
         m = (a + b) // 2
         return join(path, text, part(a, m), part(m, b), a, m, b)
 
-    return part(0, len(text))
+    return b"".join([x[2] for x in part(0, len(text))])
 
 
-def encode_tree(path: str, text: str, piece_chars: int = PIECE_CHARS) -> list[int]:
-    """All of it in one place, for tests and for small uses."""
+def encode_tree(path: str, text: str, piece_chars: int = PIECE_CHARS) -> bytes:
     leaves = {a: encode_piece(path, text[a:b], a) for a, b in cuts(len(text), piece_chars)}
-    return [x[2] for x in fold(path, text, leaves, piece_chars)]
+    return fold(path, text, leaves, piece_chars)
+
+
+def encode_texts(path: str, texts: list[str], piece_chars: int = PIECE_CHARS) -> list[bytes]:
+    """The ids of each text, as bytes of int32."""
+    split = [split_words(x) if len(x) <= piece_chars else None for x in texts]
+    known = learn_words(path, {w for ws in split if ws for w in ws})
+    done = [b"".join([known[w] for w in ws]) if ws is not None else None for ws in split]
+    return [encode_tree(path, x, piece_chars) if found is None else found for x, found in zip(texts, done)]
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", piece_chars: int = PIECE_CHARS) -> DataFrame:
+def bpe_encode(
+    docs: DataFrame, path: str, text: str = "text", piece_chars: int = PIECE_CHARS, spread_chars: int = SPREAD_CHARS
+) -> DataFrame:
     """``docs`` with ``ids``, the token ids of each whole text."""
     rows = docs.drop("ids")
     size = F.length(F.coalesce(F.col(text), F.lit("")))
-    small = rows.where(size <= piece_chars).mapInArrow(_encode_rows(path, text), _schema(rows, "ids array<int>"))
-    return small.unionByName(_encode_long(rows.where(size > piece_chars), path, text, piece_chars))
+    small = rows.where(size <= spread_chars).mapInArrow(_encode_rows(path, text, piece_chars), _schema(rows, "ids array<int>"))
+    return small.unionByName(_encode_spread(rows.where(size > spread_chars), path, text, piece_chars))
 
 
 def _schema(df: DataFrame, more: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
-def _encode_rows(path: str, text: str):
+def _lists(found: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def _encode_rows(path: str, text: str, piece_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(a, BATCH)
-                found = encode_words(path, [x or "" for x in batch[text].to_pylist()])
-                flat = [np.fromiter(chain.from_iterable(ws), np.int32) for ws in found]
-                ends = np.cumsum([0, *map(len, flat)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(ends, np.concatenate(flat))
-                yield batch.append_column("ids", ids)
+                found = encode_texts(path, [x or "" for x in batch[text].to_pylist()], piece_chars)
+                yield batch.append_column("ids", _lists(found))
 
     return run
 
 
-def _encode_long(rows: DataFrame, path: str, text: str, piece_chars: int) -> DataFrame:
+def _encode_spread(rows: DataFrame, path: str, text: str, piece_chars: int) -> DataFrame:
     """Pieces are rows of their own, dealt by their text's number and their place."""
     keyed = rows.withColumn("__key", F.monotonically_increasing_id())
     out = _schema(rows, "ids array<int>")
@@ -205,17 +253,17 @@ def _encode_long(rows: DataFrame, path: str, text: str, piece_chars: int) -> Dat
                 )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints, flags = pa.list_(pa.int32()), pa.list_(pa.bool_())
         for batch in batches:
             found = [encode_piece(path, x, a) for x, a in zip(batch["piece"].to_pylist(), batch["at"].to_pylist())]
-            columns = [pa.array([[t[k] for t in ts] for ts in found], flags if k == 3 else ints) for k in range(4)]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+            columns = [pa.array([[t[k] for t in ts] for ts in found], pa.list_(kind)) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch["__key"], batch["at"], *columns], ["__key", "at", "starts", "ends", "tokens", "firsts"])
 
     leaves = (
         keyed.select("__key", F.col(text).alias("__text"))
         .mapInArrow(pieces, "__key long, at int, piece string")
         .repartition("__key", "at")
-        .mapInArrow(encode, "__key long, at int, starts array<int>, ends array<int>, tokens array<int>, firsts array<boolean>")
+        .mapInArrow(encode, "__key long, at int, starts array<int>, ends array<int>, tokens array<binary>, firsts array<boolean>")
     )
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -223,8 +271,8 @@ def _encode_long(rows: DataFrame, path: str, text: str, piece_chars: int) -> Dat
             at: list(zip(*lists))
             for at, *lists in zip(*(right[c].to_pylist() for c in ("at", "starts", "ends", "tokens", "firsts")))
         }
-        ids = [x[2] for x in fold(path, left[text][0].as_py(), found, piece_chars)]
-        return left.drop_columns(["__key"]).append_column("ids", pa.array([ids], pa.list_(pa.int32())))
+        ids = _lists([fold(path, left[text][0].as_py(), found, piece_chars)])
+        return left.drop_columns(["__key"]).append_column("ids", ids)
 
     return keyed.groupBy("__key").cogroup(leaves.groupBy("__key")).applyInArrow(together, out)
 
@@ -240,7 +288,7 @@ def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(a, BATCH)
-                texts = t.decode_batch([x.as_py() or [] for x in batch[ids]], skip_special_tokens=False)
+                texts = t.decode_batch([x or [] for x in batch[ids].to_pylist()], skip_special_tokens=False)
                 yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
     rows = tokens.drop("decoded")
