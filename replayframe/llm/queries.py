@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .common import read
 from .html_extract import extract_html
+from .line_templates import drop_lines
+from .mixing import mix
+from .quality_rules import quality
+from .simhash import as_hex, near_duplicates
+from .spotsigs import digest, fingerprints_and_edits, jaccard
+from .substrings import drop_repeats
+from .toxicity import THRESHOLD, learn
 from .url_filters import filter_urls
 
 #: Verdict, host and path of the rules that op9 applies.
@@ -22,11 +29,46 @@ URL_RULES = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = read(spark, sf_dir, "labels").where(~held_out)
+    scored = learn(docs, labels).score(docs)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract_html(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_hex(F.col("__fp")).alias("fingerprint"), "component_id")
+
+
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("__row.doc_id").alias("doc_id"),
+        F.col("__lines").alias("n_lines"),
+        F.col("__dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     if path is None:
         import public_tokenizers
@@ -47,6 +89,34 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints_and_edits(read(spark, sf_dir, "documents"))
+    own, edited, after = F.col("signatures"), F.col("edited_signatures"), F.col("next_signatures")
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        digest(own).alias("fingerprint"),
+        digest(edited).alias("edited_fingerprint"),
+        jaccard(own, edited).alias("near_edited"),
+        jaccard(own, after).alias("near_next"),
+    )
+
+
+OP7_SQL = """
+WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM texts),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS w FROM starts),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM later),
+lists AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM texts),
+kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.k) AS kept FROM words w
+  LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.k = g.k WHERE g.k IS NULL GROUP BY w.doc_id)
+SELECT t.doc_id, len(t.ws)::BIGINT AS n_words, coalesce(len(l.ks), 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN lists l USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
 OP9_SQL = """
 WITH rules(verdict, host, path) AS (VALUES
   ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
@@ -65,9 +135,16 @@ FROM parts LEFT JOIN fit USING (n)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_rules": op2_quality_rules,
     "op3_html_extraction": op3_html_extraction,
+    "op4_mixing": op4_mixing,
+    "op5_simhash": op5_simhash,
+    "op6_line_templates": op6_line_templates,
+    "op7_substrings": op7_substrings,
     "op8_bpe": op8_bpe,
     "op9_url_filters": op9_url_filters,
+    "op10_spotsigs": op10_spotsigs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_substrings": OP7_SQL, "op9_url_filters": OP9_SQL}
