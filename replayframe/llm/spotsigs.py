@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, bind, discard, materialize
+from .common import LAST_ID, bind, materialize
 
 #: Common words of the corpus languages.
 COMMON_WORDS = (
@@ -31,6 +31,8 @@ COMMON_WORDS = (
 #: Content words of a chain, and words in which they must be found.
 CHAIN, REACH = 2, 12
 THRESHOLD = 0.8
+#: Ranges of ids that documents are dealt by: at most so many, of about so many rows if there are enough.
+MOST_RANGES, RANGE_ROWS = 16_384, 4096
 
 
 def spot_signatures(text: Column, anchors: list[str] = COMMON_WORDS, chain: int = CHAIN) -> Column:
@@ -75,7 +77,6 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Equal sets are to be grouped before.  A set joins on its rarest signatures,
     as many as one of them must be in any set over the threshold.
     """
-    band = F.floor(F.log(F.size("signatures").cast("double")) / F.log(F.lit(1 / threshold)))
     rows = sets.where(F.size("signatures") > 0)
     exploded = rows.select("id", F.size("signatures").alias("n"), F.explode("signatures").alias("signature"))
     counts = exploded.groupBy("signature").agg(F.count("*").alias("seen"))
@@ -98,23 +99,26 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
 
 
-def next_in_order(keys: DataFrame) -> DataFrame:
-    """Distinct (id, same) to the same with next_id and next_same: the next smaller one, and
-    after the last the first.  Keys are dealt by ranges, and a table of one row for each range
-    closes the gaps between them."""
-    ordered = keys.repartitionByRange(F.desc("id"), F.desc("same")).withColumn("part", F.spark_partition_id())
-    ordered = materialize(ordered, "ordered")
-    key = F.struct("id", "same")
-    inside = Window.partitionBy("part").orderBy(F.desc("id"), F.desc("same"))
-    starts = ordered.groupBy("part").agg(F.max(key).alias("start"))
-    around = Window.orderBy("part")
-    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    gaps = starts.select("part", F.coalesce(F.lead("start").over(around), F.first("start").over(whole)).alias("after"))
-    met = ordered.withColumn("next", F.lead(key).over(inside)).join(F.broadcast(gaps), "part")  # as many rows as ranges
-    found = F.coalesce("next", "after")
-    out = materialize(met.select("id", "same", found["id"].alias("next_id"), found["same"].alias("next_same")), "next")
-    discard(ordered)
-    return out
+def _ranges(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with ``bucket``, ranges of descending ids of about equal size, and their number.
+
+    Bounds come from quantiles of the ids, at most ``MOST_RANGES`` longs.
+    """
+    spark = rows.sparkSession
+    n = rows.agg(F.count("*")).first()[0]
+    ranges = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS, 1))
+    shares = [k / ranges for k in range(1, ranges)]
+    bounds = sorted(set(rows.agg(F.percentile_approx("id", shares, max(10_000, 4 * ranges))).first()[0] or []))
+    if not bounds:
+        return rows.withColumn("bucket", F.lit(0)), 1
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+
+    def further(low: Column, step: Column) -> Column:
+        at = low + step  # how many bounds are known to lie below the id
+        return F.when((at <= len(bounds)) & (F.get("__bounds", at - 1) < F.col("id")), at).otherwise(low)
+
+    below = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), further)
+    return rows.withColumn("__bounds", F.lit(bounds)).withColumn("bucket", F.lit(len(bounds)) - below).drop("__bounds"), len(bounds) + 1
 
 
 def fingerprints_and_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,7 +126,9 @@ def fingerprints_and_edits(docs: DataFrame, id: str = "doc_id", text: str = "tex
 
     (id, text, edited, signatures, edited_signatures, next_signatures); the
     order is that of descending ids, null ones first and rows of one id by a
-    hash of their text.
+    hash of their text, and after the last comes the first.  Documents are
+    dealt once, by ranges of ids; the first of each range goes to the range
+    before, too, where it follows the last.
     """
     rows = docs.select(
         F.col(id).alias("own"),
@@ -130,21 +136,18 @@ def fingerprints_and_edits(docs: DataFrame, id: str = "doc_id", text: str = "tex
         F.coalesce(F.xxhash64(text), F.lit(0)).alias("same"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    order = next_in_order(rows.select("id", "same").distinct())
-    rows = rows.withColumn("signatures", spot_signatures(F.col("text")))
-    # whoever comes before a document gets its start and its signatures
-    before = order.select(F.col("next_id").alias("id"), F.col("next_same").alias("same"), F.col("id").alias("to_id"), F.col("same").alias("to_same"))
-    lengths = docs.select(F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("to_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("to_same"), F.floor(F.length(F.coalesce(F.col(text), F.lit(""))) / 3).cast("int").alias("k")).distinct()
-    needed = before.join(lengths, ["to_id", "to_same"])
-    sent = (
-        rows.drop("own")
-        .join(needed, ["id", "same"])
-        .select(F.col("to_id").alias("id"), F.col("to_same").alias("same"), F.struct(F.left("text", F.col("k")).alias("start"), F.col("signatures").alias("signatures")).alias("next"))
-        .groupBy("id", "same")
-        .agg(F.max("next").alias("next"))
-    )
+    rows, ranges = _ranges(rows)
+    firsts = rows.groupBy("bucket").agg(F.max(F.struct("id", "same")).alias("first"))
+    around = Window.orderBy("bucket")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # one row of three numbers for each range, of which there are at most MOST_RANGES
+    firsts = materialize(firsts.select("first.id", "first.same", F.coalesce(F.lag("bucket").over(around), F.last("bucket").over(whole)).alias("to")), "firsts")
+    guests = rows.join(F.broadcast(firsts), ["id", "same"]).select("own", "id", "same", "text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
+    dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests).repartition("bucket").withColumn("signatures", spot_signatures(F.col("text")))
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc("id"), F.desc("same"))
+    met = dealt.withColumn("next", F.lead(F.struct("text", "signatures")).over(order)).where("not guest")
     n = F.length("text")
-    edited = F.concat(F.left("text", n - F.floor(n / 3).cast("int")), F.col("next.start"))
-    return rows.join(sent, ["id", "same"]).select(
-        F.col("own").alias(id), "text", edited.alias("edited"), "signatures", spot_signatures(edited).alias("edited_signatures"), F.col("next.signatures").alias("next_signatures")
-    )
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.left("text", n - third), F.left("next.text", third))
+    found = met.select(F.col("own").alias(id), "text", edited.alias("edited"), "signatures", F.col("next.signatures").alias("next_signatures"))
+    return found.withColumn("edited_signatures", spot_signatures(F.col("edited")))
