@@ -88,14 +88,14 @@ def _plain(word: str) -> tuple[str, str]:
 def learn_words(path: str, words: set[str]) -> dict[str, bytes]:
     """Encode the words that aren't known yet; ids are kept as bytes of int32."""
     known = _memory(path)
-    new = words - known.keys()
+    new = {w for w in words if w not in known}  # a set minus a view would walk all that is known
     if len(known) + len(new) > REMEMBERED:
-        kept = {w: known[w] for w in words & known.keys() if len(w) <= LONGEST}
+        kept = {w: known[w] for w in words if w in known and len(w) <= LONGEST}
         known.clear()
         known.update(kept)
         known[""] = b""
     parts = {w: _plain(w) for w in new}
-    bases = list({x for both in parts.values() for x in both} - known.keys())
+    bases = [x for x in {x for both in parts.values() for x in both} if x not in known]
     found = tokenizer(path).encode_batch_fast(bases, add_special_tokens=False)
     known.update((w, array("i", e.ids).tobytes()) for w, e in zip(bases, found))
     known.update((w, known[x] + known[mark]) for w, (x, mark) in parts.items())
