@@ -58,11 +58,17 @@ def _hash(parts: list[bytes]) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _lines(text: bytes | None) -> Iterator[tuple[int, list[bytes]]]:
-    for k, line in enumerate((text or b"").split(b"\n")):
+def _lines(text: bytes | None) -> Iterator[tuple[bytes, list[bytes]]]:
+    for line in (text or b"").split(b"\n"):
         found = tokens(line)
         if len(found) >= LEAST_TOKENS:
-            yield k, found
+            yield line, found
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
 def _leaf(found: list[bytes]) -> int:
@@ -74,7 +80,7 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     plain = docs.select(F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"), F.col(text).alias("__text"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _chunks(batches):
             same, leaf = [], []
             for s, t in zip(batch["__same"].to_pylist(), batch["__text"].cast(pa.binary()).to_pylist()):
                 found = {_leaf(x) for _, x in _lines(t)}
@@ -86,26 +92,31 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     full = materialize(reached.where(F.col("n") >= least_texts).select("leaf"), "leaves")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["__id", "__same", "leaf", "line", "tokens"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        for batch in batches:
-            rows = []
-            for i, s, t in zip(batch["__id"].to_pylist(), batch["__same"].to_pylist(), batch["__text"].cast(pa.binary()).to_pylist()):
-                seen = {}
-                for _, x in _lines(t):
-                    seen.setdefault(_hash(x), x)
-                rows += [(i, s, _leaf(x), line, [_hash([w]) for w in x]) for line, x in seen.items()]
-            for a in range(0, len(rows), 20_000):
-                part = rows[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kind) for k, kind in enumerate(kinds)], names)
-
-    found = plain.mapInArrow(members, "__id long, __same long, leaf long, line long, tokens array<long>").join(_small(full), "leaf", "left_semi")
+        for batch in _chunks(batches):
+            row, leaf, line, content = [], [], [], []
+            for k, t in enumerate(batch["__text"].cast(pa.binary()).to_pylist()):
+                for x, found in _lines(t):
+                    row.append(k)
+                    leaf.append(_leaf(found))
+                    line.append(_hash(found))
+                    content.append(x)
+            pick = pa.array(row, pa.int32())
+            columns = [batch["__id"].take(pick), batch["__same"].take(pick), pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(content, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "leaf", "line", "content"])
+
+    found = plain.mapInArrow(members, "__id long, __same long, leaf long, line long, content binary").join(_small(full), "leaf", "left_semi")
     found = materialize(found, "members")
     # texts that have a line, the copies of a text as one
     having = materialize(found.groupBy("line", "__same").agg(F.min("__id").alias("__id")), "having")
     each = having.groupBy("line").agg(F.count("*").alias("n"))
-    shapes = found.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
-    lines = materialize(shapes.join(each, "line"), "lines")
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _chunks(batches):
+            split = [[_hash([w]) for w in tokens(x)] for x in batch["content"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["line"], batch["leaf"], pa.array(split, pa.list_(pa.int64()))], ["line", "leaf", "tokens"])
+
+    distinct = found.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("content").alias("content")).select("line", "leaf", "content")
+    lines = materialize(distinct.mapInArrow(shapes, "line long, leaf long, tokens array<long>").join(each, "line"), "lines")
     places = lines.select("leaf", "line", "n", F.size("tokens").alias("length"), F.posexplode("tokens").alias("place", "token"))
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("texts")).where(F.col("texts") >= least_texts).drop("texts")
     templates = materialize(
@@ -132,7 +143,7 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_te
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _chunks(batches):
             kept, n, dropped = [], [], []
             for t, gone in zip(batch["__text"].cast(pa.binary()).to_pylist(), batch["lines"].to_pylist()):
                 lines, gone = (t or b"").split(b"\n"), set(gone or ())
