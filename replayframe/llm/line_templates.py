@@ -153,7 +153,8 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_te
                 dropped.append(len(lines) - len(stay))
             yield pa.RecordBatch.from_arrays([batch["__row"], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], ["__row", "__kept", "__lines", "__dropped"])
 
-    joined = keyed.join(lost, "__same", "left").select("__row", "__text", "lines")
+    # what texts lose grows with the corpus: always merged, never broadcast on an estimate
+    joined = keyed.join(lost.hint("merge"), "__same", "left").select("__row", "__text", "lines")
     return joined.mapInArrow(cut, joined.select("__row").schema.add("__kept", "string").add("__lines", "long").add("__dropped", "long"))
 
 
