@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +23,12 @@ def labels() -> list[str]:
     return ["ZERO", *[f"{a}_TO_{b}" for a, b in zip(edges, edges[1:])], f"GT_{edges[-1]}"]
 
 
-def range_bucket(value: Column, base: Column) -> Column:
-    """The bucket of ``value / base`` for a positive base, by comparing products."""
+def range_bucket(value: Column, base: Column, exact: bool = False) -> Column:
+    """The bucket of ``value / base`` for a positive base, by comparing products; ``exact`` for decimal columns."""
     names = labels()
     out = F.lit(names[-1])
     for bound, name in reversed([*zip(THRESHOLDS, names[1:])]):
-        out = F.when(value <= bound * base, name).otherwise(out)
+        out = F.when(value <= F.lit(Decimal(_text(bound)) if exact else bound) * base, name).otherwise(out)
     return F.when(value <= 0, names[0]).otherwise(out)
 
 
