@@ -28,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -277,6 +278,24 @@ def _encode_spread(rows: DataFrame, path: str, text: str, piece_chars: int) -> D
     return keyed.groupBy("__key").cogroup(leaves.groupBy("__key")).applyInArrow(together, out)
 
 
+@cache
+def _pieces(path: str) -> pa.Array | None:
+    """All tokens by id, where decoding is no more than joining them."""
+    t = tokenizer(path)
+    found = [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]
+    return None if t.decoder is not None or None in found else pa.array(found, pa.large_string())
+
+
+def decode_lists(path: str, lists: pa.Array) -> pa.Array:
+    """The text of each list of ids."""
+    pieces, values = _pieces(path), lists.flatten()
+    bounds = pc.min_max(values)
+    if pieces is None or lists.null_count or values.null_count or (len(values) and not 0 <= bounds["min"].as_py() <= bounds["max"].as_py() < len(pieces)):
+        return pa.array(tokenizer(path).decode_batch([x or [] for x in lists.to_pylist()], skip_special_tokens=False), pa.string())
+    ends = pc.subtract(lists.offsets, lists.offsets[0])
+    return pc.binary_join(pa.ListArray.from_arrays(ends, pieces.take(values)), pa.scalar(" ", pieces.type)).cast(pa.string())
+
+
 def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``tokens`` with ``decoded``, the text of the ids, special tokens included.
 
@@ -284,12 +303,10 @@ def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(a, BATCH)
-                texts = t.decode_batch([x or [] for x in batch[ids].to_pylist()], skip_special_tokens=False)
-                yield batch.append_column("decoded", pa.array(texts, pa.string()))
+                yield batch.append_column("decoded", decode_lists(path, batch[ids]))
 
     rows = tokens.drop("decoded")
     return rows.mapInArrow(run, _schema(rows, "decoded string"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,3 +301,15 @@ def test_crc_matches_zlib(spark):
     r = spark.range(20).select("id", F.crc32(F.col("id").cast("string").cast("binary")).alias("c")).collect()
     assert all(x["c"] == zlib.crc32(str(x["id"]).encode()) for x in r)
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_decode_of_odd_lists():
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    t = bpe.tokenizer(path)
+    kind = pa.list_(pa.int32())
+    for rows in ([[1, 2, 49406], [], [49407, 300]], [[5], None], [[999_999, 5]], [], [[]]):
+        want = t.decode_batch([x or [] for x in rows], skip_special_tokens=False)
+        assert bpe.decode_lists(path, pa.array(rows, kind)).to_pylist() == want
+    part = pa.array([[1], [2, 3], [], [4, 49406]], kind).slice(1, 3)
+    assert bpe.decode_lists(path, part).to_pylist() == t.decode_batch(part.to_pylist(), skip_special_tokens=False)
