@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import buckets, hashing, legality, scoring, text
-from .operators import metrics, sequences, splits, stats
+from .operators import census, metrics, sequences, splits, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -457,3 +457,19 @@ def file_fingerprint(spark, sf_dir):
     line = F.concat(F.col("n_name"), F.lit("\0"), F.col("n_nationkey").cast("string"), F.lit("\n"))
     rows = table(spark, sf_dir, "nation").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("lines"))
     return rows.select("n", F.sha2(F.array_join("lines.line", ""), 256).alias("digest"))
+
+
+@query("""SELECT unnest([0, 1, 2, 3])::INT AS position, unnest(['all', 'english', 'long', 'shouted']) AS step, unnest([a, b, c, d])::BIGINT AS n FROM (
+SELECT count(*) AS a, count(*) FILTER (WHERE lang = 'en') AS b, count(*) FILTER (WHERE lang = 'en' AND n_chars >= 500) AS c,
+count(*) FILTER (WHERE lang = 'en' AND n_chars >= 500 AND contains(text, '!')) AS d FROM documents)""")
+def funnel_census(spark, sf_dir):
+    steps = [("english", F.col("lang") == "en"), ("long", F.col("n_chars") >= 500), ("shouted", F.contains("text", F.lit("!")))]
+    return census.funnel(table(spark, sf_dir, "documents"), steps)
+
+
+@query("""WITH a AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity < 49 OR l_linenumber < 5 GROUP BY ALL)
+SELECT l_returnflag, l_linenumber, coalesce(a.n, 0)::BIGINT AS recorded, coalesce(b.n, 0)::BIGINT AS recomputed FROM a FULL JOIN b USING (l_returnflag, l_linenumber) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def frequency_recount(spark, sf_dir):
+    lines, by = table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"]
+    some = lines.where((F.col("l_quantity") < 49) | (F.col("l_linenumber") < 5))
+    return census.recount(*[x.groupBy(*by).agg(F.count("*").alias("n")) for x in (lines, some)], by)
