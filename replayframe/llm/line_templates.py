@@ -3,10 +3,12 @@
 The tree has a fixed depth: a line goes down by its number of tokens and by its
 ``DEPTH`` leading tokens, where tokens with digits count as the variable ``<*>``.
 In a leaf, a token that fewer than ``least_texts`` texts have at its place is
-variable too; the constant ones make the template of a line, if they are at
-least the share ``SIMILAR`` of it.  A template recurs when ``least_texts``
-different texts have it.  Its lines are dropped from all of them but the one
-with the smallest doc_id, which keeps its own.
+variable too; the constant ones make a template of a line, if they are at
+least the share ``SIMILAR`` of it.  As values of a field reach any number of
+texts in a large corpus, a line has further templates, in which a token is
+constant only from a share of its leaf's texts on (``SHARES``).  A template
+recurs when ``least_texts`` different texts have it.  Its lines are dropped from
+all of them but the one with the smallest doc_id, which keeps its own.
 
 Leaves and templates are counted by aggregation, never gathered; leaves that
 few texts reach are left out before tokens are looked at.  Exact copies of a
@@ -33,6 +35,8 @@ from .common import LAST_ID, discard, materialize
 DEPTH = 3
 LEAST_TOKENS, LEAST_TEXTS = 3, 10
 SIMILAR = 0.5
+#: A line has a template for each of these shares of its leaf's texts that its constant tokens must be in.
+SHARES = (0.0, 0.1, 0.5, 0.9)
 #: Up to so many rows of a few longs, a table goes to all executors; beyond, it is shuffled.
 SMALL = 1_000_000
 VARIABLE = b"<*>"
@@ -118,11 +122,24 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     distinct = found.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("content").alias("content")).select("line", "leaf", "content")
     lines = materialize(distinct.mapInArrow(shapes, "line long, leaf long, tokens array<long>").join(each, "line"), "lines")
     places = lines.select("leaf", "line", "n", F.size("tokens").alias("length"), F.posexplode("tokens").alias("place", "token"))
-    constant = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("texts")).where(F.col("texts") >= least_texts).drop("texts")
-    templates = materialize(
+    constant = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("texts")).where(F.col("texts") >= least_texts)
+    # a place is in every line of its leaf
+    whole = lines.groupBy("leaf").agg(F.sum("n").alias("whole"))
+    constant = constant.join(_small(whole), "leaf").select("leaf", "place", "token", (F.col("texts") / F.col("whole")).alias("share"))
+    shaped = (
         places.join(constant, ["leaf", "place", "token"])
         .groupBy("line")
-        .agg(F.first("length").alias("length"), F.first("leaf").alias("leaf"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("constant"))
+        .agg(F.first("length").alias("length"), F.first("leaf").alias("leaf"), F.sort_array(F.collect_list(F.struct("place", "token", "share"))).alias("found"))
+        .where(F.size("found") >= SIMILAR * F.col("length"))
+    )
+
+    def constants(share: float):
+        return F.transform(F.filter("found", lambda x: x["share"] >= share), lambda x: F.struct(x["place"], x["token"]))
+
+    # lines whose templates are the same by all shares have one
+    options = F.array_distinct(F.array(*[constants(s) for s in SHARES]))
+    templates = materialize(
+        shaped.select("line", "length", "leaf", F.explode(options).alias("constant"))
         .where(F.size("constant") >= SIMILAR * F.col("length"))
         .select("line", F.xxhash64("leaf", "constant").alias("template")),
         "templates",
