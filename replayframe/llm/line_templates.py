@@ -10,9 +10,13 @@ constant only from a share of its leaf's texts on (``SHARES``).  A template
 recurs when ``least_texts`` different texts have it.  Its lines are dropped from
 all of them but the one with the smallest doc_id, which keeps its own.
 
+Lines that are identical but for numbers need fewer texts the longer they are:
+``least_identical``, from ten for four words down to two for twenty.
+
 Leaves and templates are counted by aggregation, never gathered; leaves that
 few texts reach are left out before tokens are looked at.  Exact copies of a
-text count once and lose the same lines, so near-dedup can follow.
+text count once and lose the same lines, so near-dedup can follow; a column
+``same`` can name larger groups of texts that count as one.
 
 Defined results: a null or empty text stays as it is; lines of fewer than
 ``LEAST_TOKENS`` words never go; a text that loses all its lines becomes empty,
@@ -26,7 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, discard, materialize
@@ -34,6 +38,8 @@ from .common import LAST_ID, discard, materialize
 #: Leading tokens that a line goes down by.
 DEPTH = 3
 LEAST_TOKENS, LEAST_TEXTS = 3, 10
+#: Words that all texts of an identical line must hold together, if these are fewer than LEAST_TEXTS.
+IDENTICAL_WORDS = 40
 SIMILAR = 0.5
 #: A line has a template for each of these shares of its leaf's texts that its constant tokens must be in.
 SHARES = (0.0, 0.1, 0.5, 0.9)
@@ -69,6 +75,15 @@ def _lines(text: bytes | None) -> Iterator[tuple[bytes, list[bytes]]]:
             yield line, found
 
 
+def least_identical(n: Column, least_texts: int = LEAST_TEXTS) -> Column:
+    """The texts that an identical line of ``n`` words needs to recur."""
+    return F.least(F.lit(least_texts), F.greatest(F.lit(2), F.ceil(IDENTICAL_WORDS / n))).cast("long")
+
+
+def _same(text: str, same: str | None) -> Column:
+    return F.coalesce(F.col(same) if same else F.xxhash64(text), F.lit(0))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
@@ -79,18 +94,41 @@ def _leaf(found: list[bytes]) -> int:
     return _hash([str(len(found)).encode(), *found[:DEPTH]])
 
 
-def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS) -> DataFrame:
+def _identical(plain: DataFrame, least_texts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(__same, line): the identical lines that enough texts have, without the first of these; and the tables behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _chunks(batches):
+            row, line, n = [], [], []
+            for k, t in enumerate(batch["__text"].cast(pa.binary()).to_pylist()):
+                found = {_hash(x): len(x) for _, x in _lines(t)}
+                row += [k] * len(found)
+                line += found
+                n += found.values()
+            pick = pa.array(row, pa.int32())
+            columns = [batch["__id"].take(pick), batch["__same"].take(pick), pa.array(line, pa.int64()), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "line", "words"])
+
+    each = plain.mapInArrow(run, "__id long, __same long, line long, words int")
+    each = materialize(each.groupBy("line", "__same").agg(F.min("__id").alias("__id"), F.first("words").alias("words")), "identical")
+    counts = each.groupBy("line").agg(F.count("*").alias("n"), F.first("words").alias("words"), F.min(F.struct("__id", "__same")).alias("least"))
+    often = counts.where((F.col("n") > 1) & (F.col("n") >= least_identical(F.col("words"), least_texts)))
+    often = materialize(often.select("line", F.col("least.__same").alias("first")), "often")
+    return each.join(_small(often), "line").where("__same <> first").select("__same", "line"), [each, often]
+
+
+def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, same: str | None = None) -> DataFrame:
     """(__same, lines): hashes of the lines that the texts with the hash ``__same`` lose."""
-    plain = docs.select(F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"), F.col(text).alias("__text"))
+    plain = docs.select(F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), _same(text, same).alias("__same"), F.col(text).alias("__text"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
-            same, leaf = [], []
+            texts, leaf = [], []
             for s, t in zip(batch["__same"].to_pylist(), batch["__text"].cast(pa.binary()).to_pylist()):
                 found = {_leaf(x) for _, x in _lines(t)}
-                same += [s] * len(found)
+                texts += [s] * len(found)
                 leaf += found
-            yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(leaf, pa.int64())], ["__same", "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(leaf, pa.int64())], ["__same", "leaf"])
 
     reached = plain.mapInArrow(leaves, "__same long, leaf long").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     full = materialize(reached.where(F.col("n") >= least_texts).select("leaf"), "leaves")
@@ -148,16 +186,17 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     texts = matched.groupBy("template", "__same").agg(F.min("__id").alias("__id"))
     recurring = texts.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__same")).alias("first"))
     recurring = materialize(recurring.where(F.col("n") >= least_texts).select("template", F.col("first.__same").alias("first")), "recurring")
-    lost = matched.join(_small(recurring), "template").where("__same <> first").groupBy("__same").agg(F.collect_set("line").alias("lines"))
-    out = materialize(lost, "lost")
-    discard(full, found, having, lines, templates, recurring)
+    lost = matched.join(_small(recurring), "template").where("__same <> first").select("__same", "line")
+    alike, tables = _identical(plain, least_texts)
+    out = materialize(lost.union(alike).groupBy("__same").agg(F.collect_set("line").alias("lines")), "lost")
+    discard(full, found, having, lines, templates, recurring, *tables)
     return out
 
 
-def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS) -> DataFrame:
+def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, same: str | None = None) -> DataFrame:
     """(__row, __kept, __lines, __dropped): each row, its text without recurring lines, and counts of lines."""
-    lost = recurring_lines(docs, id, text, least_texts)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"))
+    lost = recurring_lines(docs, id, text, least_texts, same)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"), _same(text, same).alias("__same"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
@@ -175,10 +214,10 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_te
     return joined.mapInArrow(cut, joined.select("__row").schema.add("__kept", "string").add("__lines", "long").add("__dropped", "long"))
 
 
-def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, same: str | None = None) -> DataFrame:
     """``docs`` with shorter texts."""
     values = {text: F.col("__kept")}
     if "n_chars" in docs.columns:
         size = F.length("__kept").cast(docs.schema["n_chars"].dataType)
         values["n_chars"] = F.when(F.col("__dropped") > 0, size).otherwise(F.col("__row")["n_chars"])
-    return drop_lines(docs, id, text, least_texts).select(*[values.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
+    return drop_lines(docs, id, text, least_texts, same).select(*[values.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
