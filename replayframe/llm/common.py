@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words everywhere in this subpackage.
@@ -18,22 +20,38 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests on one machine), a folder under
-    ``/tmp/checkpoints`` is used for local masters and the warehouse otherwise.
+    Where the setting is missing, the warehouse has them, which is shared, too.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
+
+
+#: Tables written inside the open ``steps`` blocks, innermost last.
+_WRITTEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def steps() -> Iterator[None]:
+    """Delete the tables of all steps inside when the block ends: what reads them must be written by then."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        discard(*_WRITTEN.pop())
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage with a table that outlives lost executors; the
-    shuffle files of the step are freed when it has been written.
+    shuffle files of the step are freed when it has been written.  The table is
+    deleted by ``discard``, at the end of the innermost ``steps`` block around,
+    or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
@@ -45,15 +63,47 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
+    if _WRITTEN:
+        _WRITTEN[-1].append(out)
+    files, jvm_path = _file_system(spark, path)
+    files.deleteOnExit(jvm_path)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables written by ``materialize`` that no later plan reads."""
     for t in tables:
-        jvm = t.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.table_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _file_system(t.sparkSession, t.table_path)
+        files.delete(path, True)
+        files.cancelDeleteOnExit(path)
+
+
+def struct_of(df: DataFrame, *without: str) -> Column:
+    """All columns of ``df`` but some as one struct, so that names of steps can't clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without])
+
+
+def fields(df: DataFrame, row: str = "__row", *without: str) -> list[Column]:
+    """The columns of ``df`` back from the struct of ``struct_of``."""
+    return [F.col(row)[c].alias(c) for c in df.columns if c not in without]
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with the sums over all rows that come before in ``order``, which no two rows share.
+
+    Rows are dealt by ranges and written; a task sorts one range, and of each
+    range only its sums, one row, are added up in one place.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    placed = materialize(dealt.withColumns({f"__add_{n}": c for n, c in sums.items()}), "ranges")
+    totals = placed.groupBy("__range").agg(*[F.sum(f"__add_{n}").alias(f"__all_{n}") for n in sums])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as ranges, so as shuffle partitions
+    totals = totals.select("__range", *[F.sum(f"__all_{n}").over(before).alias(f"__before_{n}") for n in sums])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    value = {n: F.coalesce(f"__before_{n}", F.lit(0)) + F.coalesce(F.sum(f"__add_{n}").over(inside), F.lit(0)) for n in sums}
+    out = placed.join(F.broadcast(totals), "__range").withColumns(value)
+    return out.drop("__range", *[f"__add_{n}" for n in sums], *[f"__before_{n}" for n in sums])
 
 
 def words(text: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, discard, materialize
 from .components import connected_components
-from .simhash import _LOWER
+from .simhash import _LOWER, one_row_each
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits that fingerprints of linked texts may differ in: about five standard deviations over the mean at 0.8.
@@ -182,10 +182,10 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """The rows of ``docs`` of which one stays for each component, unchanged."""
+    """The rows of ``docs`` of which one stays for each component, unchanged.
+
+    Of rows with the same id and text that differ elsewhere, any one stays.
+    """
     found = near_copies(docs, id, text, similarity, shingle, radius, shard)
-    kept = found.where((F.col("__id") == F.col("first.id")) & (F.col("__same") == F.col("first.same"))).select(F.col("__id").alias("__key"), "__same").distinct()
-    kept = materialize(kept, "kept")
-    names = docs.columns
-    keyed = docs.withColumns({"__key": F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long"), "__same": F.coalesce(F.xxhash64(text), F.lit(0))})
-    return keyed.join(kept, ["__key", "__same"], "left_semi").dropDuplicates(["__key", "__same"]).select(*[F.col(f"`{c}`") for c in names])
+    firsts = found.where((F.col("__id") == F.col("first.id")) & (F.col("__same") == F.col("first.same")))
+    return one_row_each(docs, firsts.select(F.col("__id").alias("__key"), "__same"), id, text)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LAST_ID, discard, materialize
+from .common import LAST_ID, discard, fields, materialize, struct_of
 from .components import connected_components
 
 RADIUS = 2
@@ -213,10 +213,18 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` of which one stays for each component, unchanged."""
+    """The rows of ``docs`` of which one stays for each component, unchanged.
+
+    Of rows with the same id and text that differ elsewhere, any one stays.
+    """
     found = near_duplicates(docs, id, text, radius, shingle)
-    kept = materialize(found.where("__first").select(F.col(id).alias("__id"), F.col("__same").alias("__text_hash")).distinct(), "kept")
-    names = docs.columns
-    keyed = docs.withColumns({"__key": F.coalesce(F.col(id), F.lit(LAST_ID)), "__same": F.coalesce(F.xxhash64(text), F.lit(0))})
-    kept = kept.select(F.coalesce("__id", F.lit(LAST_ID)).alias("__key"), F.col("__text_hash").alias("__same"))
-    return keyed.join(kept, ["__key", "__same"], "left_semi").dropDuplicates(["__key", "__same"]).select(*[F.col(f"`{c}`") for c in names])
+    return one_row_each(docs, found.where("__first").select(F.col(id).alias("__key"), "__same"), id, text)
+
+
+def one_row_each(docs: DataFrame, kept: DataFrame, id: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each (__key, __same) of ``kept``: an id, null or the last for none, and the hash of a text."""
+    kept = materialize(kept.select(F.coalesce("__key", F.lit(LAST_ID)).cast("long").alias("__key"), "__same").distinct(), "kept")
+    keyed = docs.select(
+        struct_of(docs).alias("__row"), F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__key"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same")
+    )
+    return keyed.join(kept, ["__key", "__same"], "left_semi").dropDuplicates(["__key", "__same"]).select(*fields(docs))
