@@ -9,9 +9,11 @@ most ``MOST_LABELS`` rows; all rows are scored.
 
 Defined results: a null or empty text has the features zero and gets the score
 that the model gives these; rows without a label, or with a null one, aren't
-learned from; without any toxic or any clean label every score is the share of
-toxic labels (0 without labels); repeated rows are scored each for itself;
-other columns pass through, and columns named like results are replaced.
+learned from, and an id with two labels counts as toxic; without any toxic or
+any clean label every score is the share of toxic labels (0 without labels);
+texts of one calibration step tie; repeated rows are scored each for itself; an
+empty table gives an empty one; other columns pass through, whatever their
+names, and a column named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from .common import bind, fields, struct_of
 
 #: Labelled rows that are learned from, at most; of more, those with the smallest hash.
 MOST_LABELS = 20_000
@@ -114,17 +117,17 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
 
 
 def add_features(docs: DataFrame, text: str, weights: dict[str, float]) -> DataFrame:
-    """``docs`` with a double column ``__<feature>`` for each feature of the whole text."""
-    names = [f"__{f}" for f in FEATURES]
-    schema = StructType([*docs.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+    """``docs`` with ``__features``, the features of the whole ``text`` as doubles."""
+    schema = StructType([*docs.schema.fields, StructField("__features", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(weights)
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
-                values = np.array([features(t, lexicon) for t in batch[text].to_pylist()], float).reshape(-1, len(names))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(values[:, k]) for k in range(len(names))]], schema.names)
+                values = np.array([features(t, lexicon) for t in batch[text].to_pylist()], float).reshape(-1)
+                ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(FEATURES))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(values))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -155,53 +158,62 @@ class Model:
         self.weights, self.trees, self.calibration, self.constant = weights, trees, calibration, constant
 
     def score(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
-        rows = docs.drop(name)
+        kept = docs.select(struct_of(docs, name).alias("__row"), F.col(f"`{text}`").alias("__text"))
         if self.trees is None:
-            return rows.withColumn(name, F.lit(self.constant))
-        raw = _raw(self.trees, add_features(rows, text, self.weights))
-        xs, ys = self.calibration
-        return raw.select(*[F.col(f"`{c}`") for c in rows.columns], _between("__raw", xs, ys).alias(name))
+            return kept.select(*fields(docs, "__row", name), F.lit(self.constant).alias(name))
+        raw = _raw(self.trees, add_features(kept, "__text", self.weights).drop("__text"))
+        return raw.select(*fields(docs, "__row", name), _between(F.col("__raw"), *self.calibration).alias(name))
 
 
 def _raw(trees, rows: DataFrame) -> DataFrame:
-    assembled = VectorAssembler(inputCols=[f"__{f}" for f in FEATURES], outputCol="__features").transform(rows)
-    return trees.transform(assembled).withColumn("__raw", vector_to_array("__probability")[1])
+    """``rows`` with ``__raw``, the trees' probability for their ``__features``."""
+    found = trees.transform(rows.withColumn("__vector", array_to_vector("__features")))
+    return found.withColumn("__raw", vector_to_array("__probability")[1]).drop("__vector", "__probability", "__margin", "__predicted")
+
+
+def _between(raw: Column, xs: list[float], ys: list[float]) -> Column:
+    """The isotonic line through the points, by a binary search for the last one at or before ``raw``."""
+    steps = [1 << k for k in reversed(range(len(xs).bit_length()))]
+    points, values = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
+
+    def further(low: Column, step: Column) -> Column:
+        at = low + step  # how many points are known to lie at or before it
+        return F.when((at <= len(xs)) & (F.get(points, at - 1) <= raw), at).otherwise(low)
 
+    def line(before: Column) -> Column:
+        x, y = F.get(points, before - 1), F.get(values, before - 1)
+        wide = F.get(points, before) - x
+        rise = F.when(wide > 0, (F.get(values, before) - y) * (raw - x) / wide).otherwise(0.0)
+        return F.when(before == 0, ys[0]).when(before == len(xs), ys[-1]).otherwise(y + rise)
 
-def _between(raw: str, xs: list[float], ys: list[float]):
-    """The isotonic line through the points, with the raw value as a small tie-break."""
-    out = F.lit(ys[-1])
-    for k in reversed(range(len(xs))):
-        if k + 1 < len(xs):
-            slope = (ys[k + 1] - ys[k]) / (xs[k + 1] - xs[k]) if xs[k + 1] > xs[k] else 0.0
-            out = F.when(F.col(raw) < xs[k + 1], ys[k] + slope * (F.col(raw) - xs[k])).otherwise(out)
-    out = F.when(F.col(raw) <= xs[0], F.lit(ys[0])).otherwise(out)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.98 * out + 0.02 * F.col(raw)))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), bind(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further), line)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_LABELS) -> Model:
     """The model for ``label`` from labelled rows of ``docs``."""
     by_hash = F.xxhash64(F.lit("sample"), F.col("__id"))
-    known = labels.select(F.col(id).alias("__id"), F.col(label).cast("int").alias("toxic")).where("toxic is not null and __id is not null").dropDuplicates(["__id"])
-    some = known.orderBy(by_hash, "__id").limit(most)
+    known = labels.select(F.col(id).alias("__id"), F.col(label).cast("int").alias("toxic")).where("toxic is not null and __id is not null")
+    some = known.groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(by_hash, "__id").limit(most)
     # the labels of at most MOST_LABELS rows, ids and a number, are small enough to broadcast
     rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(some), "__id")
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("__id")), F.lit(20)))
     rows = rows.persist()
-    weights = learn_lexicon(rows.where("part < 10"))
-    dense = add_features(rows.where("part >= 10"), "text", weights).drop("text").persist()
-    sizes = dense.groupBy((F.col("part") < 16).alias("grow")).agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).collect()
-    by = {r["grow"]: (r["p"], r["n"] - r["p"]) for r in sizes}
-    if not all(min(by.get(k, (0, 0))) for k in (True, False)):
-        share = rows.agg(F.avg("toxic")).first()[0]
-        return Model(weights, None, None, float(share or 0.0))
-    assembled = VectorAssembler(inputCols=[f"__{f}" for f in FEATURES], outputCol="__features").transform(dense)
-    trees = GBTClassifier(labelCol="toxic", featuresCol="__features", predictionCol="__predicted", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=64, minInstancesPerNode=3, seed=7)
-    trees = trees.setProbabilityCol("__probability").setRawPredictionCol("__margin")
-    trees = trees.fit(assembled.where("part < 16").select("toxic", "__features").coalesce(2))
-    judged = _raw(trees, dense.where("part >= 16")).select(F.col("toxic").cast("double").alias("label"), F.col("__raw").alias("raw")).coalesce(1)
-    line = IsotonicRegression(labelCol="label", featuresCol="raw", predictionCol="p").fit(judged)
-    points = list(zip(map(float, line.boundaries), map(float, line.predictions)))
-    dense.unpersist()
-    rows.unpersist()
-    return Model(weights, trees, ([x for x, _ in points], [y for _, y in points]), 0.0)
+    dense = None
+    try:
+        weights = learn_lexicon(rows.where("part < 10"))
+        dense = add_features(rows.where("part >= 10"), "text", weights).drop("text").persist()
+        sizes = dense.groupBy((F.col("part") < 16).alias("grow")).agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).collect()
+        by = {r["grow"]: (r["p"], r["n"] - r["p"]) for r in sizes}
+        if not all(min(by.get(k, (0, 0))) for k in (True, False)):
+            share = rows.agg(F.avg("toxic")).first()[0]
+            return Model(weights, None, None, float(share or 0.0))
+        grown = dense.where("part < 16").select("toxic", array_to_vector("__features").alias("__vector")).coalesce(2)
+        trees = GBTClassifier(labelCol="toxic", featuresCol="__vector", predictionCol="__predicted", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=64, minInstancesPerNode=3, seed=7)
+        trees = trees.setProbabilityCol("__probability").setRawPredictionCol("__margin").fit(grown)
+        judged = _raw(trees, dense.where("part >= 16")).select(F.col("toxic").cast("double").alias("label"), F.col("__raw").alias("raw")).coalesce(1)
+        line = IsotonicRegression(labelCol="label", featuresCol="raw", predictionCol="p").fit(judged)
+        return Model(weights, trees, (list(map(float, line.boundaries)), list(map(float, line.predictions))), 0.0)
+    finally:
+        for cached in (dense, rows):
+            if cached is not None:
+                cached.unpersist()
