@@ -1,39 +1,42 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The words of each source are dealt by a hash of the document into shards of
-bounded size, and the words of a shard, in document order, are cut into blocks
-of equal size.  All blocks of the mix are apportioned to the sources by highest
-quotients ``target / (2 k + 1)``, and a source's blocks to its shards in the
-same way.  A shard then takes each of its blocks as often as its quota allows,
-and the rest by the smallest seeded hashes.
-
-Highest quotients need no list of quotients: every source first gets its target
-in blocks, rounded, which is the apportionment of some divisor; the few seats
-that are then missing (or too many) go to the next (or come from the last)
-quotients.  Only DataFrame functions are used, and what a task holds at once is
-one source's name or one shard's blocks.
+All words of the mix are apportioned to the sources by highest quotients
+``target / (2 k + 1)``.  A source is cut into blocks of equal size, a small
+share of it, so that its quota in blocks comes near its target however small it
+is.  Its words are dealt by a hash of the document into shards, and shards into
+groups; its blocks go to its groups, and those of a group to its shards, by
+highest quotients again.  A shard takes each of its blocks as often as its
+quota allows, and the rest by the smallest seeded hashes.
+
+Highest quotients need no list of quotients: every part first gets its share,
+rounded, which is the apportionment of some divisor; the few seats that are
+then missing (or too many) go to the next (or come from the last) quotients.
+Only as many quotients are looked at as can be among these.  Only DataFrame
+functions are used, and what a task holds at once is a range of the sources, a
+group of shards or one shard's documents.
 
 Defined results: a null text has size 0; documents of size 0 take nothing; a
 null source is a source of its own, after all others; repeated rows count as
-documents of their own; an empty table gives an empty mix; other columns pass
-through, and columns named like results are replaced.
+documents of their own; of equal quotients the smaller part wins; an empty
+table gives an empty mix.  ``mix`` returns its own columns only;
+``mixed_documents`` returns those of the documents, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, bind, materialize, words
+from .common import LAST_ID, bind, materialize, running, struct_of, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No document and no source is taken more often than this.
 MOST = 3
 SEED = 7
-#: About so many blocks make up a mix, as far as the limits of a block allow.
-BLOCKS, LEAST_BLOCK, LARGEST_BLOCK = 1 << 16, 1, 1024
-#: Words of a shard, in blocks.
-SHARD_BLOCKS = 1024
+#: Words of a block, at most, and blocks that a source and its target have, at least, if they have as many words.
+LARGEST_BLOCK, LEAST_BLOCKS = 1024, 256
+#: Blocks of a shard, and shards of a group.
+SHARD_BLOCKS, GROUP_SHARDS = 1024, 512
 #: Up to so many sources, their quotas are sent to all executors.
 FEW_SOURCES = 10_000
 
@@ -46,44 +49,70 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> Dat
     """(source, source_size) to the same with ``target``: weights in the order of
     the sources, null last; what is over ``most`` times a source's size goes to
     the others by weight until none is above."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    n = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), n + 1))
-    weighed = weighed.withColumn("cap", most * F.col("source_size").cast("double"))
-    # sources fill up in the order of cap / weight; the first that isn't full sets the level of the rest
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    after = rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    filled = weighed.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
-    rest = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(whole)["level"]
-    target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * rest)
+    one = F.lit(1)
+    order = [F.col("source").isNull(), F.col("source")]
+    n = F.pmod(F.col("__n"), F.lit(len(weights)))
+    weighed = running(sizes, order, {"__n": one}).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (n + 1).cast("int")))
+    weighed = weighed.withColumn("cap", most * F.col("source_size").cast("double")).drop("__n")
+    # sources fill up in the order of cap / weight; the first that isn't full sets the level of the rest,
+    # the highest of theirs, as each of them would lower it
+    filled = running(weighed, [F.col("cap") / F.col("weight"), *order], {"__cap": F.col("cap"), "__weight": F.col("weight")})
+    whole = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    size, weight = (float(x or 0) for x in whole)
+    level = (F.lit(size) - F.col("__cap")) / (F.lit(weight) - F.col("__weight"))
+    filled = materialize(filled.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight")), "levels")
+    rest = filled.where("not full").agg(F.max("level").alias("rest")).first()["rest"]
+    target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * F.lit(rest).cast("double"))
     return filled.withColumn("target", target).select("source", "source_size", "target")
 
 
-def sainte_lague(parts: DataFrame, within: str, part: str, share: str, seats: str) -> DataFrame:
-    """``parts`` with ``quota``: the ``seats`` of each ``within``, by highest ``share / (2 k + 1)``.
+def _candidates(first: DataFrame, bound: Column | None = None) -> DataFrame:
+    """The quotients that may gain (or lose) a seat: of each part the first, or all up to ``bound``."""
+    share, seats, more = F.col("__share"), F.col("__first"), F.col("__open") > 0
+    k = F.lit(1).cast("long")
+    if bound is not None:
+        # one more than the bound allows, for the sake of rounding; more can't be among the best
+        half = (share / bound - 1) / 2
+        reach = F.when(more, half - seats + 2).otherwise(seats - half + 1)
+        k = F.explode(F.sequence(k, F.greatest(F.lit(1.0), F.least(F.abs("__open").cast("double"), reach)).cast("long")))
+    tries = first.where("__open <> 0").withColumn("__k", k)
+    seat = F.when(more, seats + F.col("__k") - 1).otherwise(seats - F.col("__k"))
+    tries = tries.withColumn("__seat", seat).where("__seat >= 0").withColumn("__quotient", share / (2 * F.col("__seat") + 1))
+    # the best first: the highest to gain, the lowest to lose
+    return tries.withColumn("__by", F.when(more, -F.col("__quotient")).otherwise(F.col("__quotient")))
+
+
+def _bound(worst: Column, found: Column, open_: Column) -> Column:
+    """The quotient of the last seat if each part could change one; without bound if there aren't enough parts."""
+    return F.when(found >= F.abs(open_), F.greatest(F.abs(worst), F.lit(1e-300))).when(open_ > 0, 1e-300).otherwise(1e300)
+
+
+def sainte_lague(parts: DataFrame, within: list[str], part: str, share: str, seats: str) -> DataFrame:
+    """``parts`` with ``quota``: the ``seats`` of each group of parts, by highest ``share / (2 k + 1)``.
 
     The shares of a group sum to about its seats; of equal quotients the
-    smaller ``part`` wins.
+    smaller ``part`` wins.  A task ranks the parts of one group, or a range of
+    the parts if there is one group only (``within`` is empty).
     """
-    missing = F.col(seats) - F.sum("__first").over(Window.partitionBy(within))
-    first = parts.withColumn("__first", F.floor(F.col(share) + 0.5)).withColumn("__open", missing)
-    # seats missing: the next quotients of each part; seats too many: its last ones
-    tries = first.where("__open <> 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("__open"))))
-    seat = F.when(F.col("__open") > 0, F.col("__first") + F.col("__k") - 1).otherwise(F.col("__first") - F.col("__k"))
-    tries = tries.withColumn("__seat", seat).where("__seat >= 0").withColumn("__quotient", F.col(share) / (2 * F.col("__seat") + 1))
-    key = F.when(F.col("__open") > 0, -F.col("__quotient")).otherwise(F.col("__quotient"))
-    change = (
-        tries.withColumn("__rank", F.row_number().over(Window.partitionBy(within).orderBy(key, part)))
-        .where("__rank <= abs(__open)")
-        .groupBy(within, part)
-        .agg(F.sum(F.signum(F.col("__open").cast("double")).cast("long")).alias("__change"))
-    )
-    return first.join(change, [within, part], "left").select(
-        *parts.columns, (F.col("__first") + F.coalesce("__change", F.lit(0))).alias("quota")
-    )
+    first = parts.withColumns({"__share": F.col(share), "__first": F.floor(F.col(share) + 0.5)})
+    chosen, more = F.col("__rank") < F.abs("__open"), F.col("__open") > 0
+    order = [F.col("__by"), F.when(more, F.col(part)), F.when(~more, F.col(part)).desc()]
+    best = [F.max("__by").alias("__worst"), F.count("*").alias("__found")]
+    if within:
+        group = Window.partitionBy(*within)
+        first = first.withColumn("__open", (F.col(seats) - F.sum("__first").over(group)).cast("long"))
+        rank = F.row_number().over(group.orderBy(*order)) - 1
+        bounds = _candidates(first).withColumn("__rank", rank).where(chosen).groupBy(*within).agg(*best)
+        ranked = _candidates(first.join(bounds, within), _bound(F.col("__worst"), F.col("__found"), F.col("__open"))).withColumn("__rank", rank)
+    else:
+        sums = first.agg(F.max(seats).alias("s"), F.sum("__first").alias("f")).first()
+        first = materialize(first.withColumn("__open", F.lit((sums["s"] or 0) - (sums["f"] or 0)).cast("long")), "shares")
+        last = running(_candidates(first), order, {"__rank": F.lit(1)}).where(chosen).agg(*best).first()
+        bound = _bound(F.lit(last["__worst"]).cast("double"), F.lit(last["__found"]), F.col("__open"))
+        ranked = running(_candidates(first, bound), order, {"__rank": F.lit(1)})
+    gain = F.sum(F.signum(F.col("__open").cast("double")).cast("long")).alias("__change")
+    change = ranked.where(chosen).groupBy(*within, part).agg(gain)
+    return first.join(change, [*within, part], "left").select(*parts.columns, (F.col("__first") + F.coalesce("__change", F.lit(0))).alias("quota"))
 
 
 #: What ``mix`` adds to each row.
@@ -100,19 +129,15 @@ def _sized(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
 def _mixed(rows: DataFrame, sizes: DataFrame, weights, most: int, seed: int) -> DataFrame:
     """``rows`` with source_size, target, times and taken; ``sizes`` has their
     __id, __same, __key, __source and __size."""
-    total = sizes.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("n")).first()["n"]
-    block = max(LEAST_BLOCK, min(LARGEST_BLOCK, total // BLOCKS))
     sums = sizes.groupBy("__key").agg(F.first("__source").alias("source"), F.sum("__size").alias("source_size"))
-    targets = source_targets(sums, weights, most).withColumns(
-        {
-            "__key": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")),
-            "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / (block * SHARD_BLOCKS))),
-            "share": F.col("target") / block,
-            "all": F.lit(0),
-        }
+    targets = source_targets(sums, weights, most).withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))
+    # the unit of the apportionment between sources is a word, so that none is too small for a seat
+    targets = targets.withColumn("seats", F.lit(sizes.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("n")).first()["n"]))
+    block = F.greatest(F.lit(1), F.least(F.lit(LARGEST_BLOCK), F.floor(F.least("source_size", "target") / LEAST_BLOCKS)))
+    quotas = sainte_lague(targets, [], "__key", "target", "seats").withColumns(
+        {"block": block, "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / (block * SHARD_BLOCKS)))}
     )
-    targets = targets.withColumn("seats", F.round(F.sum("share").over(Window.partitionBy("all"))).cast("long"))
-    quotas = materialize(sainte_lague(targets, "all", "__key", "share", "seats").select("__key", "source_size", "target", "shards", "quota"), "quotas")
+    quotas = materialize(quotas.select("__key", "source_size", "target", "shards", "block", "quota"), "quotas")
     few = quotas.count() <= FEW_SOURCES
 
     def sharded(df: DataFrame) -> DataFrame:
@@ -122,11 +147,19 @@ def _mixed(rows: DataFrame, sizes: DataFrame, weights, most: int, seed: int) ->
     shards = (
         sharded(sizes)
         .groupBy("__key", "__shard")
-        .agg(F.sum("__size").alias("words"), F.first("source_size").alias("all"), F.first("quota").alias("seats"))
+        .agg(F.sum("__size").alias("words"), F.first("source_size").alias("all"), F.first("quota").alias("words_taken"), F.first("block").alias("block"))
         .where("words > 0")
-        .withColumns({"blocks": F.ceil(F.col("words") / block), "share": F.col("seats") * F.col("words") / F.col("all")})
+        .withColumns({"blocks": F.ceil(F.col("words") / F.col("block")), "__group": F.floor(F.col("__shard") / GROUP_SHARDS)})
+        # a quota in words as one in the shard's own blocks
+        .withColumn("share", F.col("words_taken") * F.col("blocks") / F.col("all"))
+        .drop("words_taken", "all", "block")
     )
-    shards = sainte_lague(shards, "__key", "__shard", "share", "seats").withColumn("quota", F.least("quota", most * F.col("blocks")))
+    shards = materialize(shards, "shards")
+    groups = shards.groupBy("__key", "__group").agg(F.sum("share").alias("share"))
+    source_seats = groups.groupBy("__key").agg(F.round(F.sum("share")).cast("long").alias("seats"))
+    groups = sainte_lague(groups.join(source_seats, "__key"), ["__key"], "__group", "share", "seats")
+    shards = shards.join(groups.select("__key", "__group", F.col("quota").alias("seats")), ["__key", "__group"])
+    shards = sainte_lague(shards, ["__key", "__group"], "__shard", "share", "seats").withColumn("quota", F.least("quota", most * F.col("blocks")))
     each = F.floor(F.col("quota") / F.col("blocks"))
     by_hash = F.sort_array(
         F.transform(
@@ -140,7 +173,7 @@ def _mixed(rows: DataFrame, sizes: DataFrame, weights, most: int, seed: int) ->
         "drawn",
     )
     order = Window.partitionBy("__key", "__shard").orderBy("__id", "__same").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sharded(rows).drop("shards", "quota").withColumn("from", F.coalesce(F.sum("__size").over(order), F.lit(0)))
+    placed = sharded(rows).drop("shards", "quota", "block").withColumn("from", F.coalesce(F.sum("__size").over(order), F.lit(0)))
     met = placed.join(drawn, ["__key", "__shard"], "left")
 
     def edge(j):  # block j of a shard covers its words from here on
@@ -183,8 +216,8 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: in
     words count for no quota and stay as they are, once.
     """
     names = docs.columns
-    renamed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    whole_rows = _sized(renamed.select("__row", *[F.col("__row")[c].alias(a) for c, a in ((id, "__i"), (text, "__t"), (source, "__s"))]), "__i", "__t", "__s")
+    renamed = docs.select(struct_of(docs).alias("__row"), *[F.col(c).alias(a) for c, a in ((id, "__i"), (text, "__t"), (source, "__s"))])
+    whole_rows = _sized(renamed, "__i", "__t", "__s")
     sizes = materialize(whole_rows.drop("__row", "__t"), "sizes")
     found = _mixed(whole_rows.drop("__t"), sizes, weights, most, seed)
     repeats = F.coalesce(F.array_max(F.transform("times", lambda x: x["repeats"])), F.lit(1))
