@@ -8,13 +8,15 @@ Pieces of a text of more than ``spread_chars`` are dealt over the cluster and
 encoded in parallel; smaller texts are folded by the task that reads them, and
 nothing is shuffled.
 
-In a piece, white space always ends a token of the word vocabulary, so each
-distinct word is encoded once and remembered; runs too long to be remembered
-are encoded token by token, and joins inside them are found between tokens.
+Where white space always ends a token, which a few probes of the tokenizer
+show, each distinct word of a piece is encoded once and remembered; runs too
+long to be remembered are encoded token by token, and joins inside them are
+found between tokens, as are all joins of other tokenizers.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
-string; repeated rows are encoded each for itself; other columns pass through
-untouched, and a column of theirs that has the name of a result is replaced.
+string; repeated rows get equal results; an empty table gives an empty one;
+other columns pass through untouched, whatever their names, and a column of
+theirs that has the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType
+
+from .common import fields, struct_of
 
 #: Characters of a piece, the leaf of a tree.
 PIECE_CHARS = 16_384
@@ -68,19 +72,35 @@ def _memory(path: str) -> dict[str, bytes]:
     return {"": b""}
 
 
+#: Texts that show how a tokenizer treats white space, case and marks.
+_PROBES = ("Hello", "WORLD", "Mixed Case words, and marks. Here", "x", "A", "it's DON'T", "Naive 12th B2B", "end. Next", "a,b. c", "Zq-Xj qqq")
+
+
+@cache
+def _habits(path: str) -> tuple[bool, bool]:
+    """Whether white space always ends a token, and whether ASCII case and marks behind a letter can be split off."""
+
+    def ids(x: str) -> list[int]:
+        return tokenizer(path).encode(x, add_special_tokens=False).ids
+
+    spaced = [(x, f"  {x} \t{y}\n ") for x in _PROBES for y in _PROBES]
+    split = all(ids(x) == [i for w in _WORD.findall(x) for i in ids(w)] for both in spaced for x in both)
+    lower = split and all(ids(w) == ids(w.lower()) and ids(f"{w}.") == ids(w) + ids(".") and ids(f"{w},") == ids(w) + ids(",") for x in _PROBES for w in re.findall(r"[A-Za-z']*[A-Za-z]", x))
+    return split, lower
+
+
 def split_words(text: str) -> list[str]:
     """The text at white space, which no token crosses."""
     # str.split is faster, but takes four control characters for white space
     return _BREAK.split(text) if _CONTROLS.search(text) else text.split()
 
 
-def _plain(word: str) -> tuple[str, str]:
-    """A word as one in lower case and the full stop or comma that ended it.
+def _plain(path: str, word: str) -> tuple[str, str]:
+    """A word as one in lower case and the full stop or comma that ended it, if the tokenizer doesn't mind.
 
-    Lower-casing ASCII and cutting off a mark after a letter change no token;
-    added tokens, which hold ``<|``, are left alone.
+    Added tokens, which hold ``<|``, are left alone.
     """
-    if "<|" in word:
+    if "<|" in word or not _habits(path)[1]:
         return word, ""
     base, mark = (word[:-1], word[-1]) if word[-1] in ".," and "a" <= word[-2:-1].lower() < "\u0250" and word[-2].isalpha() else (word, "")
     return (base.lower() if base.isascii() else base), mark
@@ -95,7 +115,7 @@ def learn_words(path: str, words: set[str]) -> dict[str, bytes]:
         known.clear()
         known.update(kept)
         known[""] = b""
-    parts = {w: _plain(w) for w in new}
+    parts = {w: _plain(path, w) for w in new}
     bases = [x for x in {x for both in parts.values() for x in both} if x not in known]
     found = tokenizer(path).encode_batch_fast(bases, add_special_tokens=False)
     known.update((w, array("i", e.ids).tobytes()) for w, e in zip(bases, found))
@@ -109,6 +129,9 @@ Unit = tuple[int, int, bytes, bool]
 
 
 def encode_piece(path: str, text: str, at: int = 0) -> list[Unit]:
+    if not _habits(path)[0]:  # tokens may hold white space: seams are found between any
+        e = tokenizer(path).encode(text, add_special_tokens=False)
+        return [(x + at, y + at, np.int32(i).tobytes(), False) for (x, y), i in zip(e.offsets, e.ids)]
     spans = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     known = learn_words(path, {w for _, _, w in spans if len(w) <= LONGEST})
     out: list[Unit] = []
@@ -203,6 +226,9 @@ def encode_tree(path: str, text: str, piece_chars: int = PIECE_CHARS) -> bytes:
 
 def encode_texts(path: str, texts: list[str], piece_chars: int = PIECE_CHARS) -> list[bytes]:
     """The ids of each text, as bytes of int32."""
+    if not _habits(path)[0]:
+        short = tokenizer(path).encode_batch_fast([x if len(x) <= piece_chars else "" for x in texts], add_special_tokens=False)
+        return [array("i", e.ids).tobytes() if len(x) <= piece_chars else encode_tree(path, x, piece_chars) for x, e in zip(texts, short)]
     split = [split_words(x) if len(x) <= piece_chars else None for x in texts]
     known = learn_words(path, {w for ws in split if ws for w in ws})
     done = [b"".join([known[w] for w in ws]) if ws is not None else None for ws in split]
@@ -213,14 +239,11 @@ def bpe_encode(
     docs: DataFrame, path: str, text: str = "text", piece_chars: int = PIECE_CHARS, spread_chars: int = SPREAD_CHARS
 ) -> DataFrame:
     """``docs`` with ``ids``, the token ids of each whole text."""
-    rows = docs.drop("ids")
-    size = F.length(F.coalesce(F.col(text), F.lit("")))
-    small = rows.where(size <= spread_chars).mapInArrow(_encode_rows(path, text, piece_chars), _schema(rows, "ids array<int>"))
-    return small.unionByName(_encode_spread(rows.where(size > spread_chars), path, text, piece_chars))
-
-
-def _schema(df: DataFrame, more: str) -> StructType:
-    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+    rows = docs.select(struct_of(docs, "ids").alias("__row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    size = F.length("__text")
+    small = rows.where(size <= spread_chars).mapInArrow(_encode_rows(path, piece_chars), rows.select("__row").schema.add("ids", ArrayType(IntegerType())))
+    spread = _encode_spread(rows.where(size > spread_chars), path, piece_chars)
+    return small.unionByName(spread).select(*fields(docs, "__row", "ids"), "ids")
 
 
 def _lists(found: list[bytes]) -> pa.Array:
@@ -228,29 +251,35 @@ def _lists(found: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
-def _encode_rows(path: str, text: str, piece_chars: int):
+def _encode_rows(path: str, piece_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(a, BATCH)
-                found = encode_texts(path, [x or "" for x in batch[text].to_pylist()], piece_chars)
-                yield batch.append_column("ids", _lists(found))
+                found = encode_texts(path, batch["__text"].to_pylist(), piece_chars)
+                yield pa.RecordBatch.from_arrays([batch["__row"], _lists(found)], ["__row", "ids"])
 
     return run
 
 
-def _encode_spread(rows: DataFrame, path: str, text: str, piece_chars: int) -> DataFrame:
-    """Pieces are rows of their own, dealt by their text's number and their place."""
-    keyed = rows.withColumn("__key", F.monotonically_increasing_id())
-    out = _schema(rows, "ids array<int>")
+UNITS = "starts array<int>, ends array<int>, tokens array<binary>, firsts array<boolean>"
+
+
+def _encode_spread(rows: DataFrame, path: str, piece_chars: int) -> DataFrame:
+    """(__row, ids): pieces are rows of their own, dealt by a digest of their text and their place.
+
+    The digest is all that a piece knows of its row, so a task that runs again
+    gives the same pieces, and copies of a text share them.
+    """
+    keyed = rows.withColumn("__key", F.sha2("__text", 256))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, whole in zip(batch["__key"].to_pylist(), batch["__text"].to_pylist()):
                 spans = cuts(len(whole), piece_chars)
                 yield pa.RecordBatch.from_pydict(
-                    {"__key": [key] * len(spans), "at": [a for a, _ in spans], "piece": [whole[a:b] for a, b in spans]},
-                    pa.schema([("__key", pa.int64()), ("at", pa.int32()), ("piece", pa.string())]),
+                    {"key": [key] * len(spans), "at": [a for a, _ in spans], "piece": [whole[a:b] for a, b in spans]},
+                    pa.schema([("key", pa.string()), ("at", pa.int32()), ("piece", pa.string())]),
                 )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,24 +287,24 @@ def _encode_spread(rows: DataFrame, path: str, text: str, piece_chars: int) -> D
             found = [encode_piece(path, x, a) for x, a in zip(batch["piece"].to_pylist(), batch["at"].to_pylist())]
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.bool_())
             columns = [pa.array([[t[k] for t in ts] for ts in found], pa.list_(kind)) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch["__key"], batch["at"], *columns], ["__key", "at", "starts", "ends", "tokens", "firsts"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "starts", "ends", "tokens", "firsts"])
 
     leaves = (
-        keyed.select("__key", F.col(text).alias("__text"))
-        .mapInArrow(pieces, "__key long, at int, piece string")
-        .repartition("__key", "at")
-        .mapInArrow(encode, "__key long, at int, starts array<int>, ends array<int>, tokens array<binary>, firsts array<boolean>")
+        keyed.select("__key", "__text")
+        .mapInArrow(pieces, "key string, at int, piece string")
+        .dropDuplicates(["key", "at"])
+        .mapInArrow(encode, f"key string, at int, piece string, {UNITS}")
     )
 
-    def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {
-            at: list(zip(*lists))
-            for at, *lists in zip(*(right[c].to_pylist() for c in ("at", "starts", "ends", "tokens", "firsts")))
-        }
-        ids = _lists([fold(path, left[text][0].as_py(), found, piece_chars)])
-        return left.drop_columns(["__key"]).append_column("ids", ids)
+    def together(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        columns = (group[c].to_pylist() for c in ("at", "starts", "ends", "tokens", "firsts"))
+        found = {at: list(zip(*lists)) for at, *lists in zip(*columns)}
+        ids = _lists([fold(path, "".join(group["piece"].to_pylist()), found, piece_chars)])
+        return pa.table([group["key"][:1].combine_chunks(), ids], ["key", "ids"])
 
-    return keyed.groupBy("__key").cogroup(leaves.groupBy("__key")).applyInArrow(together, out)
+    encoded = leaves.groupBy("key").applyInArrow(together, "key string, ids array<int>")
+    return keyed.join(encoded, F.col("__key") == F.col("key")).select("__row", "ids")
 
 
 @cache
@@ -301,12 +330,13 @@ def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     Null ids decode to the empty string.
     """
+    rows = tokens.select(struct_of(tokens, "decoded").alias("__row"), F.col(f"`{ids}`").alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(a, BATCH)
-                yield batch.append_column("decoded", decode_lists(path, batch[ids]))
+                yield pa.RecordBatch.from_arrays([batch["__row"], decode_lists(path, batch["__ids"])], ["__row", "decoded"])
 
-    rows = tokens.drop("decoded")
-    return rows.mapInArrow(run, _schema(rows, "decoded string"))
+    found = rows.mapInArrow(run, rows.select("__row").schema.add("decoded", "string"))
+    return found.select(*fields(tokens, "__row", "decoded"), "decoded")
