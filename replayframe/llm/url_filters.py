@@ -9,8 +9,10 @@ functions are used.
 
 Defined results: a null URL and one without ``://`` have an empty host and path
 and fit no rule; a URL that no rule fits has a null rule and the verdict
-``allow``; repeated rows are judged each for itself; other columns pass
-through, and columns named like results are replaced.
+``allow``; without rules all are allowed; of rules for the same host and path,
+block wins; repeated rows are judged each for itself; an empty table gives an
+empty one; other columns pass through, whatever their names, and columns named
+like results are replaced.
 """
 
 from __future__ import annotations
@@ -18,9 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fields, struct_of
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of a digest that the join compares.
 SHORT = 8
+#: So many rules, of some 200 bytes, are sent to all executors; of more, each stands in so many places.
+FEW_RULES, SALTS = 100_000, 32
+RESULTS = ("host", "path", "rule", "verdict")
 
 
 def rest(url: Column) -> Column:
@@ -40,52 +47,68 @@ def digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat_ws("\n", host, path), 256)
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+def _known(rules: DataFrame) -> DataFrame:
+    """The best of the rules of each digest, with the start of the digest."""
+    each = rules.select(
+        F.struct(
+            (F.length("host") + F.length("path")).alias("long"),
+            F.length("host").alias("host_long"),
+            (F.col("verdict") == "block").cast("int").alias("block"),
+            F.concat("host", "path").alias("rule"),
+            F.col("verdict").alias("verdict"),
+        ).alias("rule"),
+        digest(F.col("host"), F.col("path")).alias("full"),
+    )
+    return each.groupBy("full").agg(F.max("rule").alias("rule")).withColumn("short", F.left("full", F.lit(SHORT)))
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", few: int = FEW_RULES) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``rules`` has the columns verdict (allow or block), host and path.  The
     numbers of labels and the lengths of paths in it, a few integers, set how
-    far URLs are expanded.
+    far URLs are expanded.  Up to ``few`` rules go to all executors.  More are
+    joined by their digests; as all URLs of a domain share some, each rule then
+    stands in ``SALTS`` places, and a URL looks in one of them.
     """
-    shape = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
-    at = F.size("__labels")
+    shape = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths"), F.count("*").alias("n")).first()
+    at = F.size("labels")
     suffixes = F.transform(
         F.sequence(F.greatest(F.lit(1), at - F.lit(shape["labels"] or 1) + 1), at),
-        lambda i: F.array_join(F.slice("__labels", i, at), "."),
+        lambda i: F.array_join(F.slice("labels", i, at), "."),
     )
     lengths = F.array(*[F.lit(n) for n in shape["lengths"]]).cast("array<int>")
-    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("__path")), lambda n: F.substring(F.col("__path"), F.lit(1), n))
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    asked = pages.select(F.col(f"`{url}`").alias("url")).where(host(F.col("url")) != "").distinct()
     expressions = (
-        pages.select(F.col(url).alias("__url"))
-        .where(host(F.col("__url")) != "")
-        .distinct()
-        .withColumns({"__labels": F.split(host(F.col("__url")), r"\."), "__path": path(F.col("__url"))})
-        .select("__url", "__path", F.explode(suffixes).alias("__host"))
-        .select("__url", "__host", F.explode(prefixes).alias("__path"))
-        .withColumn("__digest", digest(F.col("__host"), F.col("__path")))
-        .withColumn("__short", F.left("__digest", F.lit(SHORT)))
+        asked.withColumns({"labels": F.split(host(F.col("url")), r"\."), "path": path(F.col("url"))})
+        .select("url", "path", F.explode(suffixes).alias("host"))
+        .select("url", "host", F.explode(prefixes).alias("path"))
+        .withColumn("digest", digest(F.col("host"), F.col("path")))
+        .select("url", "digest", F.left("digest", F.lit(SHORT)).alias("short"))
     )
-    known = rules.select(
-        F.struct(
-            (F.length("host") + F.length("path")).alias("long"),
-            F.length("host").alias("host_long"),
-            (F.col("verdict") == "block").cast("int").alias("block"),
-            F.concat("host", "path").alias("rule"),
-            F.col("verdict").alias("verdict"),
-        ).alias("__rule"),
-        digest(F.col("host"), F.col("path")).alias("__full"),
-    ).withColumn("__short", F.left("__full", F.lit(SHORT)))
+    known, keys = _known(rules), ["short"]
+    if shape["n"] <= few:
+        known = F.broadcast(known)
+    else:
+        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        expressions, keys = expressions.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")), ["short", "salt"]
     judged = (
-        expressions.join(known, "__short")
-        .where(F.col("__digest") == F.col("__full"))
-        .groupBy("__url")
-        .agg(F.max("__rule").alias("__rule"))
+        expressions.join(known, keys)
+        .where(F.col("digest") == F.col("full"))
+        .groupBy("url")
+        .agg(F.max("rule").alias("__rule"))
+        .withColumnRenamed("url", "__url")
     )
-    base = pages.drop("host", "path", "rule", "verdict") if url not in ("host", "path", "rule", "verdict") else pages
-    return base.join(judged, F.col(url) == F.col("__url"), "left").select(
-        *[F.col(f"`{c}`") for c in base.columns],
-        F.coalesce(host(F.col(url)), F.lit("")).alias("host"),
-        F.coalesce(path(F.col(url)), F.lit("")).alias("path"),
+    found = F.col("__asked")
+    # rows that no rule can fit are spread by the task that reads them, and meet none
+    nowhere = F.concat(F.lit("\0"), F.spark_partition_id().cast("string"))
+    rows = pages.select(struct_of(pages, *RESULTS).alias("__row"), F.col(f"`{url}`").alias("__asked"))
+    rows = rows.withColumn("__url", F.when(F.coalesce(host(found), F.lit("")) != "", found).otherwise(nowhere))
+    return rows.join(judged, "__url", "left").select(
+        *fields(pages, "__row", *RESULTS),
+        F.coalesce(host(found), F.lit("")).alias("host"),
+        F.coalesce(path(found), F.lit("")).alias("path"),
         F.col("__rule.rule").alias("rule"),
         F.coalesce("__rule.verdict", F.lit("allow")).alias("verdict"),
     )
