@@ -9,9 +9,11 @@ threshold bin.  The list is emitted as an ordered ``CASE`` expression.  Only
 DataFrame functions are used.
 
 Defined results: a null or empty text has no words and fails the base rules;
-rows without a label, or with a null one, aren't learned from, and without any
-usable label the list is empty; repeated rows are judged each for itself; other
-columns pass through ``keep_good``.
+rows without a label, or with a null one, aren't learned from, an id with both
+labels counts as poor, and without any usable label the list is empty; of equal
+gains the first statistic, the lowest threshold and "at most" win; repeated
+rows are judged each for itself; an empty table gives an empty one; other
+columns pass through ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, discard, materialize, words
+from .common import bind, discard, fields, materialize, struct_of, words
 
 #: Words of a window whose second finding in a text is a repeat.
 WINDOW = 8
@@ -32,6 +34,8 @@ SYMBOLS = "#*$%&|<>"
 #: Thresholds of each statistic that conditions may use.
 BINS = 16
 MOST_RULES, MOST_CONDITIONS = 8, 3
+#: Labelled rows that are learned from, at most; of more, those with the smallest hash.
+MOST_LABELS = 50_000
 #: Share of poor rows among those held back that a rule covers, and their least number.
 PRECISION, COVER = 0.9, 4
 
@@ -156,15 +160,21 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def learn(statistics: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality") -> DecisionList:
-    """The list for rows whose ``label`` is 0, from all labelled ``statistics``.
+def labelled(labels: DataFrame, id: str = "doc_id", label: str = "quality", most: int = MOST_LABELS) -> DataFrame:
+    """(__id, __poor) of at most ``most`` labelled ids, few enough to broadcast; an id with both labels is poor."""
+    known = labels.select(F.col(id).alias("__id"), (F.col(label) == 0).cast("int").alias("__poor")).where("__poor is not null and __id is not null")
+    known = known.groupBy("__id").agg(F.max("__poor").alias("__poor"))
+    return known.orderBy(F.xxhash64(F.lit("sample"), "__id"), "__id").limit(most)
+
+
+def learn(statistics: DataFrame, known: DataFrame, id: str = "doc_id") -> DecisionList:
+    """The list for rows that are poor in ``known`` (see ``labelled``).
 
     ``statistics`` has the columns of ``with_statistics`` and ``id``.  A third
     of the ids, by hash, prunes and judges; the others grow.
     """
-    known = labels.select(F.col(id).alias("__id"), (F.col(label) == 0).cast("int").alias("__poor")).where("__poor is not null").distinct()
     names = list(features())
-    rows = statistics.select(F.col(id).alias("__id"), *[v.alias(k) for k, v in features().items()]).join(known, "__id")
+    rows = statistics.select(F.col(id).alias("__id"), *[v.alias(k) for k, v in features().items()]).join(F.broadcast(known), "__id")
     rows = materialize(rows.withColumn("__prune", F.pmod(F.xxhash64("__id"), F.lit(3)) == 0).drop("__id"), "labelled")
     quantiles = [F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 1000).alias(k) for k in names]
     found = rows.agg(*quantiles).first()
@@ -247,22 +257,24 @@ def judge(statistics: DataFrame, rules: DecisionList) -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", most: int = MOST_LABELS) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule, kept) of each row."""
-    rows = materialize(with_statistics(docs.select(F.col(id), F.col(text).alias("__text")), "__text").drop("__text"), "statistics")
-    found = judge(rows, learn(rows, labels, id))
-    return found.select(id, *[F.col(f"__{n}").alias(n) for n in STATISTICS[:5]], "base_failed", "rule", "kept")
+    some = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"))
+    rows = materialize(with_statistics(some, "__text").drop("__text"), "statistics")
+    found = judge(rows, learn(rows, labelled(labels, id, most=most), "__id"))
+    return found.select(F.col("__id").alias(id), *[F.col(f"__{n}").alias(n) for n in STATISTICS[:5]], "base_failed", "rule", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", most: int = MOST_LABELS) -> DataFrame:
     """The rows of ``docs`` that are kept, unchanged.
 
-    The list is learned from the labelled rows alone; then every row is judged
-    where it is read, and nothing of the texts is shuffled.
+    The list is learned from the statistics of the labelled rows alone; then
+    every row is judged where it is read, and no text is shuffled.
     """
-    some = docs.select(F.col(id), F.col(text).alias("__text"))
+    known = materialize(labelled(labels, id, most=most), "known")
+    some = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id", "left_semi")
     rows = materialize(with_statistics(some, "__text").drop("__text"), "statistics")
-    rules = learn(rows, labels, id)
-    discard(rows)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")).withColumn("__text", F.col("__row")[text])
-    return judge(with_statistics(whole, "__text"), rules).where("kept").select("__row.*")
+    rules = learn(rows, known, "__id")
+    discard(rows, known)
+    whole = docs.select(struct_of(docs).alias("__row"), F.col(text).alias("__text"))
+    return judge(with_statistics(whole, "__text"), rules).where("kept").select(*fields(docs))
