@@ -1,4 +1,4 @@
-"""Connected components of a graph given as edges, by label propagation with jumps."""
+"""Connected components of a graph given as edges, by hooking trees and shortening them."""
 
 from __future__ import annotations
 
@@ -11,26 +11,28 @@ from .common import discard, materialize
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs to (node, label): the smallest node reachable.
 
-    Each round takes the smallest label among neighbours and then that label's
-    own label, so chains shorten by half a round.  A round's labels are written
-    in the shared folder, and rounds end when no label changes.  Nodes without
-    an edge don't appear.
+    Each node points to a smaller one, at first to its smallest neighbour.  A
+    round looks at where the neighbours' pointers lead in two steps: the
+    smallest of these becomes the pointer of the node and of what it pointed
+    to, so whole trees are hooked at once, and pointers skip a step.  Rounds
+    grow with the logarithm of the longest path; a round's pointers are written
+    in the shared folder, and rounds end when none changes.  Nodes without an
+    edge don't appear.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    graph = materialize(both.distinct(), "graph")
+    one = edges.where("a <> b").select("a", "b")
+    graph = materialize(one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph")
     labels = materialize(graph.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = (
-            graph.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        better = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("ahead"))
-        jumped = better.join(ahead, "label", "left").select("node", "before", F.least("label", F.coalesce("ahead", "label")).alias("label"))
-        new = materialize(jumped, "labels")
+        # roots point to themselves, so every pointer leads somewhere
+        two = materialize(labels.join(ahead, "label").select("node", "label", "ahead"), "ahead")
+        near = graph.join(two.select(F.col("node").alias("b"), "ahead"), "b").groupBy(F.col("a").alias("node")).agg(F.min("ahead").alias("near"))
+        seen = materialize(two.join(near, "node"), "near")
+        hooked = seen.groupBy(F.col("label").alias("node")).agg(F.min("near").alias("hook"))
+        new = seen.join(hooked, "node", "left").select("node", F.col("label").alias("before"), F.least("ahead", "near", F.coalesce("hook", "ahead")).alias("label"))
+        new = materialize(new, "labels")
         changed = new.where("label <> before").limit(1).count()
-        discard(labels)
+        discard(labels, two, seen)
         labels = new
         if not changed:
             discard(graph)

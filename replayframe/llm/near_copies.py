@@ -26,7 +26,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, discard, materialize
@@ -36,8 +36,8 @@ from .simhash import _LOWER, one_row_each
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits that fingerprints of linked texts may differ in: about five standard deviations over the mean at 0.8.
 RADIUS = 24
-#: Members of a shard that are compared at once.
-SHARD = 1024
+#: Members of a shard that are compared as one unit, at most, and of one that a join compares; rows of a unit looked at together.
+SHARD, FEW, ROWS = 1024, 32, 128
 #: One text in so many is looked at for frequent shingles; those in so many of them come last, up to so many.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 8, 100_000
 
@@ -60,9 +60,11 @@ def fingerprint(found: np.ndarray) -> int:
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The shingles of which a set of at least this similarity has one among its own."""
+    """The shingles of which a set of at least this similarity has one among its own; ``frequent`` is sorted."""
     n = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
-    last = np.isin(found, frequent)
+    if not len(frequent):
+        return found[:n]
+    last = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
     return np.concatenate([found[~last], found[last]])[:n]
 
 
@@ -74,7 +76,7 @@ def _frequent(plain: DataFrame, shingle: int) -> np.ndarray:
 
     sample = plain.where(F.pmod("__same", F.lit(SAMPLE)) == 0).select("__text")
     counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    return np.array([r["shingle"] for r in counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()], np.int64)
+    return np.sort(np.array([r["shingle"] for r in counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()], np.int64))
 
 
 def _sets(plain: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -99,7 +101,7 @@ def _sets(plain: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return plain.mapInArrow(run, "__id long, __same long, set long, fp long, n int, keys array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of sets that have the similarity; ``texts`` has (set, __text)."""
     pairs = materialize(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
@@ -118,11 +120,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return out
 
 
+def _alike(n: Column, fp: Column, other_n: Column, other_fp: Column, radius: int, similarity: float) -> Column:
+    """Whether sizes and fingerprints let two sets have the similarity."""
+    return (F.bit_count(fp.bitwiseXOR(other_fp)) <= radius) & (F.least(n, other_n) >= similarity * F.greatest(n, other_n) - 1e-9)
+
+
 def _across(members: DataFrame, radius: int, similarity: float, shard: int) -> DataFrame:
-    """Pairs (a, b) of members (key, set, fp, n, label) of a shard with different labels."""
+    """Pairs (a, b) of members (key, set, fp, n, label) of a shard with different labels.
+
+    The members of a small shard meet in a join; larger ones are cut into
+    parts, and each part is compared with each as a unit of its own.
+    """
     mixed = members.groupBy("key").agg(F.count("*").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    some = materialize(members.join(mixed.select("key", "all"), "key"), "mixed")
+    small = some.where(F.col("all") <= FEW).drop("all")
+    other = small.select("key", *[F.col(c).alias(f"other_{c}") for c in ("set", "fp", "n", "label")])
+    near = _alike(F.col("n"), F.col("fp"), F.col("other_n"), F.col("other_fp"), radius, similarity)
+    few = small.join(other, "key").where((F.col("set") < F.col("other_set")) & (F.col("label") != F.col("other_label")) & near)
     units = (
-        members.join(mixed.select("key", "all"), "key")
+        some.where(F.col("all") > FEW)
         .withColumn("parts", F.ceil(F.col("all") / shard).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -136,17 +152,20 @@ def _across(members: DataFrame, radius: int, similarity: float, shard: int) -> D
         stream = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in names)))
         for (_, low, high), rows in groupby(stream, key=lambda r: r[:3]):
             second, name, fp, n, label = (np.array(x) for x in list(zip(*rows))[3:])
+            fp = fp.view(np.uint64)  # bits of signed numbers are counted without the sign
             one = np.flatnonzero(~second)
             two = one if low == high else np.flatnonzero(second)
-            for i in one:
-                near = two[(label[two] != label[i]) & (np.bitwise_count(fp[two] ^ fp[i]) <= radius)]
-                near = near[np.minimum(n[near], n[i]) >= similarity * np.maximum(n[near], n[i]) - 1e-9]
-                near = near[name[near] > name[i]] if low == high else near
-                if len(near):
-                    ends = np.full(len(near), name[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ends, name[near])), pa.array(np.maximum(ends, name[near]))], ["a", "b"])
+            for some in np.array_split(one, 1 + len(one) // ROWS):
+                left, right = some[:, None], two[None, :]
+                near = (label[left] != label[right]) & (np.bitwise_count(fp[left] ^ fp[right]) <= radius)
+                near &= np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9
+                a, b = np.nonzero(near & (name[left] < name[right]) if low == high else near)
+                a, b = name[some[a]], name[two[b]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return units.mapInArrow(run, "a long, b long").distinct()
+    found = units.mapInArrow(run, "a long, b long").union(few.select(F.col("set").alias("a"), F.col("other_set").alias("b"))).distinct()
+    return found
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
@@ -164,14 +183,14 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
 
     order = Window.partitionBy("key").orderBy("n", "fp", "set")
     before = F.lag(F.struct("set", "fp", "n")).over(order)
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("before.fp"))) <= radius) & (F.col("before.n") >= similarity * F.col("n") - 1e-9)
+    near = _alike(F.col("n"), F.col("fp"), F.col("before.n"), F.col("before.fp"), radius, similarity)
     pairs = members.withColumn("before", before).where(near)
     pairs = pairs.select(F.least("set", "before.set").alias("a"), F.greatest("set", "before.set").alias("b")).distinct()
-    first = _verified(pairs, texts, shingle, similarity)
+    first = verified(pairs, texts, shingle, similarity)
     labels = connected_components(first)
     labelled = members.join(labels, members["set"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set")).drop("node")
     labelled = materialize(labelled, "labelled")
-    second = _verified(_across(labelled, radius, similarity, shard), texts, shingle, similarity)
+    second = verified(_across(labelled, radius, similarity, shard), texts, shingle, similarity)
     labels = connected_components(first.union(second))
     named = each.join(labels, each["set"] == labels["node"], "left").select("set", "least", F.coalesce("label", "set").alias("label"))
     named = materialize(named, "named")
