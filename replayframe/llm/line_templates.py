@@ -15,8 +15,8 @@ Lines that are identical but for numbers need fewer texts the longer they are:
 
 Leaves and templates are counted by aggregation, never gathered; leaves that
 few texts reach are left out before tokens are looked at.  Exact copies of a
-text count once and lose the same lines, so near-dedup can follow; a column
-``same`` can name larger groups of texts that count as one.
+text count once and lose the same lines, so near-dedup can follow; on demand
+near copies (five-word shingles, similarity 0.8) are left to it in the same way.
 
 Defined results: a null or empty text stays as it is; lines of fewer than
 ``LEAST_TOKENS`` words never go; a text that loses all its lines becomes empty,
@@ -33,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, discard, materialize
+from .common import LAST_ID, discard, materialize, struct_of
+from .components import connected_components
+from .near_copies import verified
 
 #: Leading tokens that a line goes down by.
 DEPTH = 3
@@ -45,6 +47,8 @@ SIMILAR = 0.5
 SHARES = (0.0, 0.1, 0.5, 0.9)
 #: Up to so many rows of a few longs, a table goes to all executors; beyond, it is shuffled.
 SMALL = 1_000_000
+#: From this share of its words on that a text would lose to one other, it is asked whether it is a copy of that one.
+SHARED = 0.05
 VARIABLE = b"<*>"
 _DIGITS = b"0123456789"
 
@@ -80,10 +84,6 @@ def least_identical(n: Column, least_texts: int = LEAST_TEXTS) -> Column:
     return F.least(F.lit(least_texts), F.greatest(F.lit(2), F.ceil(IDENTICAL_WORDS / n))).cast("long")
 
 
-def _same(text: str, same: str | None) -> Column:
-    return F.coalesce(F.col(same) if same else F.xxhash64(text), F.lit(0))
-
-
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
@@ -94,32 +94,54 @@ def _leaf(found: list[bytes]) -> int:
     return _hash([str(len(found)).encode(), *found[:DEPTH]])
 
 
-def _identical(plain: DataFrame, least_texts: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(__same, line): the identical lines that enough texts have, without the first of these; and the tables behind it."""
+def _identical(plain: DataFrame, least_texts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(__same, line, words, first): the identical lines that enough texts have, without the ``first`` of these;
+    the lines of all texts, with the words of the whole text; and the lines that recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
-            row, line, n = [], [], []
+            row, line, n, whole = [], [], [], []
             for k, t in enumerate(batch["__text"].cast(pa.binary()).to_pylist()):
-                found = {_hash(x): len(x) for _, x in _lines(t)}
+                parts = [(_hash(x), len(x)) for _, x in _lines(t)]
+                found = dict(parts)
                 row += [k] * len(found)
                 line += found
                 n += found.values()
+                whole += [sum(w for _, w in parts)] * len(found)
             pick = pa.array(row, pa.int32())
-            columns = [batch["__id"].take(pick), batch["__same"].take(pick), pa.array(line, pa.int64()), pa.array(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "line", "words"])
+            columns = [batch["__id"].take(pick), batch["__same"].take(pick), pa.array(line, pa.int64()), pa.array(n, pa.int32()), pa.array(whole, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "line", "words", "whole"])
 
-    each = plain.mapInArrow(run, "__id long, __same long, line long, words int")
-    each = materialize(each.groupBy("line", "__same").agg(F.min("__id").alias("__id"), F.first("words").alias("words")), "identical")
+    each = plain.mapInArrow(run, "__id long, __same long, line long, words int, whole int").groupBy("line", "__same")
+    each = materialize(each.agg(F.min("__id").alias("__id"), F.first("words").alias("words"), F.max("whole").alias("whole")), "identical")
     counts = each.groupBy("line").agg(F.count("*").alias("n"), F.first("words").alias("words"), F.min(F.struct("__id", "__same")).alias("least"))
     often = counts.where((F.col("n") > 1) & (F.col("n") >= least_identical(F.col("words"), least_texts)))
     often = materialize(often.select("line", F.col("least.__same").alias("first")), "often")
-    return each.join(_small(often), "line").where("__same <> first").select("__same", "line"), [each, often]
+    return each.join(_small(often), "line").where("__same <> first").select("__same", "line", "words", "first"), each, often
+
+
+def _copies(lost: DataFrame, each: DataFrame, plain: DataFrame) -> DataFrame:
+    """(a, b): texts that would lose lines to the texts of which they are near copies."""
+    shared = lost.groupBy("__same", "first", "line").agg(F.max("words").alias("words")).groupBy("__same", "first").agg(F.sum("words").alias("words"))
+    most = shared.groupBy("__same").agg(F.max(F.struct("words", "first")).alias("most"))
+    whole = each.groupBy("__same").agg(F.max("whole").alias("whole"))
+    pairs = most.join(whole, "__same").where(F.col("most.words") >= SHARED * F.col("whole"))
+    pairs = materialize(pairs.select(F.col("__same").alias("a"), F.col("most.first").alias("b")), "asked")
+    asked = pairs.select(F.col("a").alias("__same")).union(pairs.select("b")).distinct()
+    texts = plain.join(asked, "__same", "left_semi").groupBy(F.col("__same").alias("set")).agg(F.first("__text").alias("__text"))
+    texts = materialize(texts, "texts")
+    out = verified(pairs, texts)
+    discard(pairs, texts)
+    return out
+
 
+def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, spare_copies: bool = False) -> DataFrame:
+    """(__same, lines): hashes of the lines that the texts with the hash ``__same`` lose.
 
-def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, same: str | None = None) -> DataFrame:
-    """(__same, lines): hashes of the lines that the texts with the hash ``__same`` lose."""
-    plain = docs.select(F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), _same(text, same).alias("__same"), F.col(text).alias("__text"))
+    With ``spare_copies`` a near copy loses no lines to the texts that it is
+    linked with, but the same lines as these to all others.
+    """
+    plain = docs.select(F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"), F.col(text).alias("__text"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
@@ -179,24 +201,35 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
     templates = materialize(
         shaped.select("line", "length", "leaf", F.explode(options).alias("constant"))
         .where(F.size("constant") >= SIMILAR * F.col("length"))
-        .select("line", F.xxhash64("leaf", "constant").alias("template")),
+        .select("line", F.col("length").alias("words"), F.xxhash64("leaf", "constant").alias("template")),
         "templates",
     )
     matched = having.join(_small(templates), "line")
     texts = matched.groupBy("template", "__same").agg(F.min("__id").alias("__id"))
     recurring = texts.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__same")).alias("first"))
     recurring = materialize(recurring.where(F.col("n") >= least_texts).select("template", F.col("first.__same").alias("first")), "recurring")
-    lost = matched.join(_small(recurring), "template").where("__same <> first").select("__same", "line")
-    alike, tables = _identical(plain, least_texts)
-    out = materialize(lost.union(alike).groupBy("__same").agg(F.collect_set("line").alias("lines")), "lost")
-    discard(full, found, having, lines, templates, recurring, *tables)
+    lost = matched.join(_small(recurring), "template").where("__same <> first").select("__same", "line", "words", "first")
+    alike, each, often = _identical(plain, least_texts)
+    lost = lost.union(alike)
+    tables = [full, found, having, lines, templates, recurring, each, often]
+    if spare_copies:
+        lost = materialize(lost, "found")
+        links = _copies(lost, each, plain)
+        groups = materialize(connected_components(links), "groups")
+        of = lambda name: groups.select(F.col("node").alias(name), F.col("label").alias(f"group_{name}"))
+        grouped = lost.join(of("__same"), "__same", "left").join(of("first"), "first", "left")
+        outside = F.coalesce("group___same", "__same") != F.coalesce("group_first", "first")
+        tables += [lost, links, groups]
+        lost = grouped.where(outside)
+    out = materialize(lost.groupBy("__same").agg(F.collect_set("line").alias("lines")), "lost")
+    discard(*tables)
     return out
 
 
-def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, same: str | None = None) -> DataFrame:
+def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, spare_copies: bool = False) -> DataFrame:
     """(__row, __kept, __lines, __dropped): each row, its text without recurring lines, and counts of lines."""
-    lost = recurring_lines(docs, id, text, least_texts, same)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"), _same(text, same).alias("__same"))
+    lost = recurring_lines(docs, id, text, least_texts, spare_copies)
+    keyed = docs.select(struct_of(docs).alias("__row"), F.col(text).alias("__text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
@@ -214,10 +247,10 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_te
     return joined.mapInArrow(cut, joined.select("__row").schema.add("__kept", "string").add("__lines", "long").add("__dropped", "long"))
 
 
-def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, same: str | None = None) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, spare_copies: bool = False) -> DataFrame:
     """``docs`` with shorter texts."""
     values = {text: F.col("__kept")}
     if "n_chars" in docs.columns:
         size = F.length("__kept").cast(docs.schema["n_chars"].dataType)
         values["n_chars"] = F.when(F.col("__dropped") > 0, size).otherwise(F.col("__row")["n_chars"])
-    return drop_lines(docs, id, text, least_texts, same).select(*[values.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
+    return drop_lines(docs, id, text, least_texts, spare_copies).select(*[values.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -183,12 +184,60 @@ def test_mixing_reaches_targets(spark, texts):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def highest(shares, seats):
+    quotients = sorted((-s / (2 * j + 1), k) for k, s in enumerate(shares) for j in range(seats + 2))[:seats]
+    return {k: sum(1 for _, x in quotients if x == k) for k in range(len(shares))}
+
+
 def test_sainte_lague_matches_highest_quotients(spark):
-    shares = [7.3, 2.2, 2.2, 0.3, 8.0]
-    df = spark.createDataFrame([(0, k, s, 20) for k, s in enumerate(shares)], "g int, p int, share double, seats long")
-    found = {r["p"]: r["quota"] for r in mixing.sainte_lague(df, "g", "p", "share", "seats").collect()}
-    quotients = sorted((-s / (2 * j + 1), k) for k, s in enumerate(shares) for j in range(30))[:20]
-    assert found == {k: sum(1 for _, x in quotients if x == k) for k in range(5)}
+    rng = random.Random(8)
+    cases = [[7.3, 2.2, 2.2, 0.3, 8.0], [0.4] * 10, [0.6] * 10, [0.0, 5.2], [rng.random() * 9 for _ in range(60)], [rng.random() * 0.9 for _ in range(200)], [40.4] + [0.45] * 30]
+    for shares in cases:
+        for seats in {round(sum(shares)), round(sum(shares)) + 3, max(0, round(sum(shares)) - 2)}:
+            df = spark.createDataFrame([(0, k, s, seats) for k, s in enumerate(shares)], "g int, p int, share double, seats long")
+            for within in (["g"], []):
+                found = {r["p"]: r["quota"] for r in mixing.sainte_lague(df, within, "p", "share", "seats").collect()}
+                assert found == highest(shares, seats), (shares, seats, within)
+
+
+def test_many_shards_are_apportioned_quickly(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(0).alias("g"), (F.col("id") / 512).cast("int").alias("h"), "id", F.lit(0.49).alias("share"))
+    seats = df.groupBy("h").agg(F.round(F.sum("share")).cast("long").alias("seats"))
+    began = time.perf_counter()
+    found = mixing.sainte_lague(df.join(seats, "h"), ["h"], "id", "share", "seats").agg(F.sum("quota").alias("q"), F.max("quota").alias("m")).first()
+    assert abs(found["q"] - 0.49 * n) < 200 and found["m"] == 1
+    assert time.perf_counter() - began < 10
+
+
+def test_small_sources_reach_their_targets(spark):
+    # beside a large source, those of few words: no block of the mix is too large for them
+    some = [(k, " ".join(["w"] * 3000), "big") for k in range(300)] + [(1000, "w " * 7, "a"), (1001, "w " * 170, "b"), (1002, "w " * 1025, "c"), (1003, "w", "d")]
+    taken, target = {}, {}
+    for r in mixing.mix(table(spark, some)).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+    assert target["a"] == 21 and all(abs(taken[s] - target[s]) <= 1 + target[s] / 256 for s in target), (taken, target)
+
+
+def test_targets_match_brute_force(spark):
+    rng = random.Random(3)
+    for n in (1, 2, 7, 40):
+        sizes = [(f"s{k:03}" if k else None, rng.choice([0, 1, 5, 100, 10_000])) for k in range(n)]
+        order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+        weight = {s: (5, 2, 1)[k % 3] for k, (s, _) in enumerate(order)}
+        cap, full = {s: 3 * z for s, z in sizes}, set()
+        total = sum(z for _, z in sizes)
+        while True:
+            rest = total - sum(cap[s] for s in full)
+            share = {s: rest * weight[s] / sum(w for x, w in weight.items() if x not in full) for s in weight if s not in full}
+            over = {s for s, t in share.items() if t > cap[s]}
+            if not over:
+                break
+            full |= over
+        want = {s: float(cap[s]) if s in full else share[s] for s in weight}
+        got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in want), (got, want)
 
 
 def test_bpe_is_exact(spark, texts):
