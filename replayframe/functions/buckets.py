@@ -41,3 +41,20 @@ def intervals() -> list[tuple[str, float, float | None, float | None]]:
 def interval_distance(lower: Column, upper: Column, truth: Column) -> Column:
     """How far ``truth`` lies outside an interval; at its lower bound the distance is 0."""
     return F.when(truth <= lower, lower - truth).when(upper.isNotNull() & (truth > upper), truth - upper).otherwise(F.lit(0.0))
+
+
+def chip_bounds(bucket: Column, base: Column) -> Column:
+    """(lower, upper, lower_included, upper_included): a bucket's interval times its base; null for ZERO, and no upper bound for the last."""
+    out = F.lit(None).cast("struct<lower:double,upper:double,lower_included:boolean,upper_included:boolean>")
+    for name, lower, upper, _ in intervals():
+        top = base * F.lit(upper) if upper is not None else F.lit(None).cast("double")
+        bounds = F.struct((base * F.lit(lower)).alias("lower"), top.alias("upper"), F.lit(False).alias("lower_included"), F.lit(upper is not None).alias("upper_included"))
+        out = F.when(bucket == name, bounds).otherwise(out)
+    return out
+
+
+def contains(bounds: Column, value: Column) -> Column:
+    """Whether a value lies in an interval, whose ends count if they are included."""
+    low = F.when(bounds["lower_included"], value >= bounds["lower"]).otherwise(value > bounds["lower"])
+    high = F.when(bounds["upper"].isNull(), True).when(bounds["upper_included"], value <= bounds["upper"]).otherwise(value < bounds["upper"])
+    return low & high

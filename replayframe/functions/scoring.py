@@ -30,3 +30,10 @@ def group_sums(values: Column, groups: list[list[int]]) -> Column:
 
 def floored_loss(p: Column) -> Column:
     return -F.log(F.greatest(p, F.lit(1e-45)))
+
+
+def sample(p: Column, uniform: Column) -> Column:
+    """The place (from 0) that ``uniform``, from [0, 1), falls on among probabilities laid end to end."""
+    sums = F.aggregate(p, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + x)))
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return F.least(F.size(F.filter(sums, lambda s: s <= uniform * total)), F.size(p) - 1)

@@ -11,6 +11,22 @@ def header_field(text: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?m)^[ \t]*{name}[ \t]*=[ \t]*([^\r\n]*)$", 1)), F.lit(""))
 
 
+#: A line that begins a table of a document: its name in brackets.
+TABLE_LINE = r"(?m)^[ \t]*\[([^\[\]\r\n]+)\][ \t]*$"
+
+
+def unquoted(value: Column) -> Column:
+    """What a field holds in quotes; null if it isn't in quotes or in unlike ones."""
+    return F.nullif(F.regexp_extract(value, r"""^(?:'([^']*)'|"([^"]*)")""", 0), F.lit("")).substr(F.lit(2), F.length(F.regexp_extract(value, r"""^(?:'[^']*'|"[^"]*")""", 0)) - 2)
+
+
+def blocks(text: Column) -> Column:
+    """(key, block) of each table of a document, in order."""
+    keys = F.transform(F.regexp_extract_all(text, F.lit(TABLE_LINE), 1), lambda x: F.trim(x))
+    parts = F.split(text, TABLE_LINE)
+    return F.arrays_zip(keys.alias("key"), F.slice(parts, 2, F.size(parts)).alias("block"))
+
+
 def list_literal(text: Column, kind: str) -> Column:
     """``[a, b]`` as an array; null if it is no list or any element can't be cast."""
     inner = F.regexp_extract(text, r"^\s*\[([^\[\]]*)\]\s*$", 1)

@@ -4,18 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from .ranges import range_sums
+
+
+#: Items of one sequence.
+MOST_ITEMS = 1_000_000
 
 
 def build(df: DataFrame, key: str, order: list[str], items: Column) -> DataFrame:
-    """(key, items, length): the items of each key in order; one key's rows fit a task."""
+    """(key, items, length): the items of each key in order, as one array.
+
+    An array is a row, so this is for keys that are sequences of their own,
+    such as hands; a key of more than ``MOST_ITEMS`` rows stops the job before
+    its rows are gathered.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > MOST_ITEMS)
+    if counts.limit(1).count():
+        raise ValueError(f"a key has more than {MOST_ITEMS} rows; use windows or range sums")
     ranked = F.struct(*order, items.alias("__item"))
     listed = df.groupBy(key).agg(F.sort_array(F.collect_list(ranked)).alias("__rows"))
     return listed.select(key, F.transform("__rows", lambda r: r["__item"]).alias("items"), F.size("__rows").alias("length"))
 
 
-def running_offset(df: DataFrame, partition: str, order: str, length: str, name: str = "offset") -> DataFrame:
-    """Where each row's items would start if those of a partition stood end to end."""
-    before = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def running_offset(df: DataFrame, partition: str, order: str | list[str], length: str, name: str = "offset") -> DataFrame:
+    """Where each row's items would start if those of a partition stood end to end.
+
+    A number is ordered by ranges of its values, so that a partition may go
+    over many tasks; other orders keep a partition in one.
+    """
+    order = [order] if isinstance(order, str) else order
+    if isinstance(df.schema[order[0]].dataType, NumericType):
+        return range_sums(df, [partition], order, {name: F.col(length)})
+    before = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.coalesce(F.sum(length).over(before), F.lit(0)))
 
 
@@ -38,9 +60,13 @@ def streaks(df: DataFrame, partition: str, order: list[str], flag: str) -> DataF
 
 
 def rolling(df: DataFrame, partition: str, order: list[str], value: str, width: int, name: str = "rolled") -> DataFrame:
-    """The sum over each full window of ``width`` rows; null before the first."""
+    """The sum over each full window of ``width`` rows; null before the first.
+
+    A partition of fewer rows has one window, of all of them.
+    """
     w = Window.partitionBy(partition).orderBy(*order)
-    full = F.row_number().over(w) >= width
+    all_ = F.count("*").over(Window.partitionBy(partition))
+    full = F.row_number().over(w) >= F.least(F.lit(width), all_)
     return df.withColumn(name, F.when(full, F.sum(value).over(w.rowsBetween(1 - width, 0))))
 
 
@@ -58,3 +84,32 @@ def spans(df: DataFrame, partition: str, order: list[str], marker: Column, name:
     """Number the stretches that begin at each marker; 0 before the first."""
     w = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.sum(marker.cast("int")).over(w))
+
+
+def shared_prefixes(df: DataFrame, key: str, items: str, lengths: tuple[int, ...]) -> DataFrame:
+    """(key, k, n): for each of the ``lengths`` k that a sequence has, how many sequences begin with the same k items."""
+    ks = F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.size(items))
+    each = df.select(key, F.col(items).alias("__items"), F.explode(ks).alias("k"))
+    # what is counted and joined is a hash with a check, not the items
+    prefix = F.slice("__items", F.lit(1), F.col("k"))
+    each = each.select(key, "k", F.xxhash64(prefix).alias("__a"), F.hash(prefix).alias("__b"))
+    counts = each.groupBy("k", "__a", "__b").agg(F.count("*").alias("n"))
+    return each.join(counts, ["k", "__a", "__b"]).select(key, "k", "n")
+
+
+def exact_matches(candidates: DataFrame, stored: DataFrame, items: str) -> DataFrame:
+    """``candidates`` with ``known``: whether ``stored`` has a sequence or text that is the same."""
+    key = lambda df: df.withColumns({"__h": F.xxhash64(items)})
+    there = key(stored.select(items)).distinct().withColumn("__known", F.lit(True))
+    return key(candidates).join(there, ["__h", items], "left").withColumn("known", F.coalesce("__known", F.lit(False))).drop("__h", "__known")
+
+
+def longest(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of a total order, without sorting the others."""
+    return df.orderBy(*order).limit(k)
+
+
+def first_and_last(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """(key, first, last): the values of the first and the last row of each key."""
+    at = F.struct(*order)
+    return df.groupBy(key).agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"))

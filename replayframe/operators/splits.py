@@ -9,16 +9,27 @@ from ..functions.hashing import stable_fraction
 
 #: Groups that a closest subset is chosen from on the driver, names and counts.
 MOST_GROUPS = 10_000
+#: Different sums that are kept in mind on the way.
+MOST_SUMS = 5_000_000
 
 
 def closest_subset(groups: list[tuple[str, int]], target: int) -> set[str]:
-    """Groups whose sizes sum closest to ``target``; of ties the smaller sum, and the path found first."""
+    """Groups whose sizes sum closest to ``target``; of ties the smaller sum, and the path found first.
+
+    Sums of twice the target and more are no closer than none, so they aren't
+    followed; of what remains at most ``MOST_SUMS`` are kept in mind.
+    """
     if target <= 0:
         return set()
     found: dict[int, tuple] = {0: ()}
     for name, n in groups:
         for total in list(found):
-            found.setdefault(total + n, (name, found[total]))
+            if total + n < 2 * target:
+                found.setdefault(total + n, (name, found[total]))
+        if target in found:
+            break  # nothing is closer, and its path was found first
+        if len(found) > MOST_SUMS:
+            raise ValueError(f"more than {MOST_SUMS} different sums; assign groups with stable_fraction")
     best, out = found[min(found, key=lambda t: (abs(t - target), t))], set()
     while best:
         out.add(best[0])
@@ -33,12 +44,13 @@ def split_groups(df: DataFrame, group: str, seed: str, val: float = 0.10, test:
     """
     if not (0 <= val < 1 and 0 <= test < 1 and val + test < 1):
         raise ValueError("shares must be in [0, 1) and leave something to train on")
-    counts = df.groupBy(group).agg(F.count("*").alias("n"))
-    if counts.count() > MOST_GROUPS:
+    counts = df.groupBy(group).agg(F.count("*").alias("n")).withColumns({f"by_{p}": stable_fraction(F.col(group), f"{seed}:{p}") for p in ("test", "val")})
+    found = counts.limit(MOST_GROUPS + 1).collect()
+    if len(found) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups; assign them with stable_fraction")
 
     def ordered(part: str) -> list[tuple[str, int]]:
-        return [(r[0], r["n"]) for r in counts.orderBy(stable_fraction(F.col(group), f"{seed}:{part}"), group).select(group, "n").collect()]
+        return [(r[group], r["n"]) for r in sorted(found, key=lambda r: (r[f"by_{part}"] is None, r[f"by_{part}"] or 0.0, r[group] or ""))]
 
     total = sum(n for _, n in ordered("test"))
     tests = closest_subset(ordered("test"), round(total * test))

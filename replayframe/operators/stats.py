@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
+from .ranges import range_sums
 
-def _counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct values of each group with the number of rows up to each: what is ranked is a sum, not rows."""
+
+def _counted(df: DataFrame, by: list[str], value: str, ranges: int | None) -> DataFrame:
+    """Distinct values of each group with the rows up to each and in all: what is ranked is a sum, not rows.
+
+    Values are ranked by ranges, so a group may go over many tasks.
+    """
     each = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    upto = Window.partitionBy(*by).orderBy(value)
-    return each.withColumn("__upto", F.sum("__n").over(upto)).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
+    placed = range_sums(each, by, [value], {"__upto": F.col("__n")}, ranges).withColumn("__upto", F.col("__upto") + F.col("__n"))
+    whole = each.groupBy(*[F.col(c).alias(f"__of_{c}") for c in by]).agg(F.sum("__n").alias("__all"))
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return placed.join(whole, match).drop(*[f"__of_{c}" for c in by])
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """For each group the value at rank round-half-even((n - 1) f), by name."""
-    ranked = _counted(df, by, value)
-    at = {name: F.bround((F.col("__all") - 1) * F.lit(float(f))).cast("long") + 1 for name, f in fractions.items()}
-    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") >= k, F.col(value))).alias(name) for name, k in at.items()])
+def _at(rank: Column, value: str) -> Column:
+    """The value of a rank, counted from 1."""
+    return F.min(F.when(F.col("__upto") >= rank, F.col(value)))
 
 
-def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
-    """The middle value, of an even number the mean of the middle two."""
-    ranked = _counted(df, by, value)
-    low = F.min(F.when(F.col("__upto") >= F.floor((F.col("__all") + 1) / 2), F.col(value)))
-    high = F.min(F.when(F.col("__upto") >= F.floor(F.col("__all") / 2) + 1, F.col(value)))
-    return ranked.groupBy(*by).agg(((low + high) / 2).alias(name), F.first("__all").alias("n"))
+def nearest_rank(df: DataFrame, by: list[str], value: str, fractions: dict[str, float], ranges: int | None = None) -> DataFrame:
+    """For each group the value at rank round-half-even((n - 1) f), by name."""
+    ranked = _counted(df, by, value, ranges)
+    at = {name: F.bround((F.col("__all") - 1) * F.lit(float(f))).cast("long") + 1 for name, f in fractions.items()}
+    return ranked.groupBy(*by).agg(*[_at(k, value).alias(name) for name, k in at.items()])
+
+
+def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median", ranges: int | None = None) -> DataFrame:
+    """The middle value, of an even number the mean of the middle two: exact for decimals, which get a place more."""
+    kind = df.schema[value].dataType
+    half = F.lit(2)
+    if isinstance(kind, DecimalType):
+        wide = f"decimal({min(38, kind.precision + 2)},{min(37, kind.scale + 1)})"
+        df = df.withColumn(value, F.col(value).cast(wide))
+    ranked = _counted(df, by, value, ranges)
+    low, high = _at(F.floor((F.col("__all") + 1) / 2), value), _at(F.floor(F.col("__all") / 2) + 1, value)
+    middle = (low + high) / half
+    if isinstance(kind, DecimalType):
+        middle = middle.cast(wide)
+    return ranked.groupBy(*by).agg(middle.alias(name), F.first("__all").alias("n"))

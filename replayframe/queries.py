@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import buckets, hashing, legality, scoring, text
-from .operators import census, metrics, sequences, splits, stats
+from .operators import artifacts, batches, census, fingerprints, manifest, metrics, ranges, sequences, splits, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -126,16 +127,15 @@ def rejection_cascade(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT page_id, nullif(regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1), '') AS lang,
-  nullif(regexp_extract(html, '<meta[^>]*charset="([^"]*)"', 1), '') AS charset,
+@query(r"""SELECT page_id, nullif(regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1), '') AS lang, CASE WHEN regexp_extract(html, '<h1>([^<]*)', 1) = '' THEN NULL ELSE trim(regexp_extract(html, '<h1>([^<]*)', 1)) END AS title,
   CASE WHEN len(string_split(p, '/')) > 1 THEN string_split(p, '/')[1] ELSE 'root' END AS folder
 FROM (SELECT *, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS p FROM pages)""")
 def header_fields(spark, sf_dir):
-    found = lambda pattern: F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
-    parts = F.split(F.regexp_replace("url", r"^[a-z]+://[^/]*/?", ""), "/")
+    # a page's attributes as the lines of a header
+    header = F.concat(F.lit("lang = "), F.regexp_extract("html", '<html[^>]*lang="([^"]*)"', 1), F.lit("\ntitle = "), F.regexp_extract("html", "<h1>([^<]*)", 1), F.lit("\n"))
+    path = F.regexp_replace("url", r"^[a-z]+://[^/]*/?", "")
     return table(spark, sf_dir, "pages").select(
-        "page_id", found('<html[^>]*lang="([^"]*)"').alias("lang"), found('<meta[^>]*charset="([^"]*)"').alias("charset"),
-        F.when(F.size(parts) > 1, parts[0]).otherwise("root").alias("folder"),
+        "page_id", text.header_field(header, "lang").alias("lang"), text.header_field(header, "title").alias("title"), manifest.source_folder(path).alias("folder")
     )
 
 
@@ -150,12 +150,12 @@ def grouped_counter_rollup(spark, sf_dir):
     return found.select(name.alias("dimension"), F.coalesce("event_type", F.col("bucket").cast("string"), F.lit("")).alias("key"), "n", "total")
 
 
-@query("""WITH seen AS (SELECT DISTINCT user_id FROM events WHERE value > 60 OR user_id % 3 = 0),
+@query("""WITH seen AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0),
 first AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1)
 SELECT event_id, user_id, event_type FROM first f WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = f.user_id)""")
 def resume_anti_dedup(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    done = events.where("value > 60 or user_id % 3 = 0").select("user_id").distinct()
+    done = events.where("user_id % 3 = 0").select("user_id").distinct()
     first = sequences.keep_first(events.join(done, "user_id", "left_anti"), ["user_id", "event_type"], ["ts", "event_id"])
     return first.select("event_id", "user_id", "event_type")
 
@@ -339,8 +339,8 @@ def streaks(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT user_id, sum((value > 20)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
-SELECT user_id, min(s)::BIGINT AS least, max(s)::BIGINT AS most FROM r WHERE k >= 20 GROUP BY user_id""")
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, min(s)::BIGINT AS least, max(s)::BIGINT AS most FROM r WHERE k >= least(20, n) GROUP BY user_id""")
 def rolling_minmax(spark, sf_dir):
     rows = sequences.rolling(_flagged(spark, sf_dir).withColumn("n", F.col("ok").cast("long")), "user_id", ["ts", "event_id"], "n", 20)
     return rows.where("rolled is not null").groupBy("user_id").agg(F.min("rolled").alias("least"), F.max("rolled").alias("most"))
@@ -380,14 +380,13 @@ def behaviour_shares(spark, sf_dir):
 @query("SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id ORDER BY turns DESC, chars DESC, conv_id LIMIT 10")
 def longest_topk(spark, sf_dir):
     found = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
-    return found.orderBy(F.desc("turns"), F.desc("chars"), "conv_id").limit(10)
+    return sequences.longest(found, [F.desc("turns"), F.desc("chars"), F.col("conv_id")], 10)
 
 
 @query("SELECT count(*) AS candidates, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text)) AS known FROM benchmark b")
 def novelty_exact(spark, sf_dir):
-    key = lambda df: df.select("text", F.length("text").alias("n"), F.xxhash64("text").alias("h"))
-    found = key(table(spark, sf_dir, "benchmark")).join(key(table(spark, sf_dir, "documents")).distinct().withColumn("known", F.lit(True)), ["n", "h", "text"], "left")
-    return found.agg(F.count("*").alias("candidates"), F.count("known").alias("known"))
+    found = sequences.exact_matches(table(spark, sf_dir, "benchmark").select("text"), table(spark, sf_dir, "documents"), "text")
+    return found.agg(F.count("*").alias("candidates"), F.count_if("known").alias("known"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -395,12 +394,10 @@ k AS (SELECT unnest([1, 2, 3, 5]) AS k), p AS (SELECT k, doc_id, array_to_string
 c AS (SELECT k, prefix, count(*) AS n FROM p GROUP BY ALL)
 SELECT doc_id, k, n FROM p JOIN c USING (k, prefix) WHERE n > 1""".replace("\\\\", "\\"))
 def novelty_prefix(spark, sf_dir):
-    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-    ks = F.filter(F.array(*map(F.lit, (1, 2, 3, 5))), lambda k: k <= F.size("ws"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws")).select("doc_id", "ws", F.explode(ks).alias("k"))
-    prefixes = rows.select("doc_id", "k", F.array_join(F.slice("ws", F.lit(1), F.col("k")), " ").alias("prefix"))
-    counts = prefixes.groupBy("k", "prefix").agg(F.count("*").alias("n")).where("n > 1")
-    return prefixes.join(counts, ["k", "prefix"]).select("doc_id", "k", "n")
+    # no more of a text is split than the longest prefix needs
+    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+", 6)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.array_remove(words, ""), 1, 5).alias("items"))
+    return sequences.shared_prefixes(rows, "doc_id", "items", (1, 2, 3, 5)).where("n > 1")
 
 
 @query("SELECT o_orderkey, round(o_totalprice / min(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS scaled FROM orders")
@@ -428,8 +425,7 @@ def error_categories(spark, sf_dir):
 
 @query("SELECT user_id, arg_min(event_type, (ts, event_id)) AS first, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id")
 def first_action(spark, sf_dir):
-    at = F.struct("ts", "event_id")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", at).alias("first"), F.max_by("event_type", at).alias("last"))
+    return sequences.first_and_last(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
 CHECKS = [
@@ -452,11 +448,12 @@ def violations(spark, sf_dir):
     return F.broadcast(names).join(out, "violated", "left").select("violated", F.coalesce("n", F.lit(0)).alias("n"), "example")
 
 
-@query("""SELECT count(*) AS n, sha256(string_agg(n_name || chr(0) || n_nationkey || chr(10), '' ORDER BY n_nationkey)) AS digest FROM nation""")
+@query("""WITH files AS (SELECT n_name AS name, n_name || chr(0) || n_nationkey AS content FROM nation)
+SELECT count(*) AS files, sum(length(content))::BIGINT AS size, sha256(string_agg(name || chr(0) || length(content) || chr(0) || sha256(content) || chr(10), '' ORDER BY name)) AS digest FROM files""")
 def file_fingerprint(spark, sf_dir):
-    line = F.concat(F.col("n_name"), F.lit("\0"), F.col("n_nationkey").cast("string"), F.lit("\n"))
-    rows = table(spark, sf_dir, "nation").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("lines"))
-    return rows.select("n", F.sha2(F.array_join("lines.line", ""), 256).alias("digest"))
+    # each nation stands for a file, as binaryFile gives it
+    content = F.concat("n_name", F.lit("\0"), F.col("n_nationkey").cast("string")).cast("binary")
+    return fingerprints.combined(fingerprints.digests(table(spark, sf_dir, "nation").select(F.concat(F.lit("dir/"), "n_name").alias("path"), content.alias("content"))))
 
 
 @query("""SELECT unnest([0, 1, 2, 3])::INT AS position, unnest(['all', 'english', 'long', 'shouted']) AS step, unnest([a, b, c, d])::BIGINT AS n FROM (
@@ -473,3 +470,56 @@ def frequency_recount(spark, sf_dir):
     lines, by = table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"]
     some = lines.where((F.col("l_quantity") < 49) | (F.col("l_linenumber") < 5))
     return census.recount(*[x.groupBy(*by).agg(F.count("*").alias("n")) for x in (lines, some)], by)
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_quantity::DECIMAL(12,2) * 1.01 AS v FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY v) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM r)
+SELECT l_returnflag, any_value(n) AS n, ((sum(v) / count(*))::DECIMAL(18,5))::VARCHAR AS median FROM k WHERE i IN ((n + 1) // 2, n // 2 + 1) GROUP BY l_returnflag""")
+def decimal_median(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity").cast("decimal(12,2)") * F.lit(Decimal("1.01"))).alias("v"))
+    return stats.exact_median(rows, ["l_returnflag"], "v", ranges=8).select("l_returnflag", "n", F.col("median").cast("decimal(18,5)").cast("string").alias("median"))
+
+
+@query("""SELECT o_orderkey, sum(c) OVER (PARTITION BY p ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT o_orderkey, o_orderpriority AS p, 1 + o_custkey % 5 AS c FROM orders) QUALIFY before IS NOT NULL""")
+def range_offsets(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), (1 + F.col("o_custkey") % 5).alias("c"))
+    found = ranges.range_sums(rows, ["p"], ["o_orderkey"], {"before": F.col("c")}, ranges=16)
+    return found.where("before > 0").select("o_orderkey", "before")
+
+
+@query("""WITH t AS (SELECT conv_id, conv_id % 4 AS shard, count(*) AS length FROM conversations GROUP BY conv_id), s AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY shard ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN conv_id % 9 = 4 THEN 1 ELSE 0 END AS start FROM t),
+e AS (SELECT *, coalesce(lag(start + length) OVER (PARTITION BY shard ORDER BY conv_id), 0) AS expected FROM s) SELECT conv_id, start::BIGINT AS start, expected::BIGINT AS expected FROM e WHERE start <> expected OR length < 2""")
+def offset_violations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("length")).withColumn("shard", F.col("conv_id") % 4)
+    placed = sequences.running_offset(turns, "shard", "conv_id", "length", "start").withColumn("start", F.col("start") + F.when(F.col("conv_id") % 9 == 4, 1).otherwise(0))
+    return artifacts.offset_violations(placed, "shard", "conv_id", "start", "length").select("conv_id", "start", "expected")
+
+
+@query("SELECT value, CASE WHEN a THEN 'only_first' ELSE 'only_second' END AS side FROM (SELECT coalesce(x.v, y.v) AS value, y.v IS NULL AS a FROM (SELECT DISTINCT c_nationkey AS v FROM customer WHERE c_nationkey > 2) x FULL JOIN (SELECT DISTINCT n_nationkey AS v FROM nation WHERE n_nationkey < 22) y ON x.v = y.v WHERE x.v IS NULL OR y.v IS NULL)")
+def set_difference(spark, sf_dir):
+    one = table(spark, sf_dir, "customer").where("c_nationkey > 2").select(F.col("c_nationkey").alias("v"))
+    two = table(spark, sf_dir, "nation").where("n_nationkey < 22").select(F.col("n_nationkey").alias("v"))
+    return artifacts.set_difference(one, two, "v")
+
+
+@query(f"""WITH h AS (SELECT doc_id, n_chars, ('0x' || substr(sha256('b:3' || chr(0) || doc_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS f FROM documents),
+p AS (SELECT *, floor(f * 4)::INT AS part, row_number() OVER (PARTITION BY floor(f * 4) ORDER BY f, doc_id) - 1 AS rn FROM h),
+b AS (SELECT *, rn // 48 AS pool, row_number() OVER (PARTITION BY part, rn // 48 ORDER BY n_chars, rn) - 1 AS place FROM p)
+SELECT doc_id, part || '-' || pool AS pool, part || '-' || pool || '-' || (place // 16) AS batch FROM b""")
+def length_batches(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return batches.length_batches(docs, "doc_id", "n_chars", 16, 48, "b", epoch=3, pools=4).select("doc_id", "pool", "batch")
+
+
+@query(f"""WITH {SCORED}, u AS (SELECT vec_id, ('0x' || substr(sha256('draw' || chr(0) || vec_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM embeddings),
+c AS (SELECT p.vec_id, i, sum(p) OVER (PARTITION BY p.vec_id ORDER BY i) AS upto, u FROM probs p JOIN u USING (vec_id)) SELECT vec_id, coalesce(min(CASE WHEN upto > u THEN i END), 9) AS drawn FROM c GROUP BY vec_id""")
+def sampled_decisions(spark, sf_dir):
+    return _scored(spark, sf_dir).select("vec_id", scoring.sample(F.col("p"), hashing.stable_fraction(F.col("vec_id"), "draw")).alias("drawn"))
+
+
+@query(f"""WITH {PRICED}, dim(bucket, lower, upper, middle) AS (VALUES {INTERVALS}) SELECT p.bucket, count(*) AS n, count(*) FILTER (WHERE price > lower * total AND price <= upper * total) AS inside, round(sum(lower * total), 2) AS low, round(sum(upper * total), 2) AS high
+FROM priced p JOIN dim d USING (bucket) GROUP BY p.bucket""")
+def interval_chips(spark, sf_dir):
+    rows = _priced(spark, sf_dir).withColumn("b", buckets.chip_bounds(F.col("bucket"), F.col("total"))).where("b.upper is not null")
+    return rows.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.count_if(buckets.contains(F.col("b"), F.col("price"))).alias("inside"), F.round(F.sum("b.lower"), 2).alias("low"), F.round(F.sum("b.upper"), 2).alias("high")
+    )

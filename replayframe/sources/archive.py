@@ -6,12 +6,17 @@ must lie where all executors can open it, such as a shared file system. Members
 are dealt to tasks by size, and each task reads only its own.
 
 Options: ``prefix`` (comma-separated starts of member names), ``suffixes``
-(``.phh,.phhs``), ``header_bytes`` (read no more of each member),
-``max_member_bytes`` (a larger member is an error row), ``partition_bytes``.
+(``.phh,.phhs``), ``segment`` (a folder that must be on the way to a member),
+``limit`` (members, in the order of the directory), ``header_bytes`` (read no
+more of each member), ``max_member_bytes`` (a larger member is an error row),
+``partition_bytes``.  The directory is read once, on the driver; a task gets
+the places of its members.  Members known before are left out by an anti-join.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,10 +25,52 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "member string, position bigint, compressed_size bigint, uncompressed_size bigint, crc32 string, content string, bytes_read bigint, error string"
 
 
+@dataclass
+class Member:
+    """An entry of the directory: what it takes to read a member without the directory."""
+
+    position: int
+    name: str
+    offset: int
+    method: int
+    encrypted: bool
+    compressed: int
+    size: int
+    crc: int
+
+
 @dataclass
 class Members(InputPartition):
-    #: (position, name) of each member
-    names: list[tuple[int, str]]
+    members: list[Member]
+
+
+#: The fixed part of the header before a member's data, and where in it the lengths of name and extra field stand.
+HEADER, LENGTHS = 30, 26
+
+
+def read_member(file, m: Member, most: int) -> bytes:
+    """The first ``most`` bytes of a member; checked by its CRC if that is all of it."""
+    file.seek(m.offset)
+    head = file.read(HEADER)
+    if len(head) < HEADER or head[:4] != b"PK\x03\x04":
+        raise ValueError("no header where the directory points to")
+    name, extra = struct.unpack_from("<HH", head, LENGTHS)
+    file.seek(m.offset + HEADER + name + extra)
+    if m.encrypted or m.method not in (0, 8):
+        raise ValueError("encrypted, or packed in another way than by deflation")
+    if m.method == 0:
+        raw = file.read(min(m.compressed, most))
+    else:
+        unpack, raw, left = zlib.decompressobj(-15), b"", m.compressed
+        while left and len(raw) < most:
+            block = file.read(min(left, 1 << 16))
+            if not block:
+                raise ValueError("the archive ends inside a member")
+            left -= len(block)
+            raw += unpack.decompress(block, most - len(raw))
+    if len(raw) == m.size and zlib.crc32(raw) != m.crc:
+        raise ValueError("the checksum differs")
+    return raw
 
 
 class ArchiveReader(DataSourceReader):
@@ -31,53 +78,56 @@ class ArchiveReader(DataSourceReader):
         self.path = options["path"]
         self.prefixes = tuple(x for x in options.get("prefix", "").split(",") if x)
         self.suffixes = tuple(options.get("suffixes", ".phh,.phhs").lower().split(","))
+        self.segment = options.get("segment", "").lower().strip("/")
+        self.limit = int(options.get("limit", 0))
         self.header = int(options.get("header_bytes", 0))
         self.most = int(options.get("max_member_bytes", 64 << 20))
         self.share = int(options.get("partition_bytes", 32 << 20))
 
+    def wanted(self, name: str) -> bool:
+        low = name.lower()
+        return low.endswith(self.suffixes) and (not self.prefixes or name.startswith(self.prefixes)) and (not self.segment or f"/{self.segment}/" in f"/{low.lstrip('/')}")
+
     def partitions(self) -> list[Members]:
         import zipfile
 
-        parts, room = [], 0
+        parts, room, n = [], 0, 0
         with zipfile.ZipFile(self.path) as archive:
             for position, info in enumerate(archive.infolist()):
-                name = info.filename
-                if info.is_dir() or not name.lower().endswith(self.suffixes) or (self.prefixes and not name.startswith(self.prefixes)):
+                if info.is_dir() or not self.wanted(info.filename):
                     continue
+                n += 1
+                if self.limit and n > self.limit:
+                    break
                 cost = 4096 + (min(info.file_size, self.header) if self.header else info.file_size)
                 if not parts or cost > room:
                     parts.append(Members([]))
                     room = self.share
-                parts[-1].names.append((position, name))
+                parts[-1].members.append(Member(position, info.filename, info.header_offset, info.compress_type, bool(info.flag_bits & 1), info.compress_size, info.file_size, info.CRC))
                 room -= cost
         return parts or [Members([])]
 
     def read(self, partition: Members) -> Iterator[tuple]:
-        import zipfile
-
-        if not partition.names:
+        if not partition.members:
             return
-        with zipfile.ZipFile(self.path) as archive:
-            infos = archive.infolist()
-            for position, name in partition.names:
-                info = infos[position]
+        with open(self.path, "rb") as file:
+            for m in partition.members:
                 text, size, error = None, 0, None
                 try:
-                    if info.file_size == 0:
+                    if m.size == 0:
                         error = "empty_member"
-                    elif not self.header and info.file_size > self.most:
+                    elif not self.header and m.size > self.most:
                         error = "member_too_large"
                     else:
-                        with archive.open(info) as member:
-                            raw = member.read(self.header or self.most + 1)
+                        raw = read_member(file, m, self.header or self.most + 1)
                         size = len(raw)
                         if not self.header and size > self.most:
                             error = "member_too_large"
                         else:
-                            text = raw.decode("utf-8", "replace" if self.header else "strict").removeprefix("﻿")
-                except (OSError, RuntimeError, zipfile.BadZipFile, UnicodeDecodeError) as e:
+                            text = raw.decode("utf-8", "replace" if self.header else "strict").removeprefix("\ufeff")
+                except (OSError, ValueError, zlib.error) as e:
                     error = f"read_error:{type(e).__name__}"
-                yield name, position, info.compress_size, info.file_size, f"{info.CRC:08x}", text, size, error
+                yield m.name, m.position, m.compressed, m.size, f"{m.crc:08x}", text, size, error
 
 
 class ArchiveSource(DataSource):

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from replayframe import queries
+from replayframe import hand_queries, queries  # noqa: F401 - the former adds to the latter
 from replayframe.functions import buckets, hashing, legality, scoring, text
 from replayframe.operators import sequences, splits, stats
 
@@ -107,4 +107,6 @@ def test_against_sql(spark, name):
     assert sorted(names) == sorted(got.columns)
     plain = lambda x: round(x, 6) if isinstance(x, float) else x
     rows = lambda found: sorted(repr(tuple(map(plain, r))) for r in found)
-    assert rows(tuple(r) for r in got.select(*names).collect()) == rows(want.fetchall())
+    want = rows(want.fetchall())
+    assert rows(tuple(r) for r in got.select(*names).collect()) == want
+    assert want or name in ("novelty_prefix",)  # no rows would prove nothing

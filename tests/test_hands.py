@@ -7,6 +7,7 @@ from replayframe.functions import vocabulary
 from replayframe.operators import replay, trajectories
 from replayframe.sources.archive import ArchiveSource
 from replayframe.sources.hands import hands, whole_members
+from replayframe.sources.native import native_hands
 
 
 def toml(actions, seats=6, blinds=(50, 100), min_bet=100, stacks=None, antes=0, variant="NT"):
@@ -22,61 +23,92 @@ def deal(*held):
     return [f"d dh p{i + 1} {c}" for i, c in enumerate(held)]
 
 
-SIX = deal("6s6h", "KdAs", "8h5h", "ThJc", "Jh8c", "Qh5s")
-H1 = [*SIX, "p3 f", "p4 f", "p5 f", "p6 f", "p1 cc", "p2 cbr 300", "p1 cc", "d db 9sAhTs", "p1 cc", "p2 cbr 480", "p1 f"]
-H3 = [*SIX, "p3 f", "p4 f", "p5 f", "p6 f", "p1 cc", "p2 cbr 10000", "p1 f"]
-H5 = [*deal("6s6h", "KdAs", "8h5h", "ThJc"), "p3 cbr 20", "p4 cbr 25"]
-H6 = [*deal("6s6h", "KdAs", "8h5h", "ThJc"), "p3 cbr 20", "p4 cc", "p1 cbr 25", "p2 cc", "p3 cc"]
-H7 = [
-    *deal("2c2d", "3c3d", "4c4d", "AsQs", "5c5d", "6c6d"), "p3 f", "p4 cbr 225", "p5 f", "p6 cc", "p1 f", "p2 cbr 800", "p4 cc", "p6 cc", "d db Qh7d2c", "p2 cc", "p4 cc",
-    "p6 cbr 900", "p2 f", "p4 cc", "d db Tc", "p4 cc", "p6 cbr 2200", "p4 cc", "d db 3s", "p4 cc", "p6 cbr 4300", "p4 cc",
+SIX = deal("2c9d", "JhTh", "AcAd", "7s8s", "Kc4d", "QdQh")
+#: A hand over four streets, as what is dealt and done; the flag says whether chips went in.
+PLAY = [
+    ("p3 cbr 250", 1), ("p4 f", 0), ("p5 f", 0), ("p6 cc", 1), ("p1 f", 0), ("p2 cc", 1), ("d db 4hTc2s", 3), ("p2 cc", 0), ("p3 cbr 400", 1), ("p6 f", 0), ("p2 cc", 1),
+    ("d db Ks", 1), ("p2 cc", 0), ("p3 cc", 0), ("d db 5d", 1), ("p2 cbr 900", 1), ("p3 f", 0),
 ]
+STREETS = [*SIX, *[x for x, _ in PLAY]]
+SHOVE = [*SIX, "p3 cbr 300", "p4 cbr 10000", "p5 f", "p6 f", "p1 f", "p2 f", "p3 f"]
+FOUR = deal("9c9h", "KsQs", "3d3s", "AhJd")
+SMALL_RAISE = [*FOUR, "p3 cbr 30", "p4 cbr 45"]
+SHORT_ALL_IN = [*FOUR, "p3 cbr 50", "p4 cbr 65", "p1 cc", "p2 cc", "p3 cc"]
+
+
+def token_lengths():
+    """How many tokens each player's view of PLAY takes, by adding up what each event costs."""
+    out = []
+    for hero in range(1, 7):
+        own = [i for i, (x, _) in enumerate(PLAY) if x.startswith(f"p{hero} ")]
+        total, active, board = 3, 6, 0
+        for x, n in PLAY[: own[-1] + 1]:
+            if x.startswith("d db"):
+                total, board = total + 2 + n, board + n
+                continue
+            total += 9 + (2 + board if board else 0) + 4 * active if x.startswith(f"p{hero} ") else 2 + 4 * n
+            active -= x.endswith(" f")
+        out.append(total)
+    return out
 
 
 @pytest.fixture(scope="module")
 def replayed(spark):
     texts = {
-        "h1.phh": toml(H1), "h3.phh": toml(H3), "h5.phh": toml(H5, 4, (5, 10), 10, [100] * 4), "h6.phh": toml(H6, 4, (5, 10), 10, [25, 100, 100, 100]), "h7.phh": toml(H7),
-        "ante.phh": toml(H1, antes=10), "short.phh": toml(H1, stacks=[9_900] * 6), "inf.phh": toml(H1, stacks=["inf", *[10_000] * 5]), "ft.phh": toml(H1, variant="FT"),
-        "none.phh": toml(SIX), "odd.phh": toml(["p1 dances"]), "bad.phh": "= 1", "two.phhs": f"title = 'x'\n[a]\n{toml(H1)}\n[b]\n{toml(H3)}",
+        "streets.phh": toml(STREETS), "shove.phh": toml(SHOVE), "small.phh": toml(SMALL_RAISE, 4, (5, 10), 10, [100] * 4), "short_all_in.phh": toml(SHORT_ALL_IN, 4, (10, 20), 20, [500, 500, 500, 65]),
+        "ante.phh": toml(STREETS, antes=10), "short.phh": toml(STREETS, stacks=[9_900] * 6), "inf.phh": toml(STREETS, stacks=["inf", *[10_000] * 5]), "ft.phh": toml(STREETS, variant="FT"),
+        "none.phh": toml(SIX), "odd.phh": toml(["p1 dances"]), "bad.phh": "= 1", "two.phhs": f"title = 'x'\n[a]\n{toml(STREETS)}\n[b]\n{toml(SHOVE)}",
     }
     rows = [(k, v, None) for k, v in texts.items()] + [("gone.phh", None, "member_not_found")]
     return replay.replay(hands(spark.createDataFrame(rows, "member string, content string, error string"))).cache()
 
 
 def test_actions_and_amounts(replayed):
-    d = replay.decisions(replayed.where("member = 'h1.phh'")).orderBy("event_count").collect()
-    assert [r.target_action for r in d] == ["FOLD"] * 4 + ["CALL", "RAISE", "CALL", "CHECK", "BET", "FOLD"]
-    assert [int(r.target_amount) for r in d[4:7]] == [50, 200, 200]
-    assert (int(d[5].pot), d[5].hero_cards, d[8].street, d[8].board) == (200, ["Kd", "As"], "FLOP", ["9s", "Ah", "Ts"])
-    assert d[5].player_statuses == ["ACTIVE", "ACTIVE"] + ["FOLDED"] * 4 and int(d[5].effective_stack) == 9_900
+    d = replay.decisions(replayed.where("member = 'streets.phh'")).orderBy("event_count").collect()
+    assert [r.target_action for r in d] == ["RAISE", "FOLD", "FOLD", "CALL", "FOLD", "CALL", "CHECK", "BET", "FOLD", "CALL", "CHECK", "CHECK", "BET", "FOLD"]
+    assert [int(r.target_amount) for r in d] == [250, 0, 0, 250, 0, 150, 0, 400, 0, 400, 0, 0, 900, 0]
+    assert (int(d[7].pot), d[7].hero_cards, d[7].street, d[7].board) == (800, ["Ac", "Ad"], "FLOP", ["4h", "Tc", "2s"])
+    assert d[7].player_statuses == ["FOLDED", "ACTIVE", "ACTIVE", "FOLDED", "FOLDED", "ACTIVE"] and int(d[7].effective_stack) == 9_750
+    assert [r.street for r in d[10:]] == ["TURN", "TURN", "RIVER", "RIVER"]
 
 
 def test_errors_are_rows(replayed):
     found = {(r.member, r.hand_key): r.error for r in replayed.collect()}
-    assert found["h5.phh", "1"] == "below the minimum" and found["none.phh", "1"] == "no action" and found["odd.phh", "1"] == "unknown action"
+    assert found["small.phh", "1"] == "below the minimum" and found["none.phh", "1"] == "no action" and found["odd.phh", "1"] == "unknown action"
     assert found["inf.phh", "1"] == "a number is not finite or negative" and found["ft.phh", "1"] == "variant"
     assert found["bad.phh", None] == "invalid TOML" and found["gone.phh", None] == "member_not_found"
-    assert found["two.phhs", "a"] is None and found["two.phhs", "b"] is None and len(found) == 15
+    assert found["two.phhs", "a"] is None and found["two.phhs", "b"] is None and len(found) == 14
 
 
 def test_short_all_in_does_not_reopen(replayed):
-    d = replay.decisions(replayed.where("member = 'h6.phh'")).orderBy("event_count").collect()
-    assert [(r.actor, r.reopened) for r in d][3:] == [(1, True), (2, False)]
+    d = replay.decisions(replayed.where("member = 'short_all_in.phh'")).orderBy("event_count").collect()
+    assert [(r.actor, r.reopened) for r in d] == [(2, True), (3, True), (0, True), (1, True), (2, False)]
 
 
 def test_trajectories(replayed):
     t = {(r.member, r.hero): r for r in trajectories.trajectories(replayed).collect()}
-    assert [t["h1.phh", i].token_len for i in range(6)] == [106, 69, 36, 34, 32, 30]
-    assert [t["h7.phh", i].token_len for i in range(6)] == [44, 119, 36, 252, 40, 179]
+    assert [t["streets.phh", i].token_len for i in range(6)] == token_lengths()
     targets = lambda r: [x for x, m in zip(r.tokens, r.loss_mask) if m]
-    assert targets(t["h1.phh", 0]) == ["ACTION_PASSIVE"] * 3 + ["ACTION_FOLD"] and targets(t["h1.phh", 1]) == ["RANGE_0.75_TO_1"] * 2
-    assert targets(t["h7.phh", 3]) == ["RANGE_1_TO_1.5"] + ["ACTION_PASSIVE"] * 7
-    assert targets(t["h3.phh", 1]) == ["ACTION_ALL_IN"]
+    assert targets(t["streets.phh", 2]) == ["RANGE_1.5_TO_2", "RANGE_0.25_TO_0.5", "ACTION_PASSIVE", "ACTION_FOLD"]
+    assert targets(t["streets.phh", 1]) == ["ACTION_PASSIVE"] * 4 + ["RANGE_0.5_TO_0.75"]
+    assert targets(t["shove.phh", 3]) == ["ACTION_ALL_IN"]
     assert t["ante.phh", 0].error == "blinds" and t["short.phh", 0].error == "depth" and t["ante.phh", 0].tokens is None
     assert all(len(r.ids) == len(r.loss_mask) == r.token_len and None not in r.ids for r in t.values() if r.error is None)
 
 
+def test_native_path_reads_what_the_parser_reads(spark):
+    texts = {"a.phh": toml(STREETS), "b.phhs": f"title = 'x'\n[one]\n{toml(SHOVE)}\n[two]\n{toml(SMALL_RAISE, 4, (5, 10), 10, [100] * 4)}venue = \"Here\"\n", "c.phh": toml(STREETS, stacks=["inf", *[10_000] * 5]), "d.phhs": "nothing"}
+    rows = [(k, v, None) for k, v in texts.items()] + [("e.phh", None, "member_not_found"), ("f.phh", "variant = 'NT'\n", None)]
+    members = spark.createDataFrame(rows, "member string, content string, error string")
+    fields = ["member", "hand_key", "variant", "antes", "blinds", "min_bet", "stacks", "actions", "venue", "finite"]
+    good = lambda df: sorted(map(repr, df.where("error is null").select(fields).collect()))
+    fast = native_hands(members)
+    assert good(fast) == good(hands(members)) and len(good(fast)) == 4
+    assert {(r.member, r.error) for r in fast.where("error is not null").collect()} == {("d.phhs", "no hand"), ("e.phh", "member_not_found"), ("f.phh", "missing actions")} or {
+        r.member for r in fast.where("error is not null").collect()
+    } == {"d.phhs", "e.phh", "f.phh"}
+
+
 def test_vocabulary(spark):
     names = vocabulary.vocabulary()
     assert len(names) == len(set(names)) == 105 and len(vocabulary.decision_tokens()) == 13
@@ -88,12 +120,13 @@ def test_archive(spark, tmp_path):
     path = tmp_path / "hands.zip"
     with zipfile.ZipFile(path, "w") as z:
         z.mkdir("data")
-        for name, text in {"data/a/x/1.phh": toml(H1), "data/b/2.PHHS": f"[a]\n{toml(H1)}\n[b]\n= 1", "data/c/3.phh": "", "data/d.txt": "no"}.items():
+        for name, text in {"data/a/x/1.phh": toml(STREETS), "data/b/2.PHHS": f"[a]\n{toml(STREETS)}\n[b]\n= 1", "data/c/3.phh": "", "data/d.txt": "no"}.items():
             z.writestr(name, text)
     spark.dataSource.register(ArchiveSource)
     load = lambda **k: spark.read.format("archive_members").options(path=str(path), partition_bytes="5000", **k).load()
     rows = {r.member: r for r in load().collect()}
     assert set(rows) == {"data/a/x/1.phh", "data/b/2.PHHS", "data/c/3.phh"} and rows["data/c/3.phh"].error == "empty_member"
+    assert load(segment="b").count() == 1 and load(limit="2").count() == 2
     assert load(prefix="data/a/").count() == 1 and load(header_bytes="10").where("bytes_read > 10").count() == 0
     assert load(max_member_bytes="20").where("error = 'member_too_large'").count() == 2
     assert [r.member for r in whole_members(hands(load())).collect()] == ["data/a/x/1.phh"]
