@@ -11,7 +11,8 @@ what lies within ``RADIUS`` is checked by the exact similarity of the sets.
 Shingles that many texts of a sample have come last in that order, which keeps
 shards small and changes no result.  A first round links each member to the one
 before it in its shard; a second one compares those that are not in one
-component yet, so a dense group costs no rows for each of its pairs.
+component yet.  Where shards are large, it compares sets inside its tasks and
+passes on only links that join, so a dense group costs no row for each pair.
 
 Defined results: texts without words are copies of each other; texts of fewer
 words than a shingle have one, all their words; white space and ASCII case don't
@@ -31,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, discard, materialize
 from .components import connected_components
-from .simhash import _LOWER, one_row_each
+from .simhash import _LOWER, Forest, one_row_each
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits that fingerprints of linked texts may differ in: about five standard deviations over the mean at 0.8.
 RADIUS = 24
-#: Members of a shard that are compared as one unit, at most, and of one that a join compares; rows of a unit looked at together.
-SHARD, FEW, ROWS = 1024, 32, 128
+#: Members of a shard that a join compares, at most; queries and members of a unit that compares larger ones.
+FEW, LEFT, RIGHT = 32, 128, 1024
 #: One text in so many is looked at for frequent shingles; those in so many of them come last, up to so many.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 8, 100_000
 
@@ -106,13 +107,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar
     pairs = materialize(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t, shingle) for t in batch["__text"].cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["set"], pa.array(found, pa.list_(pa.int64()))], ["set", "shingles"])
-
-    found = texts.join(asked, "set", "left_semi").mapInArrow(run, "set long, shingles array<long>")
-    found = materialize(found, "shingles")
+    found = materialize(_shingles(texts, asked, shingle), "shingles")
     left, right = (found.select(F.col("set").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     out = materialize(pairs.join(left, "a").join(right, "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similarity).select("a", "b"), "verified")
@@ -125,50 +120,110 @@ def _alike(n: Column, fp: Column, other_n: Column, other_fp: Column, radius: int
     return (F.bit_count(fp.bitwiseXOR(other_fp)) <= radius) & (F.least(n, other_n) >= similarity * F.greatest(n, other_n) - 1e-9)
 
 
-def _across(members: DataFrame, radius: int, similarity: float, shard: int) -> DataFrame:
-    """Pairs (a, b) of members (key, set, fp, n, label) of a shard with different labels.
+def _shingles(texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """(set, shingles) of the sets ``asked`` for; ``texts`` has a text of each."""
 
-    The members of a small shard meet in a join; larger ones are cut into
-    parts, and each part is compared with each as a unit of its own.
-    """
-    mixed = members.groupBy("key").agg(F.count("*").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    some = materialize(members.join(mixed.select("key", "all"), "key"), "mixed")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, shingle) for t in batch["__text"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["set"], pa.array(found, pa.list_(pa.int64()))], ["set", "shingles"])
+
+    return texts.join(asked, "set", "left_semi").mapInArrow(run, "set long, shingles array<long>")
+
+
+def _small(some: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of shards of at most ``FEW`` members, by a join: a member meets no more than ``FEW`` others."""
     small = some.where(F.col("all") <= FEW).drop("all")
     other = small.select("key", *[F.col(c).alias(f"other_{c}") for c in ("set", "fp", "n", "label")])
     near = _alike(F.col("n"), F.col("fp"), F.col("other_n"), F.col("other_fp"), radius, similarity)
-    few = small.join(other, "key").where((F.col("set") < F.col("other_set")) & (F.col("label") != F.col("other_label")) & near)
-    units = (
-        some.where(F.col("all") > FEW)
-        .withColumn("parts", F.ceil(F.col("all") / shard).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).alias("second"), "set", "fp", "n", "label")
-        .repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high")
+    met = small.join(other, "key").where((F.col("set") < F.col("other_set")) & (F.col("label") != F.col("other_label")) & near)
+    return met.select(F.col("set").alias("a"), F.col("other_set").alias("b")).distinct()
+
+
+def _units(large: DataFrame, found: DataFrame, left: int = LEFT, right: int = RIGHT) -> DataFrame:
+    """Rows (group, l, r, query, minor, set, fp, n, label, shingles) of the units in which larger shards are compared.
+
+    Shards that share a member make a group.  The members of its largest
+    component are linked already; only the others, as queries, are compared
+    with all.  Queries and members are cut into parts, and each part of the
+    queries meets each part of the members in a unit of its own.
+    """
+    hubs = large.groupBy("key").agg(F.min("set").alias("b"))
+    edges = materialize(large.select("key", F.col("set").alias("a")).join(hubs, "key").select("a", "b").distinct(), "edges")
+    groups = connected_components(edges)
+    each = large.select("set", "fp", "n", "label").distinct().join(groups.select(F.col("node").alias("set"), F.col("label").alias("group")), "set")
+    each = materialize(each.join(found, "set"), "grouped")
+    counts = each.groupBy("group", "label").agg(F.count("*").alias("members"))
+    counts = counts.groupBy("group").agg(F.sum("members").alias("all"), F.max(F.struct("members", "label")).alias("most"))
+    placed = each.join(counts.where(F.col("all") > F.col("most.members")), "group").withColumns(
+        {
+            "minor": F.col("label") != F.col("most.label"),
+            "ls": F.ceil((F.col("all") - F.col("most.members")) / left).cast("int"),
+            "rs": F.ceil(F.col("all") / right).cast("int"),
+        }
     )
+    part = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
+    columns = ["minor", "set", "fp", "n", "label", "shingles"]
+    members = placed.select("group", F.explode(F.sequence(F.lit(0), F.col("ls") - 1)).alias("l"), part("rs").alias("r"), F.lit(False).alias("query"), *columns)
+    queries = placed.where("minor").select("group", part("ls").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rs") - 1)).alias("r"), F.lit(True).alias("query"), *columns)
+    out = members.unionByName(queries).repartition("group", "l", "r").sortWithinPartitions("group", "l", "r")
+    return out
+
+
+def _links(rows: list[tuple], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of one unit that join components, by exact similarity; rows (query, minor, set, fp, n, label, shingles)."""
+    query, minor, name, fp, n, label = (np.array(x) for x in list(zip(*rows))[:6])
+    fp = fp.view(np.uint64)  # bits of signed numbers are counted without the sign
+    sets, joined, out = [r[6] for r in rows], Forest(), []
+    one, two = np.flatnonzero(query), np.flatnonzero(~query)
+    for i in one:
+        near = (label[two] != label[i]) & (np.bitwise_count(fp[two] ^ fp[i]) <= radius)
+        near &= np.minimum(n[two], n[i]) >= similarity * np.maximum(n[two], n[i]) - 1e-9
+        near &= ~minor[two] | (name[two] > name[i])  # pairs of queries meet in another unit, too
+        x = sets[i]
+        for j in two[near]:
+            if joined.top(int(label[i])) == joined.top(int(label[j])):
+                continue
+            y = sets[j]
+            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            if both >= similarity * (len(x) + len(y) - both):
+                joined.join(int(label[i]), int(label[j]))
+                out.append((int(min(name[i], name[j])), int(max(name[i], name[j]))))
+    return out
+
+
+def _large(units: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) of all units."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            lists = batch["shingles"]
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            plain = zip(*(batch[c].to_pylist() for c in ("group", "l", "r", "query", "minor", "set", "fp", "n", "label")))
+            for row, a, b in zip(plain, ends[:-1], ends[1:]):
+                yield row[:3], (*row[3:], values[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "low", "high", "second", "set", "fp", "n", "label")
-        stream = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in names)))
-        for (_, low, high), rows in groupby(stream, key=lambda r: r[:3]):
-            second, name, fp, n, label = (np.array(x) for x in list(zip(*rows))[3:])
-            fp = fp.view(np.uint64)  # bits of signed numbers are counted without the sign
-            one = np.flatnonzero(~second)
-            two = one if low == high else np.flatnonzero(second)
-            for some in np.array_split(one, 1 + len(one) // ROWS):
-                left, right = some[:, None], two[None, :]
-                near = (label[left] != label[right]) & (np.bitwise_count(fp[left] ^ fp[right]) <= radius)
-                near &= np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9
-                a, b = np.nonzero(near & (name[left] < name[right]) if low == high else near)
-                a, b = name[some[a]], name[two[b]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    found = units.mapInArrow(run, "a long, b long").union(few.select(F.col("set").alias("a"), F.col("other_set").alias("b"))).distinct()
-    return found
-
-
-def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+        for _, rows in groupby(read(batches), key=lambda r: r[0]):
+            if found := _links([r[1] for r in rows], radius, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return units.mapInArrow(run, "a long, b long").distinct()
+
+
+def _across(members: DataFrame, texts: DataFrame, shingle: int, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) from small and from large shards, between members (key, set, fp, n, label) of a shard with different labels."""
+    mixed = members.groupBy("key").agg(F.count("*").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    some = materialize(members.join(mixed.select("key", "all"), "key"), "mixed")
+    one = verified(_small(some, radius, similarity), texts, shingle, similarity)
+    large = some.where(F.col("all") > FEW)
+    found = materialize(_shingles(texts, large.select("set").distinct(), shingle), "shingles")
+    two = materialize(_large(_units(large, found), radius, similarity), "links")
+    discard(found, some)
+    return one, two
+
+
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(__id, __same, first) of each row: the smallest (id, same) of its component."""
     plain = docs.select(F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"), F.col(text).alias("__text"))
     rows = materialize(_sets(plain, shingle, similarity), "sets")
@@ -190,21 +245,21 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
     labels = connected_components(first)
     labelled = members.join(labels, members["set"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set")).drop("node")
     labelled = materialize(labelled, "labelled")
-    second = verified(_across(labelled, radius, similarity, shard), texts, shingle, similarity)
-    labels = connected_components(first.union(second))
+    second, third = _across(labelled, texts, shingle, radius, similarity)
+    labels = connected_components(first.union(second).union(third))
     named = each.join(labels, each["set"] == labels["node"], "left").select("set", "least", F.coalesce("label", "set").alias("label"))
     named = materialize(named, "named")
     firsts = named.groupBy("label").agg(F.min("least").alias("first"))
     known = materialize(named.join(firsts, "label").select("set", "first"), "components")
-    discard(each, members, texts, labelled, first, second, named)
+    discard(each, members, texts, labelled, first, second, third, named)
     return rows.select("__id", "__same", "set").join(known, "set").select("__id", "__same", "first")
 
 
-def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` of which one stays for each component, unchanged.
 
     Of rows with the same id and text that differ elsewhere, any one stays.
     """
-    found = near_copies(docs, id, text, similarity, shingle, radius, shard)
+    found = near_copies(docs, id, text, similarity, shingle, radius)
     firsts = found.where((F.col("__id") == F.col("first.id")) & (F.col("__same") == F.col("first.same")))
     return one_row_each(docs, firsts.select(F.col("__id").alias("__key"), "__same"), id, text)

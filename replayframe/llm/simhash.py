@@ -109,7 +109,7 @@ class BKTree:
                         todo.append(children[k])
 
 
-class _Forest:
+class Forest:
     """Which members are joined so far; ``join`` tells whether a link is news."""
 
     def __init__(self):
@@ -134,7 +134,7 @@ MASK = (1 << 64) - 1
 
 def search(rows: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
     """Links of one unit; rows (fingerprint, role): 0 tree, 1 searched in it, 2 both."""
-    tree, joined, out = BKTree(), _Forest(), []
+    tree, joined, out = BKTree(), Forest(), []
     for value, role in rows:
         if role:
             out += [(x, value) for x in tree.within(value, radius) if x != value and joined.join(x, value)]

@@ -26,7 +26,7 @@ def kept_by_brute_force(rows):
     return {rows[i][0] for i in range(len(rows)) if top(i) == i}
 
 
-def test_stage_finds_planted_near_copies(spark):
+def test_stage_finds_planted_near_copies(spark, monkeypatch):
     rnd = random.Random(3)
     vocabulary = [f"w{k}" for k in range(3000)]
     rows = []
@@ -48,8 +48,11 @@ def test_stage_finds_planted_near_copies(spark):
     expected = kept_by_brute_force(rows)
     assert len(expected) < 250
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()} == expected
-    # shards in parts, and frequent shingles last
-    assert {r["doc_id"] for r in near_copies.drop_near_copies(docs, shard=7).collect()} == expected
+    # all shards but the smallest in units of few rows
+    monkeypatch.setattr(near_copies, "FEW", 2)
+    units = near_copies._units
+    monkeypatch.setattr(near_copies, "_units", lambda large, found: units(large, found, 3, 5))
+    assert {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()} == expected
 
 
 def test_stage_matches_brute_force_on_documents(spark):
