@@ -14,7 +14,7 @@ from .line_templates import drop_lines
 from .mixing import mix
 from .quality_rules import quality
 from .simhash import as_hex, near_duplicates
-from .spotsigs import digest, fingerprints_and_edits, jaccard
+from .spotsigs import fingerprint, fingerprints_and_edits, jaccard
 from .substrings import drop_repeats
 from .toxicity import THRESHOLD, learn
 from .url_filters import filter_urls
@@ -96,8 +96,8 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        digest(own).alias("fingerprint"),
-        digest(edited).alias("edited_fingerprint"),
+        fingerprint(own).alias("fingerprint"),
+        fingerprint(edited).alias("edited_fingerprint"),
         jaccard(own, edited).alias("near_edited"),
         jaccard(own, after).alias("near_next"),
     )

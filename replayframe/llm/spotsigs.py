@@ -1,17 +1,23 @@
 """SpotSigs fingerprints: chains of content words behind common words.
 
 Wherever a common word (an anchor) stands, it and the next ``CHAIN`` content
-words make a signature; the set of them is the fingerprint.  Sets are compared
-by Jaccard similarity.  Near-duplicates are searched among sets of similar
-length only: sets are partitioned by length so that two sets over the threshold
-meet in a partition, join on their rarest signatures, and are pruned by length
-before the sets are compared.  Only DataFrame functions are used.
+words make a signature of 32 bits; the set of them is the fingerprint, and the
+fingerprint's text spells the set out, so that the likeness of two documents
+follows from their fingerprints alone.  Sets are compared by Jaccard
+similarity; sets whose lengths or ranges don't allow a common signature are
+told apart without looking into them.
+
+``near_classes`` searches near-duplicates among sets of similar length only:
+sets are partitioned by length so that two sets over the threshold meet in a
+partition, join on their rarest signatures, and are pruned by length before the
+sets are compared.  Only DataFrame functions are used.
 
 Defined results: words are runs of letters and digits in lower case; a text
 without any anchor takes each of its words as one; a text too short for a chain
 has the one signature of all its words; a null or empty text has none, and two
-empty sets are alike (1); repeated rows get equal results; other columns pass
-through, and columns named like results are replaced.
+empty sets are alike (1); repeated rows get equal results; an empty table gives
+an empty one.  ``fingerprints_and_edits`` and ``near_classes`` return their own
+columns only.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, bind, materialize
+from .components import connected_components
 
 #: Common words of the corpus languages.
 COMMON_WORDS = (
@@ -36,39 +43,42 @@ MOST_RANGES, RANGE_ROWS = 16_384, 4096
 
 
 def spot_signatures(text: Column, anchors: list[str] = COMMON_WORDS, chain: int = CHAIN) -> Column:
-    """The sorted set of a text's signatures, longs."""
+    """The sorted set of a text's signatures, longs of 32 bits."""
     split = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     even = F.lit(-2).cast("long")
     # the last bit of a word's hash says whether it is an anchor
     hashed = lambda ws: F.transform(ws, lambda w: F.when(w.isin(*sorted(set(anchors))), F.xxhash64(w).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(w).bitwiseAND(even)))
     is_anchor = lambda x: x.bitwiseAND(F.lit(1)) == 1
+    short = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
 
     def spots(h: Column, every: bool) -> Column:
         def spot(x: Column, i: Column) -> Column:
             after = F.slice(h, i + 2, REACH)
             content = after if every else F.filter(after, lambda y: ~is_anchor(y))
-            found = bind(F.slice(content, 1, chain), lambda c: F.when(F.size(c) == chain, F.xxhash64(x, c)))
+            found = bind(F.slice(content, 1, chain), lambda c: F.when(F.size(c) == chain, short(F.xxhash64(x, c))))
             return found if every else F.when(is_anchor(x), found)
 
         return F.array_distinct(F.array_compact(F.transform(h, spot)))
 
     def of(h: Column) -> Column:
         listed = F.when(F.exists(h, is_anchor), spots(h, False)).otherwise(spots(h, True))
-        return bind(listed, lambda s: F.when((F.size(s) == 0) & (F.size(h) > 0), F.array(F.xxhash64(h))).otherwise(F.sort_array(s)))
+        return bind(listed, lambda s: F.when((F.size(s) == 0) & (F.size(h) > 0), F.array(short(F.xxhash64(h)))).otherwise(F.sort_array(s)))
 
     return bind(bind(split, hashed), of)
 
 
-def digest(signatures: Column) -> Column:
-    """A text that stands for a whole set of signatures."""
-    return F.sha2(F.array_join(signatures.cast("array<string>"), " "), 256)
+def fingerprint(signatures: Column) -> Column:
+    """The set as text: eight hex digits for each signature, in order."""
+    return F.array_join(F.transform(signatures, lambda s: F.lower(F.lpad(F.hex(s), 8, "0"))), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Likeness of two sets; sets of which one is empty need no comparison."""
-    both = F.size(F.array_intersect(a, b))
+    """Likeness of two sorted sets; where one is empty or ends before the other begins, they need no comparison."""
     some = (F.size(a) > 0) & (F.size(b) > 0)
-    return F.when(some, both / (F.size(a) + F.size(b) - both)).otherwise((F.size(a) == F.size(b)).cast("double")).cast("double")
+    apart = (F.get(a, F.size(a) - 1) < F.get(b, F.lit(0))) | (F.get(b, F.size(b) - 1) < F.get(a, F.lit(0)))
+    both = F.size(F.array_intersect(a, b))
+    share = F.when(apart, 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    return F.when(some, share).otherwise((F.size(a) == F.size(b)).cast("double")).cast("double")
 
 
 def near_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -99,6 +109,24 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
 
 
+def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, class_id, links) of each row: the smallest id of its class, and how many other sets its set is linked with.
+
+    Equal sets are one class and aren't expanded into pairs.
+    """
+    rows = docs.select(F.col(id).alias("own"), F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("id"), spot_signatures(F.col(text)).alias("signatures"))
+    rows = materialize(rows.withColumn("set", F.xxhash64("signatures")), "signatures")
+    each = materialize(rows.groupBy("set").agg(F.min("id").alias("least"), F.first("signatures").alias("signatures")), "sets")
+    pairs = materialize(near_pairs(each.select(F.col("set").alias("id"), "signatures"), threshold), "pairs")
+    ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).groupBy("set").agg(F.count("*").alias("links"))
+    groups = connected_components(pairs.select("a", "b")).select(F.col("node").alias("set"), "label")
+    named = each.select("set", "least").join(groups, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    named = materialize(named.join(ends, "set", "left"), "named")
+    least = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    known = named.join(least, "label").select("set", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.join(known, "set").select(F.col("own").alias(id), F.nullif("class_id", F.lit(LAST_ID)).alias("class_id"), "links")
+
+
 def _ranges(rows: DataFrame) -> tuple[DataFrame, int]:
     """``rows`` with ``bucket``, ranges of descending ids of about equal size, and their number.
 

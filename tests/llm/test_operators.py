@@ -313,6 +313,24 @@ def test_spotsigs_match_brute_force(spark, texts):
     assert spotsigs.fingerprints_and_edits(table(spark, [])).count() == 0
 
 
+def test_spotsigs_classes_match_brute_force(spark, texts):
+    rows = texts + [(400, texts[35][1] or "x", "s"), (401, texts[31][1].replace("w1x", "other"), "s"), (402, texts[31][1] + " the end of it", "s")]
+    sets = [(i, frozenset(spots(t))) for i, t, _ in rows]
+    near = lambda x, y: x == y or (x and y and len(x & y) / len(x | y) >= 0.8)
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if near(sets[a][1], sets[b][1]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    want = []
+    for (i, x), g in zip(sets, group):
+        ids = [j for (j, _), h in zip(sets, group) if h == g and j is not None]
+        want.append(repr((i, min(ids, default=None), len({y for _, y in sets if y != x and near(x, y)}))))
+    assert sorted(repr(tuple(r)) for r in spotsigs.near_classes(table(spark, rows)).collect()) == sorted(want)
+    assert spotsigs.near_classes(table(spark, [])).count() == 0
+
+
 def test_spotsigs_pairs(spark):
     rng = random.Random(5)
     sets = []
