@@ -2,19 +2,22 @@
 
 Seeds are winnowed anchors: of the ``WINDOW - SEED + 1`` shorter runs of
 ``SEED`` words that a window holds, the one with the least hash.  A window that
-is found twice has its anchor twice, so documents are joined on anchors first,
-and only around anchors found again are matches extended both ways, word by
-word, to every window that holds the anchor.  Windows that extend a match are
-grouped by anchor and window hash with the earliest document of each, no pairs
-are made, and touching windows melt into maximal repeats.
+is found twice has its anchor twice, so documents are joined on anchors first.
+An anchor found again is extended both ways, word by word, as far as windows
+hold it: the span of these windows stands for all of them.  Equal spans match
+as a whole, and count once however many documents have them; only distinct
+spans are unfolded, to find windows that spans share in part.  Each window gets
+the earliest document that has it, no pairs are made, and touching windows melt
+into maximal repeats.
 
-A hot passage costs one row for each window and document that holds it, summed
-before the shuffle; what a task holds at once is one document.
+A copied passage costs a document one row for each anchor in it.  What a task
+holds at once is one document.
 
 Defined results: a null or empty text has no words; a text shorter than a
 window loses none; a null doc_id comes after all others; rows that share a
-doc_id don't precede one another, and equal rows get equal results; other
-columns pass through ``drop_repeats``.
+doc_id don't precede one another, and equal rows get equal results; an empty
+table gives an empty one; other columns pass through ``drop_repeats``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, discard, materialize
+from .common import LAST_ID, discard, fields, materialize, struct_of
 
 #: Words of a window, and of the seeds in it.
 WINDOW, SEED = 20, 10
+RESULTS = ("n_words", "n_removed", "kept")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,34 +124,56 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
     discard(anchors)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in _chunks(batches):
             t = _texts(batch, window, seed)
-            row = t.rows()
-            known = batch["anchors"].to_pylist()
+            row, known = t.rows(), batch["anchors"].to_pylist()
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            keep = [np.zeros(0, np.int64)]
+            opens = _first_of_run(t)
+            pick, names, starts, spans = [], [], [], []
             for k in range(batch.num_rows):
-                places = t.places[bounds[k] : bounds[k + 1]]
-                places = places[np.isin(t.anchors[places], np.array(known[k], np.int64))]
-                # of windows that repeat inside the text only the first is earliest
-                _, first = np.unique(t.windows[places], return_index=True)
-                keep.append(places[np.sort(first)])
-            at = np.concatenate(keep)
-            row = np.searchsorted(t.ends, at, side="right")
-            pick = pa.array(row)
+                places, opened = t.places[bounds[k] : bounds[k + 1]], opens[bounds[k] : bounds[k + 1]]
+                first = np.flatnonzero(opened)
+                ends = np.append(first[1:], len(places))
+                again = np.isin(t.anchors[places[first]], np.array(known[k], np.int64))
+                seen = set()
+                for a, b in zip(first[again].tolist(), ends[again].tolist()):
+                    span = t.windows[places[a] : places[a] + b - a]
+                    name = xxh64_intdigest(span.tobytes())
+                    if name in seen:  # of spans that repeat inside the text the first will do
+                        continue
+                    seen.add(name)
+                    pick.append(k)
+                    names.append(name)
+                    starts.append(int(places[a] - t.starts[k]))
+                    spans.append(span.view(np.int64))
+            at = pa.array(pick, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch["__id"].take(pick), batch["__same"].take(pick), pa.array(t.anchors[at]), pa.array(t.windows[at].view(np.int64)), pa.array((at - t.starts[row]).astype(np.int32))],
-                ["__id", "__same", "anchor", "window", "start"],
+                [batch["__id"].take(at), batch["__same"].take(at), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(starts, pa.int32()), pa.array(spans, pa.list_(pa.int64()))],
+                ["__id", "__same", "span", "start", "windows"],
             )
 
-    matches = materialize(
-        plain.join(found, ["__id", "__same"]).mapInArrow(extend, "__id long, __same long, anchor long, window long, start int"), "matches"
-    )
+    spans = materialize(plain.join(found, ["__id", "__same"]).mapInArrow(extend, "__id long, __same long, span long, start int, windows array<long>"), "spans")
     discard(found)
-    firsts = matches.groupBy("anchor", "window").agg(F.min("__id").alias("low"), F.max("__id").alias("high")).where("low < high")
-    later = matches.join(firsts.drop("high"), ["anchor", "window"]).where("__id > low")
-    out = materialize(later.groupBy("__id", "__same").agg(F.collect_set("start").alias("starts")), "repeats")
-    discard(matches)
+    each = spans.groupBy("span").agg(F.min("__id").alias("low"), F.max("__id").alias("high"), F.first("windows").alias("windows"))
+    each = materialize(each, "distinct")
+    unfolded = each.select("span", "low", "high", F.posexplode("windows").alias("place", "window"))
+    shared = unfolded.groupBy("window").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.count("*").alias("spans")).where("first < last")
+    # a window of one span only has the span's documents; those of more are looked up
+    several = materialize(shared.where("spans > 1").select("window", "first"), "shared")
+    inside = unfolded.join(several, "window").groupBy("span").agg(F.collect_list(F.struct("place", "first")).alias("several"))
+    size = F.size("windows")
+    looked_up = F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.coalesce(F.try_element_at("by_place", j), F.col("low")))
+    firsts = F.when(F.col("several").isNull(), F.array_repeat("low", size)).otherwise(looked_up)
+    listed = each.join(inside, "span", "left").where((F.col("low") < F.col("high")) | F.col("several").isNotNull())
+    listed = listed.withColumn("by_place", F.map_from_entries("several"))
+    listed = materialize(listed.select("span", firsts.alias("firsts")), "listed")
+    met = spans.drop("windows").join(listed, "span")
+    later = F.filter(F.transform("firsts", lambda f, j: F.when(f < F.col("__id"), F.col("start") + j)), lambda x: x.isNotNull())
+    later = met.select("__id", "__same", later.alias("starts")).where(F.size("starts") > 0)
+    out = materialize(later.groupBy("__id", "__same").agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeats")
+    discard(spans, each, several, listed)
     return out
 
 
@@ -172,8 +198,7 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window
     Columns of theirs with these names are replaced.
     """
     found = repeats(docs, id, text, window, seed)
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text).alias("__text"), F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"))
+    keyed = docs.select(struct_of(docs, *RESULTS).alias("__row"), F.col(text).alias("__text"), F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
@@ -190,4 +215,4 @@ def drop_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window
 
     joined = keyed.join(found, ["__id", "__same"], "left").select("__row", "__text", "starts")
     schema = joined.select("__row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return joined.mapInArrow(cut, schema).select("__row.*", "n_words", "n_removed", "kept")
+    return joined.mapInArrow(cut, schema).select(*fields(docs, "__row", *RESULTS), *RESULTS)
