@@ -45,13 +45,13 @@ def _file_system(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage with a table that outlives lost executors; the
     shuffle files of the step are freed when it has been written.  The table is
-    deleted by ``discard``, at the end of the innermost ``steps`` block around,
-    or else when the driver ends.
+    deleted by ``discard``, at the end of the innermost ``steps`` block around
+    (of the next one, if it is ``kept``), or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
@@ -63,8 +63,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
-    if _WRITTEN:
-        _WRITTEN[-1].append(out)
+    blocks = _WRITTEN[:-1] if kept else _WRITTEN
+    if blocks:
+        blocks[-1].append(out)
     files, jvm_path = _file_system(spark, path)
     files.deleteOnExit(jvm_path)
     return out

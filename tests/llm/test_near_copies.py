@@ -1,29 +1,12 @@
 import random
+import sys
+from pathlib import Path
 
 import corpus_pipeline
 from replayframe.llm import near_copies
 
-
-def words(t):
-    w = (t or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} if w else set()
-
-
-def kept_by_brute_force(rows):
-    found = [words(t) for _, t in rows]
-    up = list(range(len(rows)))
-
-    def top(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for j, y in enumerate(found):
-        for i, x in enumerate(found[:j]):
-            if x == y or (x and y and len(x & y) / len(x | y) >= 0.8):
-                a, b = sorted((top(i), top(j)))
-                up[b] = a
-    return {rows[i][0] for i in range(len(rows)) if top(i) == i}
+sys.path.insert(0, str(Path(__file__).parent))
+from tests_llm_shared import kept_by_brute_force  # noqa: E402
 
 
 def test_stage_finds_planted_near_copies(spark, monkeypatch):

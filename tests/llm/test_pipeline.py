@@ -1,6 +1,14 @@
 import inspect
+import sys
+from hashlib import sha256
+from pathlib import Path
 
-from replayframe.llm import queries
+import pytest
+
+from replayframe.llm import bpe, mixing, queries
+from replayframe.llm.common import materialize
+
+sys.path.insert(0, str(Path(__file__).parent))
 
 
 def test_every_operator_has_a_query():
@@ -14,15 +22,52 @@ def test_pipeline_stages():
     assert all(len(inspect.signature(f).parameters) == 3 for _, f in corpus_pipeline.STAGES)
 
 
-def test_pipeline_runs(spark):
+def test_each_stage_on_what_the_one_before_kept(spark):
     import corpus_pipeline
+    from tests_llm_shared import kept_by_brute_force, words
 
+    public = pytest.importorskip("public_tokenizers")
+    tokenizer = bpe.tokenizer(public.path("word_bpe_49k.json"))
     sf = "/root/testdata/sf0.001"
-    names = spark.read.parquet(f"{sf}/documents.parquet").columns
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        docs = stage(spark, docs, sf)
+    names, before, tables = docs.columns, {r.doc_id: r for r in docs.collect()}, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf), name)
         assert docs.columns == names
-    ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
-    assert len(ids) == len(set(ids)) > 100
-    assert corpus_pipeline.run(spark, sf).count() > 100
+        tables[name] = [r.asDict() for r in docs.collect()]
+    good = {r["doc_id"]: r for r in tables["quality_rules"]}
+    assert 100 < len(good) < len(before) and all(r == before[i].asDict() for i, r in good.items())
+    lined = {r["doc_id"]: r for r in tables["line_dedup"]}
+    assert lined.keys() == good.keys()
+    for i, r in lined.items():
+        rest = iter(good[i]["text"].split("\n"))
+        assert r["text"] == "" or all(line in rest for line in r["text"].split("\n"))
+        assert r["n_chars"] == len(r["text"]) or r["text"] == good[i]["text"]
+    assert {r["doc_id"] for r in tables["simhash_near_dedup"]} == kept_by_brute_force(sorted((i, r["text"]) for i, r in lined.items()))
+    assert all(r == lined[r["doc_id"]] for r in tables["simhash_near_dedup"])
+    sizes, taken = {}, {}
+    for t, out in (("simhash_near_dedup", sizes), ("mixing", taken)):
+        for r in tables[t]:
+            out[r["source"]] = out.get(r["source"], 0) + len(words(r["text"]))
+    wanted = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert all(abs(taken.get(s, 0) - t) <= 2 + t / 100 for s, t in wanted.items())
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    want = sorted((r["doc_id"], r["source"], len(ids := tokenizer.encode(r["text"] or "", add_special_tokens=False).ids), sha256(" ".join(map(str, ids)).encode()).hexdigest()) for r in tables["mixing"])
+    assert sorted(tuple(r)[:4] for r in last) == want
+    assert sorted(tuple(r)[:4] for r in corpus_pipeline.run(spark, sf).collect()) == want  # reruns agree
+
+
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    text = "these are twenty words and more of them that stand in a row so that the rules find enough of them to keep"
+    rows = [(None, text, None, "x"), (1, text, "s", "x"), (1, text, "s", "x"), (2, None, "s", "x"), (3, "", "s", "x"), (4, "one two", "t", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row string")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.where("__row = 'x'").count() == out.count() > 0
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    kept = corpus_pipeline.quality_stage(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.where("text is null or text = '' or text = 'one two'").count() == 0
+    assert corpus_pipeline.tokens_stage(spark, docs, sf).count() == 6
