@@ -529,3 +529,18 @@ def allowed_seats(spark, sf_dir):
     allowed = F.when(k % 3 == 1, F.array(F.lit(4))).when(k % 3 == 2, F.array().cast("array<int>"))
     found = selection.allowed_players(hands(spark, sf_dir).withColumn("selected_player_counts", allowed))
     return found.groupBy(F.size("stacks").alias("seats")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {FOLD_SQL} SELECT count(*) AS players, count(DISTINCT k) AS hands FROM (SELECT DISTINCT k, p FROM good WHERE op <> 'board') g JOIN holes h ON h.k = g.k AND h.s = g.p WHERE NOT known""".replace("count(DISTINCT k)", "count(DISTINCT g.k)"))
+def unknown_heroes(spark, sf_dir):
+    return trajectories.unknown_heroes(replay.replay(hands(spark, sf_dir)))
+
+
+STREETS = ["PREFLOP", "FLOP", "TURN", "RIVER"]
+
+
+@query(f"""WITH RECURSIVE {OUTCOMES_SQL}, l(a) AS (VALUES {FIVE}), s AS (SELECT unnest({STREETS}) AS street), c AS (SELECT s.street, a AS predicted_action, count(j.k) AS n FROM s CROSS JOIN l LEFT JOIN judged j ON j.street = s.street AND j.pred_action = a GROUP BY ALL)
+SELECT street, predicted_action, n, round(n / nullif(sum(n) OVER (PARTITION BY street), 0), 6) AS share FROM c""")
+def street_behaviour(spark, sf_dir):
+    found = metrics.dense_shares(_outcomes(spark, sf_dir), "street", STREETS, "predicted_action", list(decisions.ACTIONS))
+    return found.withColumn("share", F.round("share", 6))

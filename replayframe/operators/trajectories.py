@@ -73,13 +73,23 @@ def _public(it: Column) -> Column:
     )
 
 
-def heroes(replayed: DataFrame) -> DataFrame:
-    """A row per hand and player who acted and whose two cards are known; ``items`` end with their last action."""
+def _acting(replayed: DataFrame) -> DataFrame:
+    """A row per hand and player who acted, and whether their two cards are known."""
     acted = F.array_distinct(F.transform(F.filter("items", lambda x: x.kind == "action"), lambda x: x.player))
     each = replayed.where(F.col("error").isNull()).withColumn("hero", F.explode(acted))
     held = F.get(F.col("holes"), F.col("hero"))
+    return each.withColumn("__known", (F.size(held) == 2) & ~F.array_contains(held, "??"))
+
+
+def heroes(replayed: DataFrame) -> DataFrame:
+    """A row per hand and player who acted and whose two cards are known; ``items`` end with their last action."""
     last = F.array_max(F.transform("items", lambda x, i: F.when((x.kind == "action") & (x.player == F.col("hero")), i)))
-    return each.where((F.size(held) == 2) & ~F.array_contains(held, "??")).withColumn("items", F.slice("items", 1, last + 1))
+    return _acting(replayed).where("__known").drop("__known").withColumn("items", F.slice("items", 1, last + 1))
+
+
+def unknown_heroes(replayed: DataFrame) -> DataFrame:
+    """One row (players, hands): players who acted but whose cards aren't known, so that no trajectory is made for them."""
+    return _acting(replayed).where("not coalesce(__known, false)").agg(F.count("*").alias("players"), F.count_distinct("member", "hand_key").alias("hands"))
 
 
 def trajectories(replayed: DataFrame) -> DataFrame:
