@@ -1,18 +1,17 @@
 """Near copies by the Jaccard similarity of word shingles, behind SimHash.
 
 A link joins two texts whose sets of five-word shingles have a similarity of at
-least ``SIMILARITY``.  At 0.8 fingerprints of 64 bits differ in about 10 bits
-(and up to some 20), too many for bands of bits to be equal.  The shards that
+least ``SIMILARITY``.  At 0.8 fingerprints of 128 bits differ in about 20 bits
+(and up to some 40), too many for bands of bits to be equal.  The shards that
 can hold a partner are therefore named by shingles: in one order of all
 shingles, two such sets share one among their first ``n - ceil(0.8 n) + 1``.
 Members of a shard are compared by the size of their sets and by fingerprint;
 what lies within ``RADIUS`` is checked by the exact similarity of the sets.
 
 Shingles that many texts of a sample have come last in that order, which keeps
-shards small and changes no result.  A first round links each member to the one
-before it in its shard; a second one compares those that are not in one
-component yet.  Where shards are large, it compares sets inside its tasks and
-passes on only links that join, so a dense group costs no row for each pair.
+shards small and changes no result.  A few rounds link each member to the one
+before it in an order of its shard; a last one compares those that are not in
+one component yet, so a dense group costs few rows for its pairs.
 
 Defined results: texts without words are copies of each other; texts of fewer
 words than a shingle have one, all their words; white space and ASCII case don't
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -32,13 +32,16 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, discard, materialize
 from .components import connected_components
-from .simhash import _LOWER, Forest, one_row_each
+from .simhash import _LOWER, one_row_each
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits that fingerprints of linked texts may differ in: about five standard deviations over the mean at 0.8.
-RADIUS = 24
-#: Members of a shard that a join compares, at most; queries and members of a unit that compares larger ones.
-FEW, LEFT, RIGHT = 32, 128, 1024
+#: Bits of 128 that fingerprints of linked texts may differ in: five standard deviations over the mean at 0.8.  Those of
+#: unlike texts differ in 64 bits and hardly ever in so few.
+RADIUS = 40
+#: Members of a shard that are compared as one unit, at most, and of one that a join compares; rows of a unit looked at together.
+SHARD, FEW, ROWS = 1024, 32, 128
+#: Orders of a shard in which each member is compared with the one before it.
+ORDERS = (("n", "fp", "set"), ("fp2", "n", "set"))
 #: One text in so many is looked at for frequent shingles; those in so many of them come last, up to so many.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 8, 100_000
 
@@ -52,12 +55,18 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(b" ".join(x), 42) for x in parts), np.uint64).view(np.int64))
 
 
-def fingerprint(found: np.ndarray) -> int:
-    """The SimHash of a set of shingles as a signed long."""
+def fingerprint(found: np.ndarray) -> tuple[int, int]:
+    """The SimHash of a set of shingles, 128 bits as two signed longs; the second half is of hashes made from the first's."""
     if not len(found):
-        return 0
-    bits = np.unpackbits(found.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(found), bitorder="little").view("<i8")[0])
+        return 0, 0
+    x = found.view(np.uint64)
+    y = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    y = (y ^ (y >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    out = []
+    for hashes in (x, y ^ (y >> np.uint64(32))):
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(found), bitorder="little").view("<i8")[0]))
+    return out[0], out[1]
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -81,7 +90,7 @@ def _frequent(plain: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _sets(plain: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(__id, __same, set, fp, n, keys): ``set`` names the shingles of the text."""
+    """(__id, __same, set, fp, fp2, n, keys): ``set`` names the shingles of the text."""
     frequent = _frequent(plain, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,13 +102,13 @@ def _sets(plain: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 batch["__id"],
                 batch["__same"],
                 pa.array(np.array([xxh64_intdigest(x.tobytes(), 42) for x in found], np.uint64).view(np.int64)),
-                pa.array([fingerprint(x) for x in found], pa.int64()),
+                *[pa.array(half, pa.int64()) for half in (list(zip(*map(fingerprint, found))) or ((), ()))],
                 pa.array([len(x) for x in found], pa.int32()),
                 pa.array([prefix(x, frequent, similarity) for x in found], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "set", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "set", "fp", "fp2", "n", "keys"])
 
-    return plain.mapInArrow(run, "__id long, __same long, set long, fp long, n int, keys array<long>")
+    return plain.mapInArrow(run, "__id long, __same long, set long, fp long, fp2 long, n int, keys array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -115,9 +124,11 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar
     return out
 
 
-def _alike(n: Column, fp: Column, other_n: Column, other_fp: Column, radius: int, similarity: float) -> Column:
-    """Whether sizes and fingerprints let two sets have the similarity."""
-    return (F.bit_count(fp.bitwiseXOR(other_fp)) <= radius) & (F.least(n, other_n) >= similarity * F.greatest(n, other_n) - 1e-9)
+def _alike(other: str, radius: int, similarity: float) -> Column:
+    """Whether sizes and fingerprints (n, fp, fp2, and those with the prefix ``other``) let two sets have the similarity."""
+    bits = [F.bit_count(F.col(c).bitwiseXOR(F.col(other + c))) for c in ("fp", "fp2")]
+    n, m = F.col("n"), F.col(f"{other}n")
+    return (bits[0] + bits[1] <= radius) & (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9)
 
 
 def _shingles(texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
@@ -131,96 +142,56 @@ def _shingles(texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
     return texts.join(asked, "set", "left_semi").mapInArrow(run, "set long, shingles array<long>")
 
 
+MEMBER = ("set", "fp", "fp2", "n", "label")
+
+
 def _small(some: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of shards of at most ``FEW`` members, by a join: a member meets no more than ``FEW`` others."""
     small = some.where(F.col("all") <= FEW).drop("all")
-    other = small.select("key", *[F.col(c).alias(f"other_{c}") for c in ("set", "fp", "n", "label")])
-    near = _alike(F.col("n"), F.col("fp"), F.col("other_n"), F.col("other_fp"), radius, similarity)
-    met = small.join(other, "key").where((F.col("set") < F.col("other_set")) & (F.col("label") != F.col("other_label")) & near)
-    return met.select(F.col("set").alias("a"), F.col("other_set").alias("b")).distinct()
-
-
-def _units(large: DataFrame, found: DataFrame, left: int = LEFT, right: int = RIGHT) -> DataFrame:
-    """Rows (group, l, r, query, minor, set, fp, n, label, shingles) of the units in which larger shards are compared.
-
-    Shards that share a member make a group.  The members of its largest
-    component are linked already; only the others, as queries, are compared
-    with all.  Queries and members are cut into parts, and each part of the
-    queries meets each part of the members in a unit of its own.
-    """
-    hubs = large.groupBy("key").agg(F.min("set").alias("b"))
-    edges = materialize(large.select("key", F.col("set").alias("a")).join(hubs, "key").select("a", "b").distinct(), "edges")
-    groups = connected_components(edges)
-    each = large.select("set", "fp", "n", "label").distinct().join(groups.select(F.col("node").alias("set"), F.col("label").alias("group")), "set")
-    each = materialize(each.join(found, "set"), "grouped")
-    counts = each.groupBy("group", "label").agg(F.count("*").alias("members"))
-    counts = counts.groupBy("group").agg(F.sum("members").alias("all"), F.max(F.struct("members", "label")).alias("most"))
-    placed = each.join(counts.where(F.col("all") > F.col("most.members")), "group").withColumns(
-        {
-            "minor": F.col("label") != F.col("most.label"),
-            "ls": F.ceil((F.col("all") - F.col("most.members")) / left).cast("int"),
-            "rs": F.ceil(F.col("all") / right).cast("int"),
-        }
+    other = small.select("key", *[F.col(c).alias(f"other_{c}") for c in MEMBER])
+    met = small.join(other, "key").where((F.col("set") < F.col("other_set")) & (F.col("label") != F.col("other_label")) & _alike("other_", radius, similarity))
+    return met.select(F.col("set").alias("a"), F.col("other_set").alias("b"))
+
+
+def _large(some: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of larger shards: these are cut into parts, and each part is compared with each as a unit of its own."""
+    units = (
+        some.where(F.col("all") > FEW)
+        .withColumn("parts", F.ceil(F.col("all") / SHARD).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).alias("second"), *MEMBER)
+        .repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high")
     )
-    part = lambda n: F.pmod(F.xxhash64("set"), F.col(n)).cast("int")
-    columns = ["minor", "set", "fp", "n", "label", "shingles"]
-    members = placed.select("group", F.explode(F.sequence(F.lit(0), F.col("ls") - 1)).alias("l"), part("rs").alias("r"), F.lit(False).alias("query"), *columns)
-    queries = placed.where("minor").select("group", part("ls").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rs") - 1)).alias("r"), F.lit(True).alias("query"), *columns)
-    out = members.unionByName(queries).repartition("group", "l", "r").sortWithinPartitions("group", "l", "r")
-    return out
-
-
-def _links(rows: list[tuple], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Links of one unit that join components, by exact similarity; rows (query, minor, set, fp, n, label, shingles)."""
-    query, minor, name, fp, n, label = (np.array(x) for x in list(zip(*rows))[:6])
-    fp = fp.view(np.uint64)  # bits of signed numbers are counted without the sign
-    sets, joined, out = [r[6] for r in rows], Forest(), []
-    one, two = np.flatnonzero(query), np.flatnonzero(~query)
-    for i in one:
-        near = (label[two] != label[i]) & (np.bitwise_count(fp[two] ^ fp[i]) <= radius)
-        near &= np.minimum(n[two], n[i]) >= similarity * np.maximum(n[two], n[i]) - 1e-9
-        near &= ~minor[two] | (name[two] > name[i])  # pairs of queries meet in another unit, too
-        x = sets[i]
-        for j in two[near]:
-            if joined.top(int(label[i])) == joined.top(int(label[j])):
-                continue
-            y = sets[j]
-            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-            if both >= similarity * (len(x) + len(y) - both):
-                joined.join(int(label[i]), int(label[j]))
-                out.append((int(min(name[i], name[j])), int(max(name[i], name[j]))))
-    return out
-
-
-def _large(units: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Links (a, b) of all units."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            lists = batch["shingles"]
-            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            plain = zip(*(batch[c].to_pylist() for c in ("group", "l", "r", "query", "minor", "set", "fp", "n", "label")))
-            for row, a, b in zip(plain, ends[:-1], ends[1:]):
-                yield row[:3], (*row[3:], values[a:b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groupby(read(batches), key=lambda r: r[0]):
-            if found := _links([r[1] for r in rows], radius, similarity):
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return units.mapInArrow(run, "a long, b long").distinct()
-
-
-def _across(members: DataFrame, texts: DataFrame, shingle: int, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) from small and from large shards, between members (key, set, fp, n, label) of a shard with different labels."""
+        names = ("key", "low", "high", "second", *MEMBER)
+        stream = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in names)))
+        for (_, low, high), rows in groupby(stream, key=lambda r: r[:3]):
+            second, name, fp, fp2, n, label = (np.array(x) for x in list(zip(*rows))[3:])
+            fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)  # bits of signed numbers are counted without the sign
+            one = np.flatnonzero(~second)
+            two = one if low == high else np.flatnonzero(second)
+            for part in np.array_split(one, 1 + len(one) // ROWS):
+                left, right = part[:, None], two[None, :]
+                near = np.bitwise_count(fp[left] ^ fp[right]).astype(np.int16) + np.bitwise_count(fp2[left] ^ fp2[right]) <= radius
+                near &= (label[left] != label[right]) & (np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9)
+                a, b = np.nonzero(near & (name[left] < name[right]) if low == high else near)
+                a, b = name[part[a]], name[two[b]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return units.mapInArrow(run, "a long, b long")
+
+
+def _across(members: DataFrame, texts: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) between members (key, set, fp, fp2, n, label) of a shard with different labels."""
     mixed = members.groupBy("key").agg(F.count("*").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     some = materialize(members.join(mixed.select("key", "all"), "key"), "mixed")
-    one = verified(_small(some, radius, similarity), texts, shingle, similarity)
-    large = some.where(F.col("all") > FEW)
-    found = materialize(_shingles(texts, large.select("set").distinct(), shingle), "shingles")
-    two = materialize(_large(_units(large, found), radius, similarity), "links")
-    discard(found, some)
-    return one, two
+    out = verified(_small(some, radius, similarity).union(_large(some, radius, similarity)).distinct(), texts, shingle, similarity)
+    discard(some)
+    return out
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -228,30 +199,30 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
     plain = docs.select(F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"), F.col(text).alias("__text"))
     rows = materialize(_sets(plain, shingle, similarity), "sets")
     least = F.min(F.struct(F.col("__id").alias("id"), F.col("__same").alias("same"))).alias("least")
-    each = materialize(rows.groupBy("set").agg(least, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-    keyed = each.select("set", "fp", "n", F.explode("keys").alias("key"))
+    each = materialize(rows.groupBy("set").agg(least, F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
+    keyed = each.select("set", "fp", "fp2", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("all")).where("all > 1").select("key")
     members = materialize(keyed.join(shared, "key"), "members")
     # one text of each set that has partners
     some = members.select("set").distinct().join(each, "set").select("set", F.col("least.same").alias("__same"))
     texts = materialize(plain.select("__same", "__text").join(some, "__same").groupBy("set").agg(F.first("__text").alias("__text")), "texts")
 
-    order = Window.partitionBy("key").orderBy("n", "fp", "set")
-    before = F.lag(F.struct("set", "fp", "n")).over(order)
-    near = _alike(F.col("n"), F.col("fp"), F.col("before.n"), F.col("before.fp"), radius, similarity)
-    pairs = members.withColumn("before", before).where(near)
-    pairs = pairs.select(F.least("set", "before.set").alias("a"), F.greatest("set", "before.set").alias("b")).distinct()
-    first = verified(pairs, texts, shingle, similarity)
-    labels = connected_components(first)
-    labelled = members.join(labels, members["set"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set")).drop("node")
-    labelled = materialize(labelled, "labelled")
-    second, third = _across(labelled, texts, shingle, radius, similarity)
-    labels = connected_components(first.union(second).union(third))
+    linked, labelled = [], members.withColumn("label", F.col("set"))
+    for order in ORDERS:
+        at = Window.partitionBy("key").orderBy(*order)
+        met = labelled.withColumn("before", F.lag(F.struct(*MEMBER)).over(at)).where(_alike("before.", radius, similarity) & (F.col("label") != F.col("before.label")))
+        pairs = met.select(F.least("set", "before.set").alias("a"), F.greatest("set", "before.set").alias("b")).distinct()
+        linked.append(verified(pairs, texts, shingle, similarity))
+        labels = connected_components(reduce(DataFrame.union, linked))
+        named = members.join(labels, members["set"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set")).drop("node")
+        labelled = materialize(named, "labelled")
+    second = _across(labelled, texts, shingle, radius, similarity)
+    labels = connected_components(reduce(DataFrame.union, [*linked, second]))
     named = each.join(labels, each["set"] == labels["node"], "left").select("set", "least", F.coalesce("label", "set").alias("label"))
     named = materialize(named, "named")
     firsts = named.groupBy("label").agg(F.min("least").alias("first"))
     known = materialize(named.join(firsts, "label").select("set", "first"), "components")
-    discard(each, members, texts, labelled, first, second, third, named)
+    discard(each, members, texts, labelled, *linked, second, named)
     return rows.select("__id", "__same", "set").join(known, "set").select("__id", "__same", "first")
 
 

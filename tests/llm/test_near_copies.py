@@ -33,8 +33,7 @@ def test_stage_finds_planted_near_copies(spark, monkeypatch):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()} == expected
     # all shards but the smallest in units of few rows
     monkeypatch.setattr(near_copies, "FEW", 2)
-    units = near_copies._units
-    monkeypatch.setattr(near_copies, "_units", lambda large, found: units(large, found, 3, 5))
+    monkeypatch.setattr(near_copies, "SHARD", 7)
     assert {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()} == expected
 
 
