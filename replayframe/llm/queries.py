@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .common import read
+from .filter_audit import audit
 from .html_extract import extract_html
 from .line_templates import drop_lines
 from .mixing import mix
@@ -103,6 +104,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 OP7_SQL = """
 WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 starts AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM texts),
@@ -134,6 +139,38 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 FROM parts LEFT JOIN fit USING (n)
 """
 
+OP12_SQL = """
+WITH firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS least FROM documents GROUP BY 1),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+texts AS (SELECT d.doc_id, coalesce(d.lang, '') AS part, coalesce(d.text, '') AS t,
+  list_filter(regexp_split_to_array(coalesce(d.text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents d),
+judged AS (SELECT x.part,
+  [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws), 100 * length(regexp_replace(x.t, '[^A-Z]', '', 'g')) > 10 * length(x.t),
+   regexp_matches(x.t, '[#$%&*|]'), x.doc_id > f.least] AS fails, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic
+  FROM texts x JOIN firsts f USING (t) LEFT JOIN marks m USING (doc_id)),
+groups AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 3, 4, 5]) AS k),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT filter_order, step, ks[step] AS k, ks[1:step - 1] AS earlier FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+met AS (SELECT g.*, s.filter_order, s.step, s.k, g.fails[s.k] AS here,
+  len(list_filter(s.earlier, lambda j: g.fails[j])) > 0 AS before,
+  len(list_filter(g.fails, lambda f: f)) = 1 AS single FROM groups g, steps s),
+counted AS (SELECT part, filter_order, step, k,
+  sum(CASE WHEN NOT here AND NOT before THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN here AND NOT before THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN here AND before THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN here AND single THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN here AND NOT before THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN here AND NOT before THEN toxic ELSE 0 END) AS toxic_lost
+  FROM met GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM counted
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -145,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_url_filters": op9_url_filters,
     "op10_spotsigs": op10_spotsigs,
+    "op12_filter_audit": op12_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_substrings": OP7_SQL, "op9_url_filters": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_substrings": OP7_SQL, "op9_url_filters": OP9_SQL, "op12_filter_audit": OP12_SQL}
