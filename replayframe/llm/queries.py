@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
+from .collocations import collocations
 from .common import read
 from .filter_audit import audit
 from .html_extract import extract_html
@@ -104,6 +105,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -139,6 +144,27 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 FROM parts LEFT JOIN fit USING (n)
 """
 
+OP11_SQL = """
+WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents)),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists),
+grams AS (SELECT lang, ws[i:i + k - 1] AS g, k FROM starts, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, g, k, count(*) AS a FROM grams GROUP BY lang, g, k),
+totals AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT lang, g, k, a, unnest(range(1, k)) AS cut FROM candidates),
+scored AS (SELECT c.*, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN f x ON c.lang = x.lang AND x.g = c.g[1:cut] JOIN f y ON c.lang = y.lang AND y.g = c.g[cut + 1:c.k]),
+chosen AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (SELECT lang, k, a AS longer, unnest([g[1:2], g[2:3]]) AS g FROM candidates WHERE k = 3),
+kept AS (SELECT * FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.g = c.g AND 100 * i.longer >= 50 * c.a)),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked) JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
+
 OP12_SQL = """
 WITH firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS least FROM documents GROUP BY 1),
 marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
@@ -182,7 +208,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_url_filters": op9_url_filters,
     "op10_spotsigs": op10_spotsigs,
+    "op11_collocations": op11_collocations,
     "op12_filter_audit": op12_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_substrings": OP7_SQL, "op9_url_filters": OP9_SQL, "op12_filter_audit": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_substrings": OP7_SQL, "op9_url_filters": OP9_SQL, "op11_collocations": OP11_SQL, "op12_filter_audit": OP12_SQL}
