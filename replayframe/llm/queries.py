@@ -12,6 +12,7 @@ from .collocations import collocations
 from .common import read
 from .filter_audit import audit
 from .html_extract import extract_html
+from .learned_partitions import nearest_neighbours
 from .line_templates import drop_lines
 from .mixing import mix
 from .quality_rules import quality
@@ -113,6 +114,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
 OP7_SQL = """
 WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 starts AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM texts),
@@ -210,6 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_spotsigs": op10_spotsigs,
     "op11_collocations": op11_collocations,
     "op12_filter_audit": op12_filter_audit,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_substrings": OP7_SQL, "op9_url_filters": OP9_SQL, "op11_collocations": OP11_SQL, "op12_filter_audit": OP12_SQL}
