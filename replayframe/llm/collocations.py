@@ -9,10 +9,11 @@ come the counts of all its beginnings and ends, so of every cut, and each
 phrase tells its parents that it holds them.
 
 Texts are kept as blocks: a task numbers the distinct words (later, pairs) of
-some texts of one language as it meets them, and writes a row for each with its
-count, besides the places as one array of small numbers.  Counting and naming
-shuffle the rows of the distinct ones; for a common word that is one row for
-each block.  Global ids come back by a join, to the block that asked.
+some texts of one language as it meets them and writes them in one row, with
+their counts and the number at each place.  To count and to name, each distinct
+one of a block is a row that goes to the task of its key; those of frequent keys
+go back to their block with an id.  A common word is one row for each block, and
+a text is moved as numbers only.
 
 Defined results: a null text is empty, a null language is ``und`` and the same
 as that one; repeated rows count again, copies as well; ties of a score go by
@@ -27,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 MIN_COUNT, LONGEST, COVERED_PERCENT, BEST = 10, 3, 50, 2000
+#: Low bits of an id, which tell its task.
+TASK_BITS = 20
 #: Words of a block; bytes of a text that are split at once, up to the next break.
-BLOCK, SLICE = 1 << 19, 1 << 22
+BLOCK, SLICE = 1 << 20, 1 << 22
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -70,21 +74,31 @@ def split_words(text: bytes) -> list[bytes]:
     return text.replace(b".", b" . ").split()
 
 
-def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+def _packed(values: np.ndarray | list[bytes]) -> bytes:
+    raw = values.tobytes() if isinstance(values, np.ndarray) else b"\n".join(values)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-_WORDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("code", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("codes", pa.binary())])
-_PAIRS = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("codes", pa.binary())])
-_AS_SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
+def _raw(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _sql(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {_AS_SQL[f.type]}" for f in schema)
+def _numbers(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(_raw(packed), kind)
+
+
+#: ``keys`` are the distinct words, or the ids left and right of distinct pairs; ``codes`` the number of one at each place.
+_BLOCK = "block long, lang string, words long, keys binary, right binary, n binary, codes binary"
+_NAMES = [f.split()[0] for f in _BLOCK.split(", ")]
+
+
+def _block(*values) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[f.split()[1]]) for v, f in zip(values, _BLOCK.split(", "), strict=True)], _NAMES)
 
 
 def word_blocks(docs: DataFrame, text: str, lang: str, block_words: int = BLOCK) -> DataFrame:
-    """Blocks of the texts: a row for each word in a block, and one with its places."""
+    """Blocks of the words of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -95,14 +109,9 @@ def word_blocks(docs: DataFrame, text: str, lang: str, block_words: int = BLOCK)
             nonlocal number
             for name, (known, parts) in blocks.items():
                 codes = np.concatenate(parts)
-                n = len(known) - 1
-                if n:
-                    which = pa.array([number] * n), pa.array([name] * n)
-                    words = pa.array([w for w in known if known[w] >= 0], pa.binary())
-                    counts = np.bincount(codes[codes >= 0], minlength=n)
-                    yield _batch(_WORDS, n, block=which[0], lang=which[1], code=pa.array(np.arange(n, dtype=np.int32)), word=words, n=pa.array(counts))
-                    yield _batch(_WORDS, 1, block=which[0][:1], lang=which[1][:1], codes=pa.array([codes.tobytes()], pa.binary()))
-                    number += 1
+                n = np.bincount(codes[codes >= 0], minlength=len(known) - 1)
+                yield _block(number, name, int(n.sum()), _packed([w for w in known if known[w] >= 0]), None, _packed(n), _packed(codes))
+                number += 1
             blocks.clear()
 
         for batch in batches:
@@ -119,7 +128,62 @@ def word_blocks(docs: DataFrame, text: str, lang: str, block_words: int = BLOCK)
         yield from written()
 
     plain = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return plain.where(F.length("text") > 0).mapInArrow(run, _sql(_WORDS))
+    return plain.where(F.length("text") > 0).mapInArrow(run, _BLOCK)
+
+
+def _entries(blocks: DataFrame, of_words: bool) -> DataFrame:
+    """A row for each distinct word or pair of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = _numbers(row["n"], np.int64)
+                size = len(n)
+                if not size:
+                    continue
+                if of_words:
+                    keys = [pa.DictionaryArray.from_arrays(np.zeros(size, np.int32), pa.array([row["lang"]])).dictionary_decode(), pa.array(_raw(row["keys"]).split(b"\n"), pa.binary())]
+                else:
+                    keys = [pa.array(_numbers(row[c], np.int64)) for c in ("keys", "right")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(n), pa.array(np.full(size, row["block"])), pa.array(np.arange(size, dtype=np.int32))], names)
+
+    key = _key(of_words)
+    names = [*(k for k, _ in key), "n", "block", "code"]
+    return blocks.select("block", "lang", "keys", "right", "n").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in key) + ", n long, block long, code int")
+
+
+def _key(of_words: bool) -> list[tuple[str, str]]:
+    return [("lang", "string"), ("word", "binary")] if of_words else [("left", "long"), ("right", "long")]
+
+
+def _named(entries: DataFrame, of_words: bool, min_count: int, name: str) -> DataFrame:
+    """The entries that occur often enough in all blocks together, with their count ``a`` and an id of their key.
+
+    Rows of a key come one after the other, so ids are dealt in passing;
+    ``leads`` marks one row of each.  As the table is written, ids stay.
+    """
+    key = [k for k, _ in _key(of_words)]
+    often = entries.withColumn("a", F.sum("n").over(Window.partitionBy(*key))).where(F.col("a") >= min_count).drop("n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # small numbers, as most ids have few high bits: those of a task come first
+        task, dealt, last = TaskContext.get().partitionId(), -1, None
+        if task >> TASK_BITS:
+            raise ValueError(f"ids have room for {1 << TASK_BITS} tasks")
+        for batch in batches:
+            if not len(batch):
+                continue
+            leads = np.zeros(len(batch), bool)
+            for k in key:
+                leads[1:] |= np.asarray(pc.not_equal(batch[k].slice(1), batch[k].slice(0, len(batch) - 1)))
+            leads[0] = tuple(batch[k][0].as_py() for k in key) != last
+            last = tuple(batch[k][len(batch) - 1].as_py() for k in key)
+            number = dealt + np.cumsum(leads)
+            dealt = int(number[-1])
+            yield batch.append_column("id", pa.array(number << TASK_BITS | task)).append_column("leads", pa.array(leads))
+
+    schema = ", ".join([*(f"{k} {t}" for k, t in _key(of_words)), "block long, code int, a long, id long, leads boolean"])
+    return materialize(often.select(*key, "block", "code", "a").mapInArrow(run, schema), name)
 
 
 def pairs_of(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,18 +201,16 @@ def pair_blocks(blocks: DataFrame, named: DataFrame, last: bool) -> DataFrame:
     """Blocks of the next length; ``named`` has (block, code, id) of what is frequent.  The ``last`` ones have no places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(block: int, codes: np.ndarray, at: np.ndarray, found: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ids = np.full(codes.max(initial=-1) + 2, -1, np.int64)
-            ids[at] = found
-            left, right, counts, places = pairs_of(codes, ids)
-            n = len(left)
-            if n:
-                which = pa.array([block] * n)
-                yield _batch(_PAIRS, n, block=which, code=pa.array(np.arange(n, dtype=np.int32)), left=pa.array(left), right=pa.array(right), n=pa.array(counts))
-                if not last:
-                    yield _batch(_PAIRS, 1, block=which[:1], codes=pa.array([places.tobytes()], pa.binary()))
-
-        block, codes, at, found = None, None, [], []
+        def made(row: dict, at: list[np.ndarray], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if found:
+                codes = _numbers(row["codes"], np.int32)
+                ids = np.full(codes.max(initial=-1) + 2, -1, np.int64)
+                ids[np.concatenate(at)] = np.concatenate(found)
+                left, right, counts, places = pairs_of(codes, ids)
+                if len(left):
+                    yield _block(row["block"], row["lang"], 0, _packed(left), _packed(right), _packed(counts), None if last else _packed(places))
+
+        row, at, found = {"block": None}, [], []
         for batch in batches:
             column = batch["block"].to_numpy()
             starts = [0, *(np.flatnonzero(np.diff(column)) + 1), len(column)]
@@ -156,28 +218,19 @@ def pair_blocks(blocks: DataFrame, named: DataFrame, last: bool) -> DataFrame:
                 if a == b:
                     continue
                 rows = batch.slice(a, b - a)
-                if block != column[a]:
-                    if found:
-                        yield from made(block, codes, np.concatenate(at), np.concatenate(found))
+                if row["block"] != column[a]:
+                    yield from made(row, at, found)
                     # the row with the places comes first
-                    block, codes, at, found = int(column[a]), np.frombuffer(rows["codes"][0].as_py(), np.int32), [], []
+                    row, at, found = rows.slice(0, 1).to_pylist()[0], [], []
                     rows = rows.slice(1)
                 if len(rows):
                     at.append(rows["code"].to_numpy())
                     found.append(rows["id"].to_numpy())
-        if found:
-            yield from made(block, codes, np.concatenate(at), np.concatenate(found))
-
-    places = blocks.where("codes IS NOT NULL").select("block", F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("id"), "codes")
-    both = places.unionByName(named.select("block", "code", "id", F.lit(None).cast("binary").alias("codes")))
-    dealt = both.repartition("block").sortWithinPartitions("block", F.col("code").asc_nulls_first())
-    return dealt.mapInArrow(run, _sql(_PAIRS))
-
+        yield from made(row, at, found)
 
-def _frequent(entries: DataFrame, key: list[str], min_count: int, name: str) -> DataFrame:
-    """What occurs often enough, each with an id that stays, as it is written."""
-    counted = entries.groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
-    return materialize(counted.withColumn("id", F.monotonically_increasing_id()), name)
+    places = blocks.select("block", F.lit(-1).alias("code"), F.lit(None).cast("long").alias("id"), "lang", "codes")
+    both = places.union(named.select("block", "code", "id", F.lit(None).cast("string"), F.lit(None).cast("binary")))
+    return both.repartition("block").sortWithinPartitions("block", "code").mapInArrow(run, _BLOCK)
 
 
 def frequent_phrases(
@@ -190,20 +243,18 @@ def frequent_phrases(
     ``starts`` and ``ends`` are the counts of its first and last 1, 2, ... words.
     """
     blocks = materialize(word_blocks(docs, text, lang, block_words), "words")
-    entries = blocks.where("codes IS NULL")
-    totals = materialize(entries.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    found = _frequent(entries, ["lang", "word"], min_count, "frequent")
+    totals = materialize(blocks.groupBy("lang").agg(F.sum("words").alias("n")).where("n > 0"), "totals")
+    named = _named(_entries(blocks, True), True, min_count, "named")
     word = F.col("word").cast("string")
     none = F.lit(None).cast("long")
-    levels = [found.select("lang", "id", none.alias("left"), none.alias("right"), "a", word.alias("phrase"), word.alias("last"), F.array("a").alias("starts"), F.array("a").alias("ends"))]
-    key = ["lang", "word"]
+    first = named.where("leads").select("lang", "id", none.alias("left"), none.alias("right"), "a", word.alias("phrase"), word.alias("last"), F.array("a").alias("starts"), F.array("a").alias("ends"))
+    levels = [materialize(first, "phrases1")]
     for k in range(2, longest + 1):
-        named = entries.join(found.select(*key, "id"), key).select("block", "code", "id")
         following = materialize(pair_blocks(blocks, named, last=k == longest), f"pairs{k}")
-        discard(blocks)
-        blocks, key = following, ["left", "right"]
-        entries = blocks.where("codes IS NULL")
-        found = _frequent(entries, key, min_count, f"frequent{k}")
+        discard(blocks, named)
+        blocks = following
+        named = _named(_entries(blocks, False), False, min_count, f"named{k}")
+        found = named.where("leads")
         left, right = (levels[-1].select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "lang", "phrase", "last", "starts", "ends")]) for side in "lr")
         grown = found.join(left, F.col("left") == F.col("l_id")).join(right, F.col("right") == F.col("r_id"))
         levels.append(
@@ -222,7 +273,7 @@ def frequent_phrases(
                 f"phrases{k}",
             )
         )
-    discard(blocks)
+    discard(blocks, named)
     return levels, totals
 
 
