@@ -8,10 +8,13 @@ parts of them, with those of its siblings that are text rather than links.
 
 What never is the article goes before: elements that show no text, the tags of
 menus, headers, footers, sidebars and forms, and elements whose class, id or
-role names such a thing as a whole (``cookie-banner``, not ``search-results-study``).
-A header inside the article that holds a heading is the article's own, and an
-element around most of the page's text and its heading is a wrapper, whatever
-it is called.
+role marks such a thing.  A mark weighs more as the first or last part of a name
+(``ad-slot``, ``post-comments``, not ``search-results-study``), beside words of
+layout or of publishing, on a container rather than a paragraph, and where the
+element's text is mostly links.  What contradicts a mark: a header inside the
+article that isn't links, a menu in it that is a list of steps, and the
+heading and most of the page's unlinked text, which make an element a wrapper,
+whatever it is called.
 
 Time is linear in the length of a page, also for unclosed quotes, stray end
 tags and deep nesting.
@@ -47,6 +50,8 @@ BLOCKS = AROUND | frozenset(
     "legend li main ol p pre search section summary table tbody td tfoot th thead title tr ul xmp".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a name may mark without saying it as a whole.
+CONTAINERS = frozenset("div section aside nav header footer form ul ol menu dl table tbody tr td fieldset details center iframe figure article".split())
 #: Elements that pass their points on instead of being containers.
 PARAGRAPHS = HEADINGS | frozenset("p pre xmp li td th dd dt blockquote figcaption caption summary".split())
 #: What a start tag closes: the nearest of the first set, up to one of the second.
@@ -69,6 +74,23 @@ UNWANTED = frozenset(
     "recommendations search searchform pagination pager toolbar widget widgets form forms hidden skip".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Of these, words that are names of parts of pages, and hardly ever of what a text is about, whatever stands beside them.
+MACHINE = COMMENTS - {"respond", "reply", "replies", "comment"} | frozenset(
+    "ad ads advert adverts advertisement advertisements adsense adsbygoogle dfp sponsored taboola outbrain nav navi navbar navigation breadcrumb breadcrumbs "
+    "sidebar sidebars footer footers colophon cookie cookies consent gdpr popup modal overlay newsletter subscribe signup pagination pager toolbar rail cta".split()
+)
+UNWANTED |= MACHINE - COMMENTS
+#: Marks that say little beside words of publishing: an article has headers and sides of its own.
+LOOSE = frozenset("header side aside search searchform form forms hidden skip complementary top".split())
+#: Words of publishing that may stand beside a mark.
+OBJECTS = frozenset(
+    "post posts entry entries article articles story stories content contents news blog text body page pages slot unit message messages label holder space "
+    "video videos product products topic topics read reading google mobile desktop sticky fixed title author count meta data js embed inline end after before "
+    "privacy policy legal site email mail follow us".split()
+)
+#: Words that deny a mark beside them, and words of prose, which make a name a title.
+DENIED = frozenset("has with no without".split())
+PROSE = frozenset("a an and about for in of on or to versus".split())
 #: Words that may stand beside them in a name.
 NEUTRAL = frozenset(
     "site page global top bottom left right inner outer wrap wrapper container box block area bar list item items link links button buttons icon icons "
@@ -95,14 +117,14 @@ _SENTENCE = re.compile(r"[.!?…。！？](?:\s|[\"'”’»)]|$)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "drop", "soft", "comment", "holds", "blocky", "text", "links")
+    __slots__ = ("tag", "parent", "children", "score", "drop", "soft", "doubt", "comment", "holds", "blocky", "text", "links")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list[Node | str] = []
         self.score, self.text, self.links = 0.0, 0, 0
-        #: Dropped for sure; dropped unless it wraps the page; reader comments; has a heading, an article; has blocks in it.
-        self.drop = self.soft = self.comment = self.holds = self.blocky = False
+        #: Dropped for sure; dropped unless it wraps the page; that only if it is links; reader comments; has a heading, an article; has blocks in it.
+        self.drop = self.soft = self.doubt = self.comment = self.holds = self.blocky = False
 
 
 class Scanner:
@@ -143,6 +165,24 @@ def names(value: str) -> Iterator[list[str]]:
             yield parts
 
 
+def weigh(node: Node, parts: list[str]) -> None:
+    """Set what one name says of ``node``."""
+    marks = [p for p in parts if p in UNWANTED or p in COMMENTS]
+    if not marks or not DENIED.isdisjoint(parts) or parts[-1] == "free":
+        return
+    others = [p for p in parts if p not in UNWANTED and p not in COMMENTS and p not in NEUTRAL and not p.isdigit()]
+    sure = not others
+    if not sure and node.tag in CONTAINERS and PROSE.isdisjoint(parts):
+        # words of layout and short prefixes of a maker's stand outside of what is named
+        named = [p for p in parts if p in marks or not (p in NEUTRAL or p in OBJECTS or p == "main" or len(p) < 3)]
+        ends = (named[0], named[-1])
+        sure = any(p in MACHINE for p in ends) or "comment" in ends or (all(p in OBJECTS for p in others) and any(p not in LOOSE for p in marks))
+        node.doubt = node.doubt or ends[0] in marks
+    if sure:
+        node.soft = True
+        node.comment = node.comment or any(p in COMMENTS for p in marks)
+
+
 def judge(node: Node, attributes: str) -> None:
     """Set what the tag and its attributes say of ``node``."""
     tag = node.tag
@@ -158,12 +198,9 @@ def judge(node: Node, attributes: str) -> None:
             node.drop = True
         elif name in ("class", "id", "role"):
             for parts in names(value):
-                marks = [p for p in parts if p in UNWANTED or p in COMMENTS]
-                if marks and all(p in NEUTRAL or p in UNWANTED or p in COMMENTS for p in parts):
-                    node.soft = True
-                    node.comment = node.comment or any(p in COMMENTS for p in marks)
+                weigh(node, parts)
     if tag in ("html", "body"):
-        node.drop = node.soft = node.comment = False
+        node.drop = node.soft = node.doubt = node.comment = False
 
 
 def parse(page: str) -> list[Node]:
@@ -253,20 +290,54 @@ def parse(page: str) -> list[Node]:
 
 
 def settle(nodes: list[Node]) -> None:
-    """Decide which of the doubtful elements go: all but wrappers and the article's own headers."""
+    """Decide which of the doubtful elements go: all but wrappers and the article's own headers and lists."""
     sizes: dict[Node, int] = {}
+    linked_: dict[Node, int] = {}
     for node in reversed(nodes):  # children come after their parents
-        unsaid = node.drop or node.comment or node.tag == "a"
-        sizes[node] = 0 if unsaid else sum(len(x) if isinstance(x, str) else sizes[x] for x in node.children)
+        size = sum(len(x) if isinstance(x, str) else sizes[x] for x in node.children)
+        links = sum(linked_[x] for x in node.children if isinstance(x, Node))
+        if node.tag == "a":
+            size, links = 0, size + links
+        sizes[node], linked_[node] = (0, 0) if node.drop or node.comment else (size, links)
         node.holds = not node.drop and (node.tag in ("h1", "article", "main") or any(isinstance(x, Node) and x.holds for x in node.children))
+    much = lambda node: linked_[node] >= LINKED * (sizes[node] + linked_[node])
     inside: set[Node] = set()
+    headers: list[Node] = []
     for node in nodes:
         if node.parent in inside or node.tag in ("article", "main"):
             inside.add(node)
+        if node.doubt and not node.soft and not node.drop:
+            node.drop = linked_[node] > 0 and much(node)
         if node.soft and not node.drop:
-            wraps = node.holds and not node.comment and 2 * sizes[node] > sizes[nodes[0]]
-            own = node.tag == "header" and node.parent in inside and any(isinstance(x, Node) and (x.tag in HEADINGS or x.tag == "hgroup" or x.holds) for x in node.children)
+            most = 2 * sizes[node] > sizes[nodes[0]]
+            wraps = most and not node.comment and (node.holds or (node.tag == "form" and any(isinstance(x, Node) and x.tag in BLOCKS for x in node.children)))
+            within = node.parent in inside
+            headed = any(isinstance(x, Node) and (x.tag in HEADINGS or x.tag == "hgroup" or x.holds) for x in node.children)
+            own = within and (node.tag == "header" and (headed or (sizes[node] > 0 and not much(node))) or node.tag == "menu" and sizes[node] > 0 and not much(node))
             node.drop = not (wraps or own)
+            if node.drop and node.holds and not node.comment and node.tag in ("header", "div", "section"):
+                headers.append(node)
+    keep_headline(nodes, headers)
+
+
+def keep_headline(nodes: list[Node], headers: list[Node]) -> None:
+    """The one h1 of a page may stand in a dropped header beside the article: it stays, without what is around it."""
+    tops = [n for n in nodes if n.tag == "h1"]
+    if len(tops) != 1 or not headers:
+        return
+    path, node = [], tops[0]
+    while node is not None:
+        path.append(node)
+        node = node.parent
+    out = [n for n in path if n.drop]
+    if not out or any(n not in headers for n in out) or any(isinstance(x, Node) and x.tag == "a" for x in tops[0].children):
+        return
+    for node in path[1 : path.index(out[-1]) + 1]:
+        node.drop = False
+        for x in node.children:
+            if isinstance(x, Node) and x not in path:
+                x.drop = True
+        node.children = [x for x in node.children if isinstance(x, Node)]
 
 
 class Block:
@@ -317,7 +388,7 @@ def beside(node: Node, following: Node | None, best: Node, near: bool) -> bool:
     """Whether ``node``, a sibling of what is kept, is text of the article; ``near``: of the container itself."""
     if not node.text or linked(node):
         return False
-    if near or node.tag == "h1" or node.score >= SIBLING_SHARE * best.score:
+    if near or node.tag == "h1" or (node.holds and all(isinstance(x, Node) and (x.drop or x.holds) for x in node.children)) or node.score >= SIBLING_SHARE * best.score:
         return True
     if node.tag in HEADINGS:  # of the part that comes next
         return following is not None

@@ -98,3 +98,36 @@ def test_small_pages(spark):
     assert extract_html(empty).count() == 0
     both = spark.createDataFrame([(1, "<p>x</p>"), (1, "<p>x</p>"), (None, None)], "page_id long, html string").select("page_id", F.col("html").alias("text"))
     assert sorted(map(repr, extract_html(both, "text").collect())) == sorted(["Row(page_id=1, text='x')", "Row(page_id=1, text='x')", "Row(page_id=None, text='')"])
+
+
+ARTICLE = "<h1>Title here.</h1><p>First paragraph, with words, and more words to read. It goes on and on.</p>{}<p>Second paragraph, again with words, enough to be long.</p>"
+SHAPES = ["<html><body><article>%s</article></body></html>", "<html><body><div id=content>%s</div><div><a href=x>other</a></div></body></html>"]
+WHOLE = "Title here.\n\nFirst paragraph, with words, and more words to read. It goes on and on.\n\nSecond paragraph, again with words, enough to be long."
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_marks_inside_the_article(shape):
+    texts = (
+        "ad-slot google-ad advert-unit sponsored-content post-comments comment-body gdpr-message subscribe-cta post-footer entry-footer dfp-ad td-ad-wrap "
+        "fb-comments commentThread site-notice privacy-notice main-nav-bar taboola-widget js-ad ad-300x250 article-comments newsletter-box cookie-law-info"
+    )
+    for name in texts.split():
+        for inner in ("<p>Buy this now, please, it is very good. Really it is.</p>", "<a href=x>one, two</a> <a href=y>three</a>"):
+            assert extract(shape % ARTICLE.format(f"<div class='{name}'>{inner}</div>")) == WHOLE, name
+    for name in "post-navigation right-rail related-posts related-articles post-share social-links share-tools more-related-things".split():
+        inner = "<ul><li><a href=x>one, two, three</a><li><a href=y>four</a></ul>"
+        if name != "more-related-things":
+            assert extract(shape % ARTICLE.format(f"<div class='{name}'>{inner}</div>")) == WHOLE, name
+    for name in "search-results-study has-sidebar no-ads content-with-sidebar advertising-history market-share side-by-side related-work comment-on-law cookie-free".split():
+        assert "Real text" in extract(shape % ARTICLE.format(f"<div class='{name}'><p>Real text of the article, all of it.</p></div>")), name
+
+
+def test_wrappers_headers_and_steps():
+    p = "<p>Some long paragraph, with commas, and text. More of it here.</p>"
+    t = "Some long paragraph, with commas, and text. More of it here."
+    assert extract(f"<body><form action=x><h2>Head</h2><div>{p * 2}</div></form></body>") == f"Head\n\n{t}\n\n{t}"
+    assert extract(f"<body><div class=header><div>Logo</div><h1>The headline</h1></div><div class=content>{p * 2}</div><div class=footer>foot</div></body>") == f"The headline\n\n{t}\n\n{t}"
+    assert extract(f"<article><header><p>By Someone</p></header>{p}</article>") == f"By Someone\n\n{t}"
+    assert extract(f"<article>{p}<menu><li>Step one, do it.<li>Step two.</menu></article>") == f"{t}\n\nStep one, do it.\n\nStep two."
+    assert extract(f"<header><h1><a href=/>Site</a></h1><nav><a>x</a></nav></header><article>{p}</article>") == t
+    assert extract(f"<header><h1>Site name</h1></header><article><h1>Real</h1>{p}</article>") == f"Real\n\n{t}"
