@@ -6,10 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, and not anew for each item of a lambda inside."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, x: a + x))
+    powers = lambda z: _let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+    shares = lambda ps: _let(F.aggregate(ps, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(ps, lambda p: p / total))
+    return _let(logits, lambda z: _let(powers(z), shares))
 
 
 def argmax(values: Column) -> Column:
@@ -34,6 +39,5 @@ def floored_loss(p: Column) -> Column:
 
 def sample(p: Column, uniform: Column) -> Column:
     """The place (from 0) that ``uniform``, from [0, 1), falls on among probabilities laid end to end."""
-    sums = F.aggregate(p, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + x)))
-    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    return F.least(F.size(F.filter(sums, lambda s: s <= uniform * total)), F.size(p) - 1)
+    so_far = F.aggregate(p, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + x)))
+    return _let(so_far, lambda sums: _let(uniform * F.get(sums, F.size(sums) - 1), lambda at: F.least(F.size(F.filter(sums, lambda s: s <= at)), F.size(sums) - 1)))

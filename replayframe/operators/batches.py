@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_fraction
+from .names import own_prefix
 
 
 def length_batches(rows: DataFrame, key: str, length: str, batch: int, pool: int, seed: str, epoch: int = 0, drop_last: bool = False, pools: int = 1) -> DataFrame:
@@ -18,16 +19,17 @@ def length_batches(rows: DataFrame, key: str, length: str, batch: int, pool: int
     """
     if batch <= 0 or pool < batch or pool % batch:
         raise ValueError("a pool is a multiple of a batch")
-    hashed = rows.withColumn("__hash", stable_fraction(F.col(key), f"{seed}:{epoch}")).withColumn("__part", F.floor(F.col("__hash") * pools).cast("int"))
-    placed = hashed.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy("__hash", key)) - 1)
-    placed = placed.withColumn("__pool", F.floor(F.col("__rn") / pool))
-    inside = Window.partitionBy("__part", "__pool")
-    placed = placed.withColumn("__at", F.row_number().over(inside.orderBy(length, "__rn")) - 1).withColumn("__batch", F.floor(F.col("__at") / batch))
-    name = F.concat_ws("-", "__part", "__pool", "__batch")
-    placed = placed.withColumns({"pool": F.concat_ws("-", "__part", "__pool"), "batch": name, "batch_order": stable_fraction(name, f"{seed}:{epoch}:batches")})
+    hash_, part, rank, own, at, cut, size = (own_prefix(rows) + x for x in ("hash", "part", "rank", "pool", "at", "batch", "size"))
+    hashed = rows.withColumn(hash_, stable_fraction(F.col(key), f"{seed}:{epoch}")).withColumn(part, F.floor(F.col(hash_) * pools).cast("int"))
+    placed = hashed.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(hash_, key)) - 1)
+    placed = placed.withColumn(own, F.floor(F.col(rank) / pool))
+    inside = Window.partitionBy(part, own)
+    placed = placed.withColumn(at, F.row_number().over(inside.orderBy(length, rank)) - 1).withColumn(cut, F.floor(F.col(at) / batch))
+    name = F.concat_ws("-", part, own, cut)
+    placed = placed.withColumns({"pool": F.concat_ws("-", part, own), "batch": name, "batch_order": stable_fraction(name, f"{seed}:{epoch}:batches")})
     if drop_last:
-        placed = placed.withColumn("__size", F.count("*").over(Window.partitionBy("__part", "__pool", "__batch"))).where(F.col("__size") == batch).drop("__size")
-    return placed.drop("__hash", "__part", "__rn", "__pool", "__at", "__batch")
+        placed = placed.withColumn(size, F.count("*").over(Window.partitionBy(part, own, cut))).where(F.col(size) == batch)
+    return placed.drop(hash_, part, rank, own, at, cut, size)
 
 
 def after_cursor(batched: DataFrame, cursor: float) -> DataFrame:

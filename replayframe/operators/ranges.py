@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import own_prefix
+
 #: Ranges that rows are dealt by: about so many rows each, and at most so many.
 RANGE_ROWS, MOST_RANGES = 1_000_000, 16_384
 
@@ -40,20 +42,22 @@ def range_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, C
     The first column of ``order`` is a number: rows are dealt by group and
     range of it, each range is summed up by itself, and only a row per group
     and range is added up in order.  Which range a row is in follows from its
-    value alone, so a task that runs again gives the same.
+    value alone, so a task that runs again gives the same.  A column named as
+    a sum is replaced.
     """
-    ends = bounds(df.where(F.col(order[0]).isNotNull()), order[0], ranges)
-    placed = df.withColumns({"__range": bucket(F.col(order[0]), ends), **{f"__add_{n}": c for n, c in sums.items()}})
-    inside = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = {n: F.coalesce(F.sum(f"__add_{n}").over(inside), F.lit(0)) for n in sums}
+    ends, p = bounds(df.where(F.col(order[0]).isNotNull()), order[0], ranges), own_prefix(df)
+    place, add, all_, before = (p + x for x in ("range", "add_", "all_", "before_"))
+    placed = df.withColumns({place: bucket(F.col(order[0]), ends), **{add + n: c for n, c in sums.items()}})
+    inside = Window.partitionBy(*by, place).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = {n: F.coalesce(F.sum(add + n).over(inside), F.lit(0)) for n in sums}
     if not ends:
-        return placed.withColumns(own).drop("__range", *[f"__add_{n}" for n in sums])
-    totals = placed.groupBy(*by, "__range").agg(*[F.sum(f"__add_{n}").alias(f"__all_{n}") for n in sums])
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    keys = {f"__key_{k}": F.col(k) for k in (*by, "__range")}
-    starts = totals.select(*[c.alias(k) for k, c in keys.items()], *[F.coalesce(F.sum(f"__all_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in sums])
+        return placed.withColumns(own).drop(place, *[add + n for n in sums])
+    totals = placed.groupBy(*by, place).agg(*[F.sum(add + n).alias(all_ + n) for n in sums])
+    earlier = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    keys = {f"{p}key_{k}": F.col(k) for k in (*by, place)}
+    starts = totals.select(*[c.alias(k) for k, c in keys.items()], *[F.coalesce(F.sum(all_ + n).over(earlier), F.lit(0)).alias(before + n) for n in sums])
     match = F.lit(True)
     for k, c in keys.items():
         match = match & c.eqNullSafe(F.col(k))
-    out = placed.withColumns(own).join(starts, match).withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in sums})
-    return out.drop("__range", *keys, *[f"__add_{n}" for n in sums], *[f"__before_{n}" for n in sums])
+    out = placed.withColumns(own).join(starts, match).withColumns({n: F.col(n) + F.col(before + n) for n in sums})
+    return out.drop(place, *keys, *[add + n for n in sums], *[before + n for n in sums])

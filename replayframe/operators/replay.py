@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.legality import check_action, valid_state
 from ..functions.text import cards
+from .once import once
 
 CHIPS = "decimal(20,4)"
 ITEM = {
@@ -184,7 +185,7 @@ def replay(hands: DataFrame) -> DataFrame:
         )
 
     posts = posts.withColumn("__start", F.when(F.col("__wrong").isNull(), start))
-    folded = posts.withColumn("__end", F.aggregate(parse_actions(F.col("actions")), F.col("__start"), step))
+    folded = once(posts, {"__end": F.aggregate(parse_actions(F.col("actions")), F.col("__start"), step)})
     idle = ~F.exists("__end.items", lambda x: x.kind == "action")
     error = F.coalesce("__wrong", "__end.error", F.when(idle, "no action"))
     out = folded.withColumn("__error", error)

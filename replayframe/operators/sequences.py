@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .names import own_prefix
 from .ranges import range_sums
 
 
@@ -18,14 +19,14 @@ def build(df: DataFrame, key: str, order: list[str], items: Column) -> DataFrame
 
     An array is a row, so this is for keys that are sequences of their own,
     such as hands; a key of more than ``MOST_ITEMS`` rows stops the job before
-    its rows are gathered.
+    its rows are gathered: they are counted as they lie, in the same shuffle.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > MOST_ITEMS)
-    if counts.limit(1).count():
-        raise ValueError(f"a key has more than {MOST_ITEMS} rows; use windows or range sums")
-    ranked = F.struct(*order, items.alias("__item"))
-    listed = df.groupBy(key).agg(F.sort_array(F.collect_list(ranked)).alias("__rows"))
-    return listed.select(key, F.transform("__rows", lambda r: r["__item"]).alias("items"), F.size("__rows").alias("length"))
+    p = own_prefix(df)
+    ranked = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], items.alias("item"))
+    counted = df.select(F.col(key).alias(key), ranked.alias(p + "row"), F.count("*").over(Window.partitionBy(key)).alias(p + "n"))
+    few = F.when(F.col(p + "n") <= MOST_ITEMS, F.col(p + "row")).otherwise(F.raise_error(F.lit(f"a key has more than {MOST_ITEMS} rows; use windows or range sums")))
+    listed = counted.groupBy(key).agg(F.sort_array(F.collect_list(few)).alias(p + "rows"))
+    return listed.select(key, F.transform(p + "rows", lambda r: r["item"]).alias("items"), F.size(p + "rows").alias("length"))
 
 
 def running_offset(df: DataFrame, partition: str, order: str | list[str], length: str, name: str = "offset") -> DataFrame:
@@ -55,8 +56,9 @@ def streaks(df: DataFrame, partition: str, order: list[str], flag: str) -> DataF
     """(partition, flag, longest): the longest run of equal flags."""
     one = F.row_number().over(Window.partitionBy(partition).orderBy(*order))
     two = F.row_number().over(Window.partitionBy(partition, flag).orderBy(*order))
-    runs = df.withColumn("__island", one - two).groupBy(partition, flag, "__island").agg(F.count("*").alias("n"))
-    return runs.groupBy(partition, flag).agg(F.max("n").alias("longest"))
+    p = own_prefix(df)
+    runs = df.withColumn(p + "island", one - two).groupBy(partition, flag, p + "island").agg(F.count("*").alias(p + "n"))
+    return runs.groupBy(partition, flag).agg(F.max(p + "n").alias("longest"))
 
 
 def rolling(df: DataFrame, partition: str, order: list[str], value: str, width: int, name: str = "rolled") -> DataFrame:
@@ -77,7 +79,8 @@ def prefix_all(df: DataFrame, partition: str, order: list[str], flag: str, name:
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
+    at = own_prefix(df) + "at"
+    return df.withColumn(at, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(at) == 1).drop(at)
 
 
 def spans(df: DataFrame, partition: str, order: list[str], marker: Column, name: str = "span") -> DataFrame:
@@ -99,9 +102,12 @@ def shared_prefixes(df: DataFrame, key: str, items: str, lengths: tuple[int, ...
 
 def exact_matches(candidates: DataFrame, stored: DataFrame, items: str) -> DataFrame:
     """``candidates`` with ``known``: whether ``stored`` has a sequence or text that is the same."""
-    key = lambda df: df.withColumns({"__h": F.xxhash64(items)})
-    there = key(stored.select(items)).distinct().withColumn("__known", F.lit(True))
-    return key(candidates).join(there, ["__h", items], "left").withColumn("known", F.coalesce("__known", F.lit(False))).drop("__h", "__known")
+    p = own_prefix(candidates)
+    hashed, there = p + "hash", p + "there"
+    key = lambda df: df.withColumns({hashed: F.xxhash64(items)})
+    known = key(stored.select(items)).distinct().withColumn(there, F.lit(True))
+    out = key(candidates).drop("known").join(known, [hashed, items], "left").withColumn("known", F.coalesce(there, F.lit(False)))
+    return out.select(*[c for c in candidates.columns if c != "known"], "known")
 
 
 def longest(df: DataFrame, order: list[Column], k: int) -> DataFrame:

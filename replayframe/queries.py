@@ -97,7 +97,20 @@ def stable_split_assign(spark, sf_dir):
     return docs.groupBy(split.alias("split")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query()
+def _subset_sql(name: str, target: str) -> str:
+    """All subsets as numbers whose bits are the groups in order; of the closest sums the smallest number is the path found first."""
+    return f"""{name}_sums AS (SELECT m, coalesce(list_sum(list_transform(ns, lambda n, i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN n ELSE 0 END)), 0) AS s, gs
+  FROM (SELECT list(n ORDER BY f, source) AS ns, list(source ORDER BY f, source) AS gs FROM {name}_groups) , LATERAL (SELECT unnest(range(1::BIGINT << len(ns))) AS m)),
+{name} AS (SELECT unnest(list_filter(gs, lambda g, i: (m >> (i - 1)) & 1 = 1)) AS source FROM (SELECT * FROM {name}_sums ORDER BY abs(s - ({target})), s, m LIMIT 1))"""
+
+
+GROUP_FRACTION = "('0x' || substr(sha256('sources-1:{}' || chr(0) || source), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE"
+
+
+@query(f"""WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source), total AS (SELECT sum(n) AS n FROM counts),
+tests_groups AS (SELECT source, n, {GROUP_FRACTION.format("test")} AS f FROM counts), {_subset_sql("tests", "SELECT round_even(n * 0.05::DOUBLE, 0) FROM total")},
+vals_groups AS (SELECT source, n, {GROUP_FRACTION.format("val")} AS f FROM counts WHERE source NOT IN (SELECT source FROM tests)), {_subset_sql("vals", "SELECT round_even(n * 0.1::DOUBLE, 0) FROM total")}
+SELECT split, sum(n)::BIGINT AS n, count(*) AS sources FROM (SELECT n, CASE WHEN source IN (SELECT source FROM tests) THEN 'test' WHEN source IN (SELECT source FROM vals) THEN 'val' ELSE 'train' END AS split FROM counts) GROUP BY split""")
 def group_split_closest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     found = splits.split_groups(docs, "source", "sources-1")

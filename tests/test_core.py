@@ -110,3 +110,38 @@ def test_against_sql(spark, name):
     want = rows(want.fetchall())
     assert rows(tuple(r) for r in got.select(*names).collect()) == want
     assert want or name in ("novelty_prefix",)  # no rows would prove nothing
+
+
+def test_closest_subset_is_that_of_all_subsets():
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(60):
+        groups = [(f"g{k}", rnd.randrange(0, 30)) for k in range(9)]
+        target = rnd.randrange(0, 120)
+        # bits of a number are groups; of equal sums the smallest number was found first
+        best = min(range(1 << 9), key=lambda m: (abs(sum(n for k, (_, n) in enumerate(groups) if m >> k & 1) - target), sum(n for k, (_, n) in enumerate(groups) if m >> k & 1), m))
+        want = {g for k, (g, _) in enumerate(groups) if best >> k & 1}
+        assert splits.closest_subset(groups, target) == (want if target else set())
+
+
+def test_closest_subset_of_many_groups(monkeypatch):
+    groups = [(k, 1 + k % 97) for k in range(100_000)]
+    total = sum(n for _, n in groups)
+    chosen = splits.closest_subset(groups, total // 20)
+    assert sum(1 + k % 97 for k in chosen) == total // 20
+    monkeypatch.setattr(splits, "MOST_SUMS", 1000)  # in units, off by half a unit for each
+    some = splits.closest_subset([(k, 1000 + k) for k in range(40)], 8000)
+    assert abs(sum(1000 + k for k in some) - 8000) <= 8 * len(some)
+
+
+def test_groups_without_a_name(spark):
+    rows = [(k, None if k % 10 < 4 else f"g{k % 10}") for k in range(100)]
+    df = spark.createDataFrame(rows, "k int, g string")
+    for seed in ("a", "b", "c", "d"):
+        found = splits.split_groups(df, "g", seed, 0.4, 0.1)
+        assert found.count() == 100 and found.groupBy("g").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+    # 0.4 of the rows are those without a group, if nothing else comes as close first
+    assert splits.split_groups(spark.createDataFrame(rows[:4], df.schema), "g", "s", 0.9, 0.0).select("split").distinct().collect()[0][0] == "val"
+    numbers = spark.createDataFrame([(k, k % 5, "old") for k in range(50)], "k int, g int, split string")
+    assert {r["split"] for r in splits.split_groups(numbers, "g", "s", 0.2, 0.2).collect()} == {"train", "val", "test"}

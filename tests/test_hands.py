@@ -3,6 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from replayframe import hand_queries
 from replayframe.functions import vocabulary
 from replayframe.operators import replay, trajectories
 from replayframe.sources.archive import ArchiveSource
@@ -130,3 +131,15 @@ def test_archive(spark, tmp_path):
     assert load(prefix="data/a/").count() == 1 and load(header_bytes="10").where("bytes_read > 10").count() == 0
     assert load(max_member_bytes="20").where("error = 'member_too_large'").count() == 2
     assert [r.member for r in whole_members(hands(load())).collect()] == ["data/a/x/1.phh"]
+
+
+def test_hands_are_folded_once(spark):
+    """What reads the replayed hands doesn't repeat the fold in its plan."""
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 30))
+    try:
+        for made in (hand_queries.hand_replay, hand_queries.hand_decisions, hand_queries.hand_trajectories, hand_queries.frozen_metrics):
+            plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("player is not in the hand") == 1, made.__name__
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", before)

@@ -51,8 +51,8 @@ def test_rolling_windows_of_short_groups(spark):
 def test_a_key_of_too_many_rows_stops(spark, monkeypatch):
     monkeypatch.setattr(sequences, "MOST_ITEMS", 3)
     df = spark.createDataFrame([("a", k) for k in range(4)], "g string, k int")
-    with pytest.raises(ValueError, match="rows"):
-        sequences.build(df, "g", ["k"], F.col("k"))
+    with pytest.raises(Exception, match="more than 3 rows"):
+        sequences.build(df, "g", ["k"], F.col("k")).collect()
     assert sequences.build(df.where("k < 3"), "g", ["k"], F.col("k")).first()["items"] == [0, 1, 2]
 
 
