@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import buckets, hashing, legality, scoring, text
-from .operators import artifacts, batches, census, fingerprints, manifest, metrics, ranges, sequences, splits, stats
+from .operators import artifacts, batches, census, fingerprints, manifest, metrics, ranges, sequences, splits, stats, stretches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -367,6 +367,31 @@ def prefix_all_correct(spark, sf_dir):
     return rows.groupBy("ordinal").agg(F.count("*").alias("n"), F.count_if("ok").alias("correct"), F.count_if("all_so_far").alias("all_correct"))
 
 
+#: One order of all events, which no key cuts.
+GLOBAL_SQL = "r AS (SELECT event_id, event_type, value, value > 20 AS ok, row_number() OVER (ORDER BY event_id) AS k FROM events)"
+
+
+@query(f"""WITH {GLOBAL_SQL}, g AS (SELECT ok, k - row_number() OVER (PARTITION BY ok ORDER BY event_id) AS run FROM r),
+n AS (SELECT ok, run, count(*) AS n FROM g GROUP BY ALL) SELECT ok, max(n) AS longest FROM n GROUP BY ok""")
+def global_streaks(spark, sf_dir):
+    return stretches.streaks(_flagged(spark, sf_dir), [], ["event_id"], "ok")
+
+
+@query(f"""WITH {GLOBAL_SQL}, s AS (SELECT *, sum(ok::INT) OVER (ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS s, count(*) OVER () AS n FROM r)
+SELECT event_type, min(s)::BIGINT AS least, max(s)::BIGINT AS most, count(*) AS windows FROM s WHERE k >= least(100, n) GROUP BY event_type""")
+def global_rolling(spark, sf_dir):
+    rows = stretches.rolling(_flagged(spark, sf_dir).withColumn("n", F.col("ok").cast("long")), [], ["event_id"], "n", 100)
+    return rows.where("rolled is not null").groupBy("event_type").agg(F.min("rolled").alias("least"), F.max("rolled").alias("most"), F.count("*").alias("windows"))
+
+
+@query(f"""WITH {GLOBAL_SQL}, s AS (SELECT *, min((value >= 0 AND k <= 700)::INT) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS so_far FROM r)
+SELECT event_type, count(*) AS n, count(*) FILTER (WHERE so_far = 1) AS before_first FROM s GROUP BY event_type""")
+def global_prefix_all(spark, sf_dir):
+    rows = stretches.ranked(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), [], ["event_id"], "k")
+    rows = stretches.prefix_all(rows.withColumn("fine", (F.col("value") >= 0) & (F.col("k") <= 700)), [], ["event_id"], "fine")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("all_so_far").alias("before_first"))
+
+
 @query("""WITH u AS (SELECT user_id, user_id % 3 AS cohort, bool_or(event_type = 'purchase') AS bought, bool_or(event_type = 'signup') AS signed, count(*) AS n FROM events GROUP BY user_id)
 SELECT cohort, count(*) AS users, sum(n)::BIGINT AS events, count(*) FILTER (WHERE bought) AS buyers, round(count(*) FILTER (WHERE bought AND signed) / nullif(count(*) FILTER (WHERE signed), 0), 6) AS rate FROM u GROUP BY cohort""")
 def cohort_rates(spark, sf_dir):
