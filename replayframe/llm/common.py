@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,24 +22,32 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is missing, the warehouse has them, which is shared, too.
+    Where the setting is missing, a local master writes beside its warehouse;
+    on a cluster nothing tells that a folder is shared, so that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
 
 
-#: Tables written inside the open ``steps`` blocks, innermost last.
-_WRITTEN: list[list[DataFrame]] = []
+#: Tables written inside the open ``steps`` blocks of this thread or task, innermost last.
+_WRITTEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("written", default=())
 
 
 @contextmanager
 def steps() -> Iterator[None]:
     """Delete the tables of all steps inside when the block ends: what reads them must be written by then."""
-    _WRITTEN.append([])
+    own: list[DataFrame] = []
+    before = _WRITTEN.set((*_WRITTEN.get(), own))
     try:
         yield
     finally:
-        discard(*_WRITTEN.pop())
+        _WRITTEN.reset(before)
+        discard(*own)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -51,10 +61,11 @@ def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     This cuts the lineage with a table that outlives lost executors; the
     shuffle files of the step are freed when it has been written.  The table is
     deleted by ``discard``, at the end of the innermost ``steps`` block around
-    (of the next one, if it is ``kept``), or else when the driver ends.
+    (of the next one, if it is ``kept``), or else when the driver ends; what a
+    killed driver leaves stands in a folder of its application's id.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -63,7 +74,7 @@ def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
-    blocks = _WRITTEN[:-1] if kept else _WRITTEN
+    blocks = _WRITTEN.get()[:-1] if kept else _WRITTEN.get()
     if blocks:
         blocks[-1].append(out)
     files, jvm_path = _file_system(spark, path)

@@ -12,7 +12,8 @@ A tree goes to the tasks that search it and to no others: a shard of more than
 part that must be searched in it.  Trees of all fingerprints are never sent to
 all executors, as they grow with the corpus.  A shard passes on only as many
 links as join its members, so a dense group costs no more rows than it has
-members.
+members.  Before a large shard is split in parts, it is dealt anew by pairs of
+four bands of the bits that its key leaves open, of which two are equal, too.
 
 Defined results: a null or empty text has the fingerprint zero, which links
 like any other; equal texts share a fingerprint; a null doc_id takes no part in
@@ -143,6 +144,15 @@ def search(rows: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def _finer(band: list[Column]) -> Column:
+    """Keys within a shard: two equal bands of eight bits among the two bands that its key doesn't name."""
+    pairs = list(combinations(range(BANDS), 2))
+    open_ = [[k for k in range(BANDS) if k not in pair] for pair in pairs]
+    rest = F.get(F.array(*[band[a] * F.lit(1 << BAND_BITS) + band[b] for a, b in open_]), F.shiftright("key", 2 * BAND_BITS).cast("int"))
+    eight = [F.shiftrightunsigned(rest, 8 * k).bitwiseAND(255) for k in range(4)]
+    return F.array(*[F.xxhash64("key", F.lit(n), eight[a], eight[b]) for n, (a, b) in enumerate(combinations(range(4), 2))])
+
+
 def links(fingerprints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Distinct longs ``fp`` to links (a, b) that connect all within the radius."""
     if radius > BANDS - 2:
@@ -153,10 +163,13 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
     )
     keyed = fingerprints.select("fp", F.explode(keys).alias("key"))
     counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shards")
-    parts = F.ceil(F.col("n") / shard).cast("int")
+    shared = keyed.join(counts, "key")
+    few = shared.where(F.col("n") <= shard).select("fp", "key", F.lit(1).alias("parts"))
+    again = shared.where(F.col("n") > shard).select("fp", F.explode(_finer(band)).alias("key"))
+    sizes = again.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    many = again.join(sizes, "key").select("fp", "key", F.ceil(F.col("n") / shard).cast("int").alias("parts"))
     units = (
-        keyed.join(counts, "key")
-        .withColumn("parts", parts)
+        few.union(many)
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
