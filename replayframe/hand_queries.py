@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import decisions, scoring, vocabulary
-from .operators import artifacts, batches, census, evaluation, manifest as headers, metrics, replay, selection, sequences, trajectories
+from .operators import artifacts, batches, census, evaluation, manifest as headers, metrics, prefixes, replay, selection, sequences, trajectories
 from .queries import _bucket_sql, query, table
 from .sources import native
 
@@ -460,6 +460,22 @@ def street_gaps(spark, sf_dir):
     return evaluation.street_gaps(_outcomes(spark, sf_dir), ["PREFLOP", "FLOP", "TURN", "RIVER", "SHOWDOWN"])
 
 
+MARKER = "<PLAYER_1_DECISION>"
+
+
+@query(f"""WITH RECURSIVE {TOKENS_SQL}, told_ids AS (SELECT k, hero, string_split(tokens, ' ') AS t FROM encoded WHERE error IS NULL),
+ends AS (SELECT k, hero, t, unnest(list_filter(range(1, len(t) + 1), lambda i: t[i] = '{MARKER}')) AS e FROM told_ids),
+prefixes AS (SELECT k, hero, e, md5(array_to_string(t[1:e], ' ')) AS p FROM ends),
+seen AS (SELECT p, count(*) AS n FROM prefixes WHERE k % 5 <> 0 GROUP BY p)
+SELECT k AS hand, hero, e::INTEGER AS length, coalesce(n, 0) AS seen FROM prefixes LEFT JOIN seen USING (p) WHERE k % 5 = 0""")
+def novelty_decision_prefixes(spark, sf_dir):
+    """How many trajectories of train hands begin as each decision of the other hands does."""
+    found = _trajectories(spark, sf_dir).where("error is null").select(F.col("hand_key").cast("long").alias("hand"), (F.col("hero") + 1).cast("long").alias("hero"), "tokens")
+    ends = F.filter(F.transform("tokens", lambda t, i: F.when(t == MARKER, i + 1)), lambda x: x.isNotNull())
+    train, others = found.where("hand % 5 <> 0"), found.where("hand % 5 = 0")
+    return prefixes.prefix_counts(others, train, ["hand", "hero"], "tokens", ends).select("hand", "hero", F.col("k").alias("length"), F.col("n").alias("seen"))
+
+
 def _stored(spark, sf_dir) -> DataFrame:
     """Encoded trajectories, some of them damaged, each in another way."""
     k = F.col("hand_key").cast("long")
