@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import decisions, scoring, vocabulary
-from .operators import artifacts, batches, census, evaluation, manifest as headers, metrics, prefixes, replay, selection, sequences, trajectories
+from .operators import artifacts, batches, census, evaluation, manifest as headers, metric_sums, metrics, prefixes, replay, selection, sequences, trajectories
 from .queries import _bucket_sql, query, table
 from .sources import native
 
@@ -391,6 +391,17 @@ def frozen_metrics(spark, sf_dir):
     return found.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
+@query(f"""WITH RECURSIVE {OUTCOMES_SQL} SELECT street, count(*) AS decisions, round(avg(token_correct::INT), 6) AS token_accuracy, round(avg(token_in_top::INT), 6) AS token_top_accuracy, round(avg(action_correct::INT), 6) AS action_accuracy,
+  count(*) FILTER (WHERE reason IS NOT NULL) AS illegal, count(*) FILTER (WHERE aggressive) AS aggressive, count(*) FILTER (WHERE hit) AS aggressive_correct, round(avg(CASE WHEN hit THEN abs(said - ratio) END), 6) AS ratio_error,
+  round(avg(-ln(greatest(truth_p, 1e-45))), 6) AS loss FROM judged GROUP BY street""")
+def merged_metrics(spark, sf_dir):
+    """The sums of seven batches of hands, merged."""
+    parts = metric_sums.metric_sums(_outcomes(spark, sf_dir).withColumn("batch", F.col("hand") % 7), ["batch", "street"])
+    found = metric_sums.rates(metric_sums.merge(parts, ["street"]), ["street"])
+    wanted = ("token_accuracy", "token_top_accuracy", "action_accuracy", "illegal", "aggressive", "aggressive_correct", "ratio_error", "loss")
+    return found.select("street", "decisions", *[F.round(c, 6).alias(c) if dict(found.dtypes)[c] == "double" else F.col(c) for c in wanted])
+
+
 @query(f"""WITH RECURSIVE {OUTCOMES_SQL} SELECT count(*) AS decisions, round(avg((truth_group = pred_group)::INT), 6) AS group_accuracy, round(avg((place <= 2)::INT), 6) AS group_top_accuracy,
   round(avg(CASE pred_group WHEN 'FOLD' THEN p_fold WHEN 'PASSIVE' THEN p_pass ELSE p_bet END), 6) AS confidence, round(avg(g), 6) AS truth_probability, round(count(*) FILTER (WHERE aggressive AND token_correct) / count(*) FILTER (WHERE aggressive), 6) AS sizing_accuracy,
   round(avg(abs(truth_middle - pred_middle)), 6) AS ratio_error, round(avg((NOT action_legal)::INT), 6) AS illegal_action_rate, round(avg((reason IS NOT NULL)::INT), 6) AS illegal_rate,
