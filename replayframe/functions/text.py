@@ -11,20 +11,47 @@ def header_field(text: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?m)^[ \t]*{name}[ \t]*=[ \t]*([^\r\n]*)$", 1)), F.lit(""))
 
 
-#: A line that begins a table of a document: its name in brackets.
-TABLE_LINE = r"(?m)^[ \t]*\[([^\[\]\r\n]+)\][ \t]*$"
-
-
 def unquoted(value: Column) -> Column:
     """What a field holds in quotes; null if it isn't in quotes or in unlike ones."""
     return F.nullif(F.regexp_extract(value, r"""^(?:'([^']*)'|"([^"]*)")""", 0), F.lit("")).substr(F.lit(2), F.length(F.regexp_extract(value, r"""^(?:'[^']*'|"[^"]*")""", 0)) - 2)
 
 
+def _lines(text: Column) -> Column:
+    return F.split(text, "\r\n|\r|\n")
+
+
+def _bare(line: Column) -> Column:
+    return F.trim(F.translate(line, "\t", " "))
+
+
+def _titled(line: Column) -> Column:
+    """Whether a line begins a table: a name in brackets and nothing else."""
+    bare = _bare(line)
+    inner = F.substring(bare, F.lit(2), F.length(bare) - 2)
+    plain = (F.length(inner) > 0) & (F.instr(inner, "[") == 0) & (F.instr(inner, "]") == 0)
+    return F.startswith(bare, F.lit("[")) & F.endswith(bare, F.lit("]")) & plain
+
+
+def tables(text: Column) -> Column:
+    """How many tables a document has."""
+    return F.size(F.filter(_lines(text), _titled))
+
+
 def blocks(text: Column) -> Column:
-    """(key, block) of each table of a document, in order."""
-    keys = F.transform(F.regexp_extract_all(text, F.lit(TABLE_LINE), 1), lambda x: F.trim(x))
-    parts = F.split(text, TABLE_LINE)
-    return F.arrays_zip(keys.alias("key"), F.slice(parts, 2, F.size(parts)).alias("block"))
+    """(key, block) of each table of a document, in order: the lines after its title, up to the next title."""
+
+    def cut(given: Column) -> Column:
+        places = F.filter(F.transform(given, lambda line, i: F.when(_titled(line), i + 1)), lambda i: i.isNotNull())
+        ends = F.concat(places, F.array(F.size(given) + 1))
+
+        def block(start: Column, k: Column) -> Column:
+            title = _bare(F.get(given, start - 1))
+            body = F.slice(given, start + 1, F.get(ends, k + 1) - start - 1)
+            return F.struct(F.trim(F.substring(title, F.lit(2), F.length(title) - 2)).alias("key"), F.array_join(body, "\n").alias("block"))
+
+        return F.transform(places, block)
+
+    return F.transform(F.array(_lines(text)), cut)[0]
 
 
 def list_literal(text: Column, kind: str) -> Column:

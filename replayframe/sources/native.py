@@ -29,10 +29,18 @@ def _chips(values: Column) -> Column:
 
 
 def _actions(text: Column) -> Column:
-    """The quoted texts of the list of actions, which may go over several lines."""
-    inner = F.regexp_extract(text, r"(?ms)^[ \t]*actions[ \t]*=[ \t]*\[(.*?)\]", 1)
-    found = F.regexp_extract_all(inner, F.lit(r"""'[^']*'|"[^"]*\""""), 0)
-    return F.when(text.rlike(r"(?m)^[ \t]*actions[ \t]*=[ \t]*\["), F.transform(found, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)))
+    """The quoted texts of the list of actions, which may go over several lines: up to the bracket that no quotes hold."""
+    at = F.regexp_instr(text, F.lit(r"(?m)^[ \t]*actions[ \t]*="))
+
+    def scan(given: Column) -> Column:
+        parts = F.regexp_extract_all(given, F.lit(r"""\]|"[^"]*"|'[^']*'"""), 0)
+        items = lambda found: F.slice(found, F.lit(1), F.when(F.array_position(found, "]") > 0, F.array_position(found, "]").cast("int") - 1).otherwise(F.size(found)))
+        inner = F.transform(F.array(parts), items)[0]
+        return F.when(F.startswith(given, F.lit("[")), F.transform(inner, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)))
+
+    field = F.when(at > 0, F.substring(text, at, F.length(text)))
+    value = F.ltrim(F.translate(F.substring(field, F.instr(field, "=") + 1, F.length(field)), "\t", " "))
+    return F.transform(F.array(value), scan)[0]
 
 
 def native_hands(members: DataFrame) -> DataFrame:
