@@ -42,14 +42,16 @@ def blocks(text: Column) -> Column:
 
     def cut(given: Column) -> Column:
         places = F.filter(F.transform(given, lambda line, i: F.when(_titled(line), i + 1)), lambda i: i.isNotNull())
-        ends = F.concat(places, F.array(F.size(given) + 1))
 
-        def block(start: Column, k: Column) -> Column:
-            title = _bare(F.get(given, start - 1))
-            body = F.slice(given, start + 1, F.get(ends, k + 1) - start - 1)
-            return F.struct(F.trim(F.substring(title, F.lit(2), F.length(title) - 2)).alias("key"), F.array_join(body, "\n").alias("block"))
+        def between(ends: Column) -> Column:
+            def block(start: Column, k: Column) -> Column:
+                title = _bare(F.get(given, start - 1))
+                body = F.slice(given, start + 1, F.get(ends, k + 1) - start - 1)
+                return F.struct(F.trim(F.substring(title, F.lit(2), F.length(title) - 2)).alias("key"), F.array_join(body, "\n").alias("block"))
 
-        return F.transform(places, block)
+            return F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), block)
+
+        return F.transform(F.array(F.concat(places, F.array(F.size(given) + 1))), between)[0]
 
     return F.transform(F.array(_lines(text)), cut)[0]
 
