@@ -3,15 +3,20 @@
 A link joins two texts whose sets of five-word shingles have a similarity of at
 least ``SIMILARITY``.  At 0.8 fingerprints of 128 bits differ in about 20 bits
 (and up to some 40), too many for bands of bits to be equal.  The shards that
-can hold a partner are therefore named by shingles: in one order of all
-shingles, two such sets share one among their first ``n - ceil(0.8 n) + 1``.
-Members of a shard are compared by the size of their sets and by fingerprint;
-what lies within ``RADIUS`` is checked by the exact similarity of the sets.
-
-Shingles that many texts of a sample have come last in that order, which keeps
-shards small and changes no result.  A few rounds link each member to the one
-before it in an order of its shard; a last one compares those that are not in
-one component yet, so a dense group costs few rows for its pairs.
+can hold a partner are therefore named by shingles.  In one order of all
+shingles, two such sets share one among their first ``n - ceil(0.8 n) + 1``;
+the order begins with those that few texts have.  Two sets that share none of
+these share frequent ones alone, and are as alike in them as in all: of their
+``SMALLEST`` smallest frequent shingles they have none in common once in 10^8
+such pairs.
+
+A few rounds link each member of a shard to the one before it in an order.  In
+shards of few members the others are then compared by size and fingerprint, and
+what is near is checked by the exact sets.  Larger shards are cut into parts of
+bounded size, and two parts meet in a unit that has the exact sets of both and
+passes on only links that join components, so no row stands for a pair that is
+not linked.  A part has one component where that is large, and parts of one
+component don't meet; sets without a partner by size and fingerprint stay away.
 
 Defined results: texts without words are copies of each other; texts of fewer
 words than a shingle have one, all their words; white space and ASCII case don't
@@ -23,11 +28,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, discard, materialize
@@ -38,10 +42,16 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of 128 that fingerprints of linked texts may differ in: five standard deviations over the mean at 0.8.  Those of
 #: unlike texts differ in 64 bits and hardly ever in so few.
 RADIUS = 40
-#: Members of a shard that are compared as one unit, at most, and of one that a join compares; rows of a unit looked at together.
-SHARD, FEW, ROWS = 1024, 32, 128
+#: Sets of fewer shingles are compared without fingerprints, whose bits vary too much then.
+SHORT = 64
+#: Members of a shard that a join compares, at most; shingles of a part of a larger one, and those that a member counts for at least.
+FEW, PART, LEAST = 32, 1 << 19, 1 << 8
+#: Members of a part that are multiplied at once, and shingles; shingles of fewer of them are counted pair by pair.
+ROWS, COLUMNS, COMMON = 512, 4096, 16
 #: Orders of a shard in which each member is compared with the one before it.
 ORDERS = (("n", "fp", "set"), ("fp2", "n", "set"))
+#: Frequent shingles that name shards of a text, at most: at 0.8, one in 0.2 ** 12 pairs has none in common.
+SMALLEST = 12
 #: One text in so many is looked at for frequent shingles; those in so many of them come last, up to so many.
 SAMPLE, OFTEN, MOST_FREQUENT = 16, 8, 100_000
 
@@ -70,12 +80,17 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The shingles of which a set of at least this similarity has one among its own; ``frequent`` is sorted."""
+    """The shingles of which a set of at least this similarity has one among its own; ``frequent`` is sorted.
+
+    A set with as many others as its prefix is long can't share frequent ones
+    alone with such a set.
+    """
     n = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
     if not len(frequent):
         return found[:n]
     last = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-    return np.concatenate([found[~last], found[last]])[:n]
+    first = found[~last][:n]
+    return np.concatenate([first, found[last][:SMALLEST]]) if len(first) < n else first
 
 
 def _frequent(plain: DataFrame, shingle: int) -> np.ndarray:
@@ -128,7 +143,7 @@ def _alike(other: str, radius: int, similarity: float) -> Column:
     """Whether sizes and fingerprints (n, fp, fp2, and those with the prefix ``other``) let two sets have the similarity."""
     bits = [F.bit_count(F.col(c).bitwiseXOR(F.col(other + c))) for c in ("fp", "fp2")]
     n, m = F.col("n"), F.col(f"{other}n")
-    return (bits[0] + bits[1] <= radius) & (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9)
+    return ((bits[0] + bits[1] <= radius) | (F.least(n, m) < SHORT)) & (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9)
 
 
 def _shingles(texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
@@ -153,47 +168,217 @@ def _small(some: DataFrame, radius: int, similarity: float) -> DataFrame:
     return met.select(F.col("set").alias("a"), F.col("other_set").alias("b"))
 
 
-def _large(some: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of larger shards: these are cut into parts, and each part is compared with each as a unit of its own."""
-    units = (
-        some.where(F.col("all") > FEW)
-        .withColumn("parts", F.ceil(F.col("all") / SHARD).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).alias("second"), *MEMBER)
-        .repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high")
-    )
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``; sets hold no value twice."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    both = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    if not len(both):
+        return out
+    at = []
+    for values, rows in sides:  # (column, row) of what is on both sides, by column
+        place = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        known = both[place] == values
+        order = np.argsort(place[known], kind="stable")
+        at.append((place[known][order], rows[known][order]))
+    starts = [np.searchsorted(columns, np.arange(len(both) + 1)) for columns, _ in at]
+    counts = [np.diff(s) for s in starts]
+    rare = counts[0] * counts[1] <= COMMON * COMMON
+    # each pair of rows of a rare column
+    column = np.repeat(np.flatnonzero(rare), (counts[0] * counts[1])[rare])
+    nth = np.arange(len(column)) - np.searchsorted(column, column)
+    i, j = nth // counts[1][column], nth % counts[1][column]
+    cells = at[0][1][starts[0][column] + i] * len(right) + at[1][1][starts[1][column] + j]
+    out += np.bincount(cells, minlength=out.size).reshape(out.shape)
+    common = np.flatnonzero(~rare)
+    for some in np.array_split(common, 1 + len(common) // COLUMNS) if len(common) else ():
+        tables = []
+        for (columns, rows), size in zip(at, out.shape, strict=True):
+            table = np.zeros((size, len(some)), np.float32)
+            place = np.minimum(np.searchsorted(some, columns), len(some) - 1)
+            known = some[place] == columns
+            table[rows[known], place[known]] = 1
+            tables.append(table)
+        for a in range(0, len(left), ROWS):
+            out[a : a + ROWS] += tables[0][a : a + ROWS] @ tables[1].T
+    return out
+
+
+def unit_links(left: list[np.ndarray], right: list[np.ndarray] | None, labels: tuple[np.ndarray, np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between the sets of two parts (or within one, if ``right`` is None) that join all components that any link joins.
+
+    Places in ``left``, then in ``right``.  Sets with the same label are joined already.
+    """
+    own = right is None
+    right = left if own else right
+    sizes = [np.array([len(x) for x in sets], np.float32) for sets in (left, right)]
+    shared = overlaps(left, right)
+    # the same division as in ``verified``, on whole numbers
+    near = shared.astype(np.float64) / (sizes[0][:, None].astype(np.float64) + sizes[1][None, :] - shared) >= similarity
+    near &= labels[0][:, None] != labels[1][None, :]
+    out: list[tuple[int, int]] = []
+    if own:
+        new = np.ones(len(left), bool)
+        for first in np.flatnonzero(near.any(1)):
+            todo = [first] if new[first] else []
+            new[first] = False
+            while todo:
+                here = todo.pop()
+                found = np.flatnonzero(near[here] & new)
+                new[found] = False
+                out += [(here, x) for x in found]
+                todo += found.tolist()
+        return out
+    new = [np.ones(len(left), bool), np.ones(len(right), bool)]
+    for first in np.flatnonzero(near.any(1)):
+        todo = [(0, first)] if new[0][first] else []
+        new[0][first] = False
+        while todo:
+            side, here = todo.pop()
+            found = np.flatnonzero((near[here] if side == 0 else near[:, here]) & new[1 - side])
+            new[1 - side][found] = False
+            out += [(here, x) if side == 0 else (x, here) for x in found]
+            todo += [(1 - side, x) for x in found.tolist()]
+    return out
+
+
+def _parts(some: DataFrame) -> DataFrame:
+    """The members of the larger shards with the part of each: a component of its own, where it is large, or some small ones."""
+    large = some.where(F.col("all") > FEW).drop("all")
+    held = large.groupBy("key", "label").agg(F.sum(F.greatest("n", F.lit(LEAST))).alias("held"))
+    rest = held.where(F.col("held") < PART // 2).groupBy("key").agg(F.sum("held").alias("rest"))
+    sized = held.join(rest, "key", "left")
+    own = F.col("held") >= PART // 2
+    count = lambda c: F.ceil(F.col(c) / PART).cast("int")
+    sized = sized.select("key", "label", own.alias("own"), F.when(own, count("held")).otherwise(count("rest")).alias("parts"))
+    named = F.when(F.col("own"), F.xxhash64("label", F.pmod(F.xxhash64("set"), "parts"))).otherwise(F.pmod(F.xxhash64("label"), "parts"))
+    return large.join(sized, ["key", "label"]).select("key", *MEMBER, named.alias("part"))
+
+
+UNIT = ("key", "low", "high")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each unit, of batches sorted by unit."""
+    unit, rows = None, []
+    for batch in batches:
+        columns = [batch[c].to_numpy() for c in UNIT]
+        changes = np.zeros(len(batch), bool)
+        for c in columns:
+            changes[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(changes), len(batch)]
+        for a, b in zip(starts, starts[1:]):
+            if a == b:
+                continue
+            here = tuple(c[a] for c in columns)
+            if rows and here != unit:
+                yield rows
+                rows = []
+            unit = here
+            rows.append(batch.slice(a, b - a))
+    if rows:
+        yield rows
+
+
+def _columns(rows: list[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    return [np.concatenate([r[c].to_numpy(zero_copy_only=False) for r in rows]) for c in names]
+
+
+def _partnered(units: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """The rows of units that have a partner by size and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "low", "high", "second", *MEMBER)
-        stream = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in names)))
-        for (_, low, high), rows in groupby(stream, key=lambda r: r[:3]):
-            second, name, fp, fp2, n, label = (np.array(x) for x in list(zip(*rows))[3:])
+        for rows in _units(batches):
+            second, fp, fp2, n, label = _columns(rows, "second", "fp", "fp2", "n", "label")
             fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)  # bits of signed numbers are counted without the sign
-            one = np.flatnonzero(~second)
-            two = one if low == high else np.flatnonzero(second)
+            one, two = np.flatnonzero(~second), np.flatnonzero(second)
+            two = two if len(two) else one
+            found = np.zeros(len(n), bool)
             for part in np.array_split(one, 1 + len(one) // ROWS):
                 left, right = part[:, None], two[None, :]
                 near = np.bitwise_count(fp[left] ^ fp[right]).astype(np.int16) + np.bitwise_count(fp2[left] ^ fp2[right]) <= radius
-                near &= (label[left] != label[right]) & (np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9)
-                a, b = np.nonzero(near & (name[left] < name[right]) if low == high else near)
-                a, b = name[part[a]], name[two[b]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+                near = (near | (low < SHORT)) & (low >= similarity * high - 1e-9) & (label[left] != label[right])
+                found[part] |= near.any(1)
+                found[two] |= near.any(0)
+            if found.any():
+                table = pa.Table.from_batches(rows).select([*UNIT, "second", "set", "label"]).filter(pa.array(found))
+                yield from table.to_batches()
+
+    return units.select(*UNIT, "second", *MEMBER).mapInArrow(run, "key long, low long, high long, second boolean, set long, label long")
+
+
+def _large(some: DataFrame, texts: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) of the larger shards, exact: they join all that any link in a shard joins."""
+    members = materialize(_parts(some), "parts")
+    parts = members.groupBy("key", "part").agg(F.min("label").alias("from"), F.max("label").alias("to"))
+    one, two = (parts.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("part", "from", "to")]) for k in (1, 2))
+    joined = (F.col("from1") == F.col("to1")) & (F.col("from2") == F.col("to2")) & (F.col("from1") == F.col("from2"))
+    met = one.join(two, "key").where((F.col("part1") <= F.col("part2")) & ~joined).select("key", F.col("part1").alias("low"), F.col("part2").alias("high"))
+    met = materialize(met, "met")
+    side = lambda c, second: met.withColumns({"part": F.col(c), "second": F.lit(second)})
+    rows = members.join(side("low", False).union(side("high", True).where("low <> high")), ["key", "part"])
+    dealt = rows.repartition(*UNIT).sortWithinPartitions(*UNIT)
+    asked = materialize(_partnered(dealt, radius, similarity), "asked")
+    found = materialize(_shingles(texts, asked.select("set").distinct(), shingle), "shingles")
+    units = asked.join(found, "set").repartition(*UNIT).sortWithinPartitions(*UNIT)
 
-    return units.mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _units(batches):
+            second, name, label = _columns(rows, "second", "set", "label")
+            sets = [x for r in rows for x in np.split(r["shingles"].flatten().to_numpy(), np.cumsum(r["shingles"].value_lengths().to_numpy())[:-1])]
+            one, two = np.flatnonzero(~second), np.flatnonzero(second)
+            left = [sets[i] for i in one]
+            if len(two):
+                links = unit_links(left, [sets[i] for i in two], (label[one], label[two]), similarity)
+            else:
+                two, links = one, unit_links(left, None, (label, label), similarity)
+            if links:
+                a, b = (name[s[list(x)]] for s, x in zip((one, two), zip(*links), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    out = materialize(units.mapInArrow(run, "a long, b long").distinct(), "large")
+    discard(members, met, asked, found)
+    return out
 
 
 def _across(members: DataFrame, texts: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
     """Links (a, b) between members (key, set, fp, fp2, n, label) of a shard with different labels."""
     mixed = members.groupBy("key").agg(F.count("*").alias("all"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     some = materialize(members.join(mixed.select("key", "all"), "key"), "mixed")
-    out = verified(_small(some, radius, similarity).union(_large(some, radius, similarity)).distinct(), texts, shingle, similarity)
-    discard(some)
+    few = verified(_small(some, radius, similarity).distinct(), texts, shingle, similarity)
+    many = _large(some, texts, shingle, radius, similarity)
+    out = materialize(few.union(many), "across")
+    discard(some, few, many)
     return out
 
 
+def _chained(labelled: DataFrame, order: tuple[str, ...], radius: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a member and the one before it in its shard that may be near copies.
+
+    Members are dealt by ranges, so a shard of any size is spread; at the border
+    of a range a pair is left to the next round.
+    """
+    dealt = labelled.select("key", *MEMBER).repartitionByRange("key", *order).sortWithinPartitions("key", *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            rows = pa.Table.from_batches([last, batch] if last is not None else [batch]).combine_chunks()
+            last = batch.slice(len(batch) - 1) if len(batch) else last
+            key, name, fp, fp2, n, label = (rows[c].to_numpy() for c in ("key", *MEMBER))
+            bits = sum(np.bitwise_count((x[1:] ^ x[:-1]).view(np.uint64)).astype(np.int16) for x in (fp, fp2))
+            low, high = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
+            near = (key[1:] == key[:-1]) & (label[1:] != label[:-1]) & ((bits <= radius) | (low < SHORT)) & (low >= similarity * high - 1e-9)
+            a, b = name[:-1][near], name[1:][near]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(__id, __same, first) of each row: the smallest (id, same) of its component."""
     plain = docs.select(F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"), F.col(text).alias("__text"))
@@ -209,10 +394,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
 
     linked, labelled = [], members.withColumn("label", F.col("set"))
     for order in ORDERS:
-        at = Window.partitionBy("key").orderBy(*order)
-        met = labelled.withColumn("before", F.lag(F.struct(*MEMBER)).over(at)).where(_alike("before.", radius, similarity) & (F.col("label") != F.col("before.label")))
-        pairs = met.select(F.least("set", "before.set").alias("a"), F.greatest("set", "before.set").alias("b")).distinct()
-        linked.append(verified(pairs, texts, shingle, similarity))
+        linked.append(verified(_chained(labelled, order, radius, similarity), texts, shingle, similarity))
         labels = connected_components(reduce(DataFrame.union, linked))
         named = members.join(labels, members["set"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set")).drop("node")
         labelled = materialize(named, "labelled")

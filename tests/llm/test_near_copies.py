@@ -2,8 +2,11 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
+
 import corpus_pipeline
 from replayframe.llm import near_copies
+from replayframe.llm.common import materialize
 
 sys.path.insert(0, str(Path(__file__).parent))
 from tests_llm_shared import kept_by_brute_force  # noqa: E402
@@ -33,7 +36,8 @@ def test_stage_finds_planted_near_copies(spark, monkeypatch):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()} == expected
     # all shards but the smallest in units of few rows
     monkeypatch.setattr(near_copies, "FEW", 2)
-    monkeypatch.setattr(near_copies, "SHARD", 7)
+    monkeypatch.setattr(near_copies, "PART", 700)
+    monkeypatch.setattr(near_copies, "LEAST", 50)
     assert {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()} == expected
 
 
@@ -42,3 +46,57 @@ def test_stage_matches_brute_force_on_documents(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
     found = corpus_pipeline.near_duplicates_stage(spark, docs, "")
     assert {r["doc_id"] for r in found.collect()} == kept_by_brute_force(rows)
+
+
+def test_alike_texts_without_links_cost_no_pairs(spark, monkeypatch):
+    """Random edits of one base, all pairs alike but under 0.8: what is written grows with the texts and not with their pairs."""
+    counts = {}
+
+    def counted(df, name, kept=False):
+        out = materialize(df, name, kept)
+        counts[name] = counts.get(name, 0) + (out.count() if name in ("pairs", "large", "verified") else 0)
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    for size in (400, 800):
+        rnd = random.Random(1)
+        base = [f"w{k}" for k in range(200)]
+        rows = []
+        for i in range(size):
+            w = list(base)
+            for k in rnd.sample(range(200), 6):
+                w[k] = f"x{i}y{k}"
+            rows.append((i, " ".join(w)))
+        counts.clear()
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert near_copies.drop_near_copies(docs).count() == size
+        assert counts["pairs"] <= 20 * size and counts["large"] == 0
+
+
+def test_links_of_a_unit_join_what_all_links_join():
+    rnd = np.random.default_rng(6)
+    base = rnd.integers(0, 1 << 62, 90)
+    sets = []
+    for k in range(120):
+        x = base.copy()
+        x[rnd.integers(0, 90, k % 14)] = rnd.integers(0, 1 << 62, k % 14)
+        sets.append(np.unique(x))
+    sets += [np.unique(rnd.integers(0, 1 << 62, 30)) for _ in range(5)]
+    labels = np.array([k if k % 3 else 0 for k in range(len(sets))])
+
+    def joined(pairs):
+        top = list(range(len(sets)))
+        for a, b in [*pairs, *((i, 0) for i in range(len(sets)) if labels[i] == 0)]:
+            a, b = top[a], top[b]
+            top = [a if t == b else t for t in top]
+        groups = {}
+        for i, t in enumerate(top):
+            groups.setdefault(t, []).append(i)
+        return sorted(groups.values())
+
+    alike = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8
+    every = [(i, j) for j in range(len(sets)) for i in range(j) if labels[i] != labels[j] and alike(sets[i], sets[j])]
+    found = near_copies.unit_links(sets, None, (labels, labels), 0.8)
+    assert set(map(lambda x: tuple(sorted(x)), found)) <= set(every) and joined(found) == joined(every)
+    across = near_copies.unit_links(sets[:50], sets[50:], (labels[:50], labels[50:]), 0.8)
+    assert joined([(a, b + 50) for a, b in across]) == joined([(i, j) for i, j in every if i < 50 <= j])
