@@ -39,7 +39,7 @@ MIN_COUNT, LONGEST, COVERED_PERCENT, BEST = 10, 3, 50, 2000
 #: Low bits of an id, which tell its task.
 TASK_BITS = 20
 #: Words of a block; bytes of a text that are split at once, up to the next break.
-BLOCK, SLICE = 1 << 20, 1 << 22
+BLOCK, SLICE = 1 << 21, 1 << 22
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
