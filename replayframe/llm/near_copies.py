@@ -1,14 +1,14 @@
-"""Near copies by the Jaccard similarity of word shingles, behind SimHash.
+"""Near copies by the Jaccard similarity of word shingles, found by SimHash and BK-trees.
 
 A link joins two texts whose sets of five-word shingles have a similarity of at
-least ``SIMILARITY``.  At 0.8 fingerprints of 128 bits differ in about 20 bits
+least ``SIMILARITY``.  At first the SimHash fingerprints of the sets go through
+the BK-trees of ``simhash.links``; what these link within two bits is checked by
+the exact sets.  At 0.8, though, fingerprints of 128 bits differ in about 20 bits
 (and up to some 40), too many for bands of bits to be equal.  The shards that
-can hold a partner are therefore named by shingles.  In one order of all
-shingles, two such sets share one among their first ``n - ceil(0.8 n) + 1``;
-the order begins with those that few texts have.  Two sets that share none of
-these share frequent ones alone, and are as alike in them as in all: of their
-``SMALLEST`` smallest frequent shingles they have none in common once in 10^8
-such pairs.
+can hold the other partners are therefore named by bands of ``BAND`` min-hashes;
+of so many bands two sets at the least similarity have none in common once in
+``1 / LOST`` pairs, and more alike ones far less often.  A text has as many
+shards as bands, however long it is.
 
 A few rounds link each member of a shard to the one before it in an order.  In
 shards of few members the others are then compared by size and fingerprint, and
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, discard, materialize
 from .components import connected_components
-from .simhash import _LOWER, one_row_each
+from .simhash import _LOWER, links, one_row_each
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of 128 that fingerprints of linked texts may differ in: five standard deviations over the mean at 0.8.  Those of
@@ -45,15 +45,17 @@ RADIUS = 40
 #: Sets of fewer shingles are compared without fingerprints, whose bits vary too much then.
 SHORT = 64
 #: Members of a shard that a join compares, at most; shingles of a part of a larger one, and those that a member counts for at least.
-FEW, PART, LEAST = 32, 1 << 19, 1 << 8
+FEW, PART, LEAST = 8, 1 << 19, 1 << 8
 #: Members of a part that are multiplied at once, and shingles; shingles of fewer of them are counted pair by pair.
 ROWS, COLUMNS, COMMON = 512, 4096, 16
+#: Pairs of rows that are counted at once.
+PAIRS = 1 << 20
 #: Orders of a shard in which each member is compared with the one before it.
 ORDERS = (("n", "fp", "set"), ("fp2", "n", "set"))
-#: Frequent shingles that name shards of a text, at most: at 0.8, one in 0.2 ** 12 pairs has none in common.
-SMALLEST = 12
-#: One text in so many is looked at for frequent shingles; those in so many of them come last, up to so many.
-SAMPLE, OFTEN, MOST_FREQUENT = 16, 8, 100_000
+#: One in so many shards takes part in the rounds of neighbours, which only spare comparisons.
+CHAINED = 4
+#: Min-hashes of a band, and pairs at the least similarity that share no band, at most; shingles that are hashed at once.
+BAND, LOST, HASHED = 3, 1e-10, 4096
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -79,53 +81,64 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
     return out[0], out[1]
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The shingles of which a set of at least this similarity has one among its own; ``frequent`` is sorted.
+@cache
+def _factors(bands: int) -> np.ndarray:
+    return np.random.default_rng(5).integers(0, 1 << 64, bands * BAND + BAND, np.uint64) | np.uint64(1)
 
-    A set with as many others as its prefix is long can't share frequent ones
-    alone with such a set.
-    """
-    n = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
-    if not len(frequent):
-        return found[:n]
-    last = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-    first = found[~last][:n]
-    return np.concatenate([first, found[last][:SMALLEST]]) if len(first) < n else first
 
+def band_count(similarity: float) -> int:
+    """So many bands that sets of this similarity or more have one in common, but for one in ``1 / LOST`` pairs."""
+    return math.ceil(math.log(LOST) / math.log1p(-(similarity**BAND))) if similarity < 1 else 1
 
-def _frequent(plain: DataFrame, shingle: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch["__text"].cast(pa.binary()).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle))], ["shingle"])
 
-    sample = plain.where(F.pmod("__same", F.lit(SAMPLE)) == 0).select("__text")
-    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    return np.sort(np.array([r["shingle"] for r in counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()], np.int64))
+def band_keys(found: np.ndarray, bands: int) -> np.ndarray:
+    """A key for each band of min-hashes of a set of shingles; none for an empty set."""
+    if not len(found):
+        return found
+    factors = _factors(bands)
+    by, last = factors[: bands * BAND], factors[bands * BAND :]
+    x = found.view(np.uint64)
+    least = reduce(np.minimum, [(x[a : a + HASHED, None] * by).min(0) for a in range(0, len(x), HASHED)]).reshape(bands, BAND)
+    y = ((least ^ (least >> np.uint64(29))) * last).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * last[0]
+    return ((y ^ (y >> np.uint64(31))) * last[-1]).view(np.int64)
 
 
 def _sets(plain: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(__id, __same, set, fp, fp2, n, keys): ``set`` names the shingles of the text."""
-    frequent = _frequent(plain, shingle)
+    bands = band_count(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
-            found = [shingle_set(t, shingle) for t in batch["__text"].cast(pa.binary()).to_pylist()]
-            columns = [
-                batch["__id"],
-                batch["__same"],
-                pa.array(np.array([xxh64_intdigest(x.tobytes(), 42) for x in found], np.uint64).view(np.int64)),
-                *[pa.array(half, pa.int64()) for half in (list(zip(*map(fingerprint, found))) or ((), ()))],
-                pa.array([len(x) for x in found], pa.int32()),
-                pa.array([prefix(x, frequent, similarity) for x in found], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "set", "fp", "fp2", "n", "keys"])
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                found = [shingle_set(t, shingle) for t in batch["__text"].cast(pa.binary()).to_pylist()]
+                columns = [
+                    batch["__id"],
+                    batch["__same"],
+                    pa.array(np.array([xxh64_intdigest(x.tobytes(), 42) for x in found], np.uint64).view(np.int64)),
+                    *[pa.array(half, pa.int64()) for half in zip(*map(fingerprint, found), strict=True)],
+                    pa.array([len(x) for x in found], pa.int32()),
+                    pa.array([band_keys(x, bands) for x in found], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "set", "fp", "fp2", "n", "keys"])
 
     return plain.mapInArrow(run, "__id long, __same long, set long, fp long, fp2 long, n int, keys array<long>")
 
 
+def _by_fingerprint(each: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints BK-trees link, or that have the same one: they join all such sets."""
+    heads = materialize(each.groupBy("fp").agg(F.min("set").alias("head")), "heads")
+    found = links(heads.select("fp"))
+    one, two = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in "ab")
+    between = found.join(one, "a").join(two, "b").select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
+    same = each.join(heads, "fp").where("set <> head").select(F.col("head").alias("a"), F.col("set").alias("b"))
+    out = materialize(between.union(same), "fingerprint_pairs")
+    discard(heads, found)
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of sets that have the similarity; ``texts`` has (set, __text)."""
     pairs = materialize(pairs, "pairs")
@@ -187,11 +200,15 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     counts = [np.diff(s) for s in starts]
     rare = counts[0] * counts[1] <= COMMON * COMMON
     # each pair of rows of a rare column
-    column = np.repeat(np.flatnonzero(rare), (counts[0] * counts[1])[rare])
-    nth = np.arange(len(column)) - np.searchsorted(column, column)
-    i, j = nth // counts[1][column], nth % counts[1][column]
-    cells = at[0][1][starts[0][column] + i] * len(right) + at[1][1][starts[1][column] + j]
-    out += np.bincount(cells, minlength=out.size).reshape(out.shape)
+    here = np.flatnonzero(rare)
+    ends = np.cumsum((counts[0] * counts[1])[here])
+    flat = out.reshape(-1)
+    for some in np.split(here, np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS))) if len(here) else ():
+        column = np.repeat(some, (counts[0] * counts[1])[some])
+        nth = np.arange(len(column)) - np.searchsorted(column, column)
+        i, j = nth // counts[1][column], nth % counts[1][column]
+        cells, times = np.unique(at[0][1][starts[0][column] + i] * len(right) + at[1][1][starts[1][column] + j], return_counts=True)
+        flat[cells] += times
     common = np.flatnonzero(~rare)
     for some in np.array_split(common, 1 + len(common) // COLUMNS) if len(common) else ():
         tables = []
@@ -216,8 +233,10 @@ def unit_links(left: list[np.ndarray], right: list[np.ndarray] | None, labels: t
     sizes = [np.array([len(x) for x in sets], np.float32) for sets in (left, right)]
     shared = overlaps(left, right)
     # the same division as in ``verified``, on whole numbers
-    near = shared.astype(np.float64) / (sizes[0][:, None].astype(np.float64) + sizes[1][None, :] - shared) >= similarity
-    near &= labels[0][:, None] != labels[1][None, :]
+    near = labels[0][:, None] != labels[1][None, :]
+    for a in range(0, len(left), ROWS):
+        some = shared[a : a + ROWS].astype(np.float64)
+        near[a : a + ROWS] &= some / (sizes[0][a : a + ROWS, None].astype(np.float64) + sizes[1][None, :] - some) >= similarity
     out: list[tuple[int, int]] = []
     if own:
         new = np.ones(len(left), bool)
@@ -361,7 +380,7 @@ def _chained(labelled: DataFrame, order: tuple[str, ...], radius: int, similarit
     Members are dealt by ranges, so a shard of any size is spread; at the border
     of a range a pair is left to the next round.
     """
-    dealt = labelled.select("key", *MEMBER).repartitionByRange("key", *order).sortWithinPartitions("key", *order)
+    dealt = labelled.where(F.pmod("key", F.lit(CHAINED)) == 0).select("key", *MEMBER).repartitionByRange("key", *order).sortWithinPartitions("key", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -379,25 +398,41 @@ def _chained(labelled: DataFrame, order: tuple[str, ...], radius: int, similarit
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _members(each: DataFrame) -> DataFrame:
+    """(key, set, fp, fp2, n) of all shards of two sets or more."""
+    keyed = each.select("set", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("all")).where("all > 1").select("key")
+    return keyed.join(shared, "key").join(each.select("set", "fp", "fp2", "n"), "set").select("key", "set", "fp", "fp2", "n")
+
+
+def _labelled(members: DataFrame, linked: list[DataFrame]) -> DataFrame:
+    """``members`` with the label of the component that the links make so far."""
+    labels = connected_components(reduce(DataFrame.union, linked))
+    return materialize(members.join(labels, members["set"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set")).drop("node"), "labelled")
+
+
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(__id, __same, first) of each row: the smallest (id, same) of its component."""
     plain = docs.select(F.coalesce(F.col(id), F.lit(LAST_ID)).cast("long").alias("__id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("__same"), F.col(text).alias("__text"))
-    rows = materialize(_sets(plain, shingle, similarity), "sets")
+    made = materialize(_sets(plain, shingle, similarity), "sets")
+    rows = materialize(made.select("__id", "__same", "set"), "rows")
     least = F.min(F.struct(F.col("__id").alias("id"), F.col("__same").alias("same"))).alias("least")
-    each = materialize(rows.groupBy("set").agg(least, F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-    keyed = each.select("set", "fp", "fp2", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("all")).where("all > 1").select("key")
-    members = materialize(keyed.join(shared, "key"), "members")
+    each = materialize(made.groupBy("set").agg(least, *[F.first(c).alias(c) for c in ("fp", "fp2", "n", "keys")]), "distinct")
+    discard(made)
+    members = materialize(_members(each), "members")
+    paired = _by_fingerprint(each)
     # one text of each set that has partners
-    some = members.select("set").distinct().join(each, "set").select("set", F.col("least.same").alias("__same"))
-    texts = materialize(plain.select("__same", "__text").join(some, "__same").groupBy("set").agg(F.first("__text").alias("__text")), "texts")
+    asked = members.select("set").union(paired.select("a")).union(paired.select("b")).distinct()
+    some = asked.join(each, "set").select("set", F.col("least.id").alias("__id"), F.col("least.same").alias("__same"))
+    texts = materialize(plain.join(some, ["__id", "__same"]).dropDuplicates(["__id", "__same"]).select("set", "__text"), "texts")
 
-    linked, labelled = [], members.withColumn("label", F.col("set"))
+    linked = [verified(paired, texts, shingle, similarity)]
+    discard(paired)
+    labelled = _labelled(members, linked)
     for order in ORDERS:
         linked.append(verified(_chained(labelled, order, radius, similarity), texts, shingle, similarity))
-        labels = connected_components(reduce(DataFrame.union, linked))
-        named = members.join(labels, members["set"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set")).drop("node")
-        labelled = materialize(named, "labelled")
+        before, labelled = labelled, _labelled(members, linked)
+        discard(before)
     second = _across(labelled, texts, shingle, radius, similarity)
     labels = connected_components(reduce(DataFrame.union, [*linked, second]))
     named = each.join(labels, each["set"] == labels["node"], "left").select("set", "least", F.coalesce("label", "set").alias("label"))

@@ -100,3 +100,45 @@ def test_links_of_a_unit_join_what_all_links_join():
     assert set(map(lambda x: tuple(sorted(x)), found)) <= set(every) and joined(found) == joined(every)
     across = near_copies.unit_links(sets[:50], sets[50:], (labels[:50], labels[50:]), 0.8)
     assert joined([(a, b + 50) for a, b in across]) == joined([(i, j) for i, j in every if i < 50 <= j])
+
+
+def test_stage_goes_through_fingerprints_and_trees(spark, monkeypatch):
+    """The stage's fingerprints are searched by BK-trees, and what those link is checked by the exact sets."""
+    rnd = random.Random(4)
+    long, other = (rnd.choices([f"w{k}" for k in range(2000)], k=3000) for _ in range(2))
+    # the trees link the first two, whose sets are alike, and not the third
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-1], "last"])), (3, " ".join(other))]
+    seen = []
+
+    def watched(fingerprints, *args):
+        found = near_copies.simhash_links(fingerprints, *args)
+        seen.append((fingerprints.count(), {tuple(sorted(r)) for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(near_copies, "simhash_links", near_copies.links, raising=False)
+    monkeypatch.setattr(near_copies, "links", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()} == {1, 3}
+    prints = [near_copies.fingerprint(near_copies.shingle_set(t.encode()))[0] for _, t in rows]
+    assert len(seen) == 1 and seen[0][0] == len(set(prints))
+    if prints[0] != prints[1] and ((prints[0] ^ prints[1]) & ((1 << 64) - 1)).bit_count() <= 2:
+        assert seen[0][1] == {tuple(sorted(prints[:2]))}
+
+
+def test_sets_at_the_threshold_share_a_band_and_others_hardly():
+    rnd = np.random.default_rng(9)
+    bands = near_copies.band_count(0.8)
+    assert (1 - 0.8**near_copies.BAND) ** bands <= 1e-10 and near_copies.band_count(0.5) > bands
+    shared = []
+    for _ in range(300):
+        x = rnd.integers(-(1 << 62), 1 << 62, 900)
+        one, two, far = x[:810], np.concatenate([x[90:810], x[810:]]), x[600:]
+        keys = [near_copies.band_keys(np.unique(s), bands) for s in (one, two, far)]
+        assert all(len(set(k)) == len(k) == bands for k in keys)
+        shared.append([np.count_nonzero(keys[0] == k) for k in keys[1:]])
+    alike, unlike = np.mean(shared, axis=0) / bands
+    assert min(s[0] for s in shared) > 0 and abs(alike - 0.8**near_copies.BAND) < 0.02 and unlike < 0.05
+    assert len(near_copies.band_keys(np.array([], np.int64), bands)) == 0
+    # stretches that are hashed at once don't show
+    long = np.unique(rnd.integers(-(1 << 62), 1 << 62, 3 * near_copies.HASHED // 2))
+    assert set(near_copies.band_keys(long, bands)) == set(near_copies.band_keys(long[::-1].copy(), bands))
