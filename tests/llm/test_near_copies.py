@@ -142,3 +142,19 @@ def test_sets_at_the_threshold_share_a_band_and_others_hardly():
     # stretches that are hashed at once don't show
     long = np.unique(rnd.integers(-(1 << 62), 1 << 62, 3 * near_copies.HASHED // 2))
     assert set(near_copies.band_keys(long, bands)) == set(near_copies.band_keys(long[::-1].copy(), bands))
+
+
+def test_keys_of_a_text_do_not_grow_with_it(spark):
+    """A long text stands in no more shards than a short one: what is written grows with the texts and not with their words in shards."""
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(size))) for k, size in enumerate((50, 500, 20_000))]
+    plain = spark.createDataFrame(rows, "__id long, __text string").selectExpr("__id", "0L as __same", "__text")
+    sizes = {len(r["keys"]) for r in near_copies._sets(plain, 5, 0.8).collect()}
+    assert sizes == {near_copies.band_count(0.8)}
+
+
+def test_overlaps_count_rare_pairs_in_stretches(monkeypatch):
+    monkeypatch.setattr(near_copies, "PAIRS", 7)
+    rnd = np.random.default_rng(2)
+    left, right = ([np.unique(rnd.integers(0, 40, 15)) for _ in range(n)] for n in (9, 13))
+    want = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert near_copies.overlaps(left, right).astype(int).tolist() == want
