@@ -186,6 +186,11 @@ def _named(entries: DataFrame, of_words: bool, min_count: int, name: str) -> Dat
     return materialize(often.select(*key, "block", "code", "a").mapInArrow(run, schema), name)
 
 
+def _counted(entries: DataFrame, min_count: int, name: str) -> DataFrame:
+    """(left, right, a) of the pairs that occur often enough, one row each: those of the last length go back to no block."""
+    return materialize(entries.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), name)
+
+
 def pairs_of(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of a block and their ids (-1 for none) to its adjacent pairs of ids: (left, right, count, numbers at each place)."""
     size = len(ids)
@@ -253,8 +258,14 @@ def frequent_phrases(
         following = materialize(pair_blocks(blocks, named, last=k == longest), f"pairs{k}")
         discard(blocks, named)
         blocks = following
-        named = _named(_entries(blocks, False), False, min_count, f"named{k}")
-        found = named.where("leads")
+        entries = _entries(blocks, False)
+        if k < longest:
+            named = _named(entries, False, min_count, f"named{k}")
+            found = named.where("leads")
+        else:
+            # no longer phrase points to these, so they have no ids
+            named = _counted(entries.select("left", "right", "n"), min_count, f"counted{k}")
+            found = named.withColumn("id", none)
         left, right = (levels[-1].select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "lang", "phrase", "last", "starts", "ends")]) for side in "lr")
         grown = found.join(left, F.col("left") == F.col("l_id")).join(right, F.col("right") == F.col("r_id"))
         levels.append(

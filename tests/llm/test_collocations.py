@@ -101,3 +101,16 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert collocations(none).count() == 0
     assert collocations(spark.createDataFrame([(1, None, None), (2, "few words", "en")], none.schema)).count() == 0
+
+
+def test_last_length_goes_back_to_no_block(spark, docs, monkeypatch):
+    """Pairs of the last length are counted, one row each: no row for a pair of a block is numbered and written."""
+    numbered, counted = [], []
+    named, count = made._named, made._counted
+    monkeypatch.setattr(made, "_named", lambda entries, of_words, least, name: numbered.append(name) or named(entries, of_words, least, name))
+    monkeypatch.setattr(made, "_counted", lambda *args: counted.append(count(*args)) or counted[-1])
+    monkeypatch.setattr(made, "discard", lambda *tables: None)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert rows(collocations(df, block_words=50)) == plain(docs)
+    assert numbered == ["named", "named2"] and len(counted) == 1
+    assert counted[0].columns == ["left", "right", "a"] and counted[0].count() == counted[0].select("left", "right").distinct().count() > 0
