@@ -54,6 +54,8 @@ BATCH = 200
 _BREAK = re.compile(r"[\x20\x09-\x0D]+")
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: A small letter in front of a mark; one that is small in two characters, like a dotted capital I, tells nothing.
+_LETTER = re.compile("[a-\u024f]\\Z")
 
 
 @cache
@@ -95,31 +97,44 @@ def split_words(text: str) -> list[str]:
     return _BREAK.split(text) if _CONTROLS.search(text) else text.split()
 
 
-def _plain(path: str, word: str) -> tuple[str, str]:
-    """A word as one in lower case and the full stop or comma that ended it, if the tokenizer doesn't mind.
+def _plain(path: str, words: set[str]) -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
+    """Words as ones in lower case, and those that a full stop or comma ends as both parts, if the tokenizer doesn't mind.
 
     Added tokens, which hold ``<|``, are left alone.
     """
-    if "<|" in word or not _habits(path)[1]:
-        return word, ""
-    base, mark = (word[:-1], word[-1]) if word[-1] in ".," and "a" <= word[-2:-1].lower() < "\u0250" and word[-2].isalpha() else (word, "")
-    return (base.lower() if base.isascii() else base), mark
+    if not _habits(path)[1]:
+        return {w: w for w in words}, {}
+    whole, marked = {}, {}
+    for w in words:
+        ascii = w.isascii()
+        if "<|" in w:
+            whole[w] = w
+        elif w[-1] in ".," and len(w) > 1 and (w[-2].isalpha() if ascii else _LETTER.match(w[-2].lower()) and w[-2].isalpha()):
+            base = w[:-1]
+            marked[w] = (base.lower() if ascii else base), w[-1]
+        else:
+            whole[w] = w.lower() if ascii else w
+    return whole, marked
 
 
 def learn_words(path: str, words: set[str]) -> dict[str, bytes]:
     """Encode the words that aren't known yet; ids are kept as bytes of int32."""
     known = _memory(path)
-    new = {w for w in words if w not in known}  # a set minus a view would walk all that is known
+    new = words.difference(known)  # a set minus a view would walk all that is known
     if len(known) + len(new) > REMEMBERED:
         kept = {w: known[w] for w in words if w in known and len(w) <= LONGEST}
         known.clear()
         known.update(kept)
         known[""] = b""
-    parts = {w: _plain(path, w) for w in new}
-    bases = [x for x in {x for both in parts.values() for x in both} if x not in known]
+    whole, marked = _plain(path, new)
+    bases = {*whole.values(), *(base for base, _ in marked.values())}
+    bases = list((bases | {mark for _, mark in marked.values()}).difference(known))
     found = tokenizer(path).encode_batch_fast(bases, add_special_tokens=False)
-    known.update((w, array("i", e.ids).tobytes()) for w, e in zip(bases, found))
-    known.update((w, known[x] + known[mark]) for w, (x, mark) in parts.items())
+    known.update(zip(bases, [array("i", e.ids).tobytes() for e in found]))
+    for w, base in whole.items():
+        known[w] = known[base]
+    for w, (base, mark) in marked.items():
+        known[w] = known[base] + known[mark]
     return known
 
 
@@ -231,7 +246,7 @@ def encode_texts(path: str, texts: list[str], piece_chars: int = PIECE_CHARS) ->
         return [array("i", e.ids).tobytes() if len(x) <= piece_chars else encode_tree(path, x, piece_chars) for x, e in zip(texts, short)]
     split = [split_words(x) if len(x) <= piece_chars else None for x in texts]
     known = learn_words(path, {w for ws in split if ws for w in ws})
-    done = [b"".join([known[w] for w in ws]) if ws is not None else None for ws in split]
+    done = [b"".join(map(known.__getitem__, ws)) if ws is not None else None for ws in split]
     return [encode_tree(path, x, piece_chars) if found is None else found for x, found in zip(texts, done)]
 
 

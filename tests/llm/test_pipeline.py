@@ -3,6 +3,7 @@ import sys
 from hashlib import sha256
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from replayframe.llm import bpe, mixing, queries
@@ -71,3 +72,16 @@ def test_stages_on_odd_rows(spark):
     kept = corpus_pipeline.quality_stage(spark, docs, sf)
     assert kept.columns == docs.columns and kept.where("text is null or text = '' or text = 'one two'").count() == 0
     assert corpus_pipeline.tokens_stage(spark, docs, sf).count() == 6
+
+
+def test_new_words_are_folded_together():
+    """Words are told apart from the mark that ends them in one pass over all new ones, and have the tokenizer's ids."""
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    words = {"New", "new", "New.", "new,", "É.", "É", "..", ".", ",", "x", "7.", "a..", "<|x|>.", "Ünd,", "Ω.", "word***", "İ."}
+    whole, marked = bpe._plain(path, words)
+    assert whole.keys() | marked.keys() == words and not whole.keys() & marked.keys()
+    if bpe._habits(path)[1]:
+        assert marked["New."] == ("new", ".") and marked["É."] == ("É", ".") and {"..", "7.", "<|x|>.", "Ω."} <= whole.keys()
+    known, t = bpe.learn_words(path, words), bpe.tokenizer(path)
+    assert all(np.frombuffer(known[w], np.int32).tolist() == t.encode(w, add_special_tokens=False).ids for w in words)
