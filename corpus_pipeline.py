@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replayframe.llm.bpe import bpe_decode, bpe_encode
+from replayframe.llm.bpe import bpe_round_trip
 from replayframe.llm.common import discard, materialize, steps
 from replayframe.llm.line_templates import without_recurring_lines
 from replayframe.llm.mixing import mixed_documents
@@ -48,8 +48,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    tokens = bpe_encode(docs.select("doc_id", "source", "text"), path).drop("text")
-    return bpe_decode(tokens, path).select(
+    return bpe_round_trip(docs.select("doc_id", "source", "text"), path, keep_text=False).select(
         "doc_id",
         "source",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -33,9 +33,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import fields, struct_of
+from .common import fields, released, struct_of
 
 #: Characters of a piece, the leaf of a tree.
 PIECE_CHARS = 16_384
@@ -251,14 +251,51 @@ def encode_texts(path: str, texts: list[str], piece_chars: int = PIECE_CHARS) ->
 
 
 def bpe_encode(
-    docs: DataFrame, path: str, text: str = "text", piece_chars: int = PIECE_CHARS, spread_chars: int = SPREAD_CHARS
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    piece_chars: int = PIECE_CHARS,
+    spread_chars: int = SPREAD_CHARS,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with ``ids``, the token ids of each whole text."""
-    rows = docs.select(struct_of(docs, "ids").alias("__row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    size = F.length("__text")
-    small = rows.where(size <= spread_chars).mapInArrow(_encode_rows(path, piece_chars), rows.select("__row").schema.add("ids", ArrayType(IntegerType())))
-    spread = _encode_spread(rows.where(size > spread_chars), path, piece_chars)
-    return small.unionByName(spread).select(*fields(docs, "__row", "ids"), "ids")
+    """``docs`` with ``ids``, the token ids of each whole text; the text itself goes if it isn't kept."""
+    return _encoded(docs, path, text, piece_chars, spread_chars, keep_text, ("ids",))
+
+
+def bpe_round_trip(
+    docs: DataFrame,
+    path: str,
+    text: str = "text",
+    piece_chars: int = PIECE_CHARS,
+    spread_chars: int = SPREAD_CHARS,
+    keep_text: bool = True,
+) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``, as ``bpe_decode`` of ``bpe_encode`` has them.
+
+    A text is decoded by the worker that has encoded it, so that a task has one
+    worker instead of two and no ids go back to one.
+    """
+    return _encoded(docs, path, text, piece_chars, spread_chars, keep_text, ("ids", "decoded"))
+
+
+def _encoded(docs: DataFrame, path: str, text: str, piece_chars: int, spread_chars: int, keep_text: bool, results: tuple[str, ...]) -> DataFrame:
+    # a text is sent once, outside of its row, which has a field even if there is nothing else
+    others = [c for c in docs.columns if c != text and c not in results]
+    row = F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(True)])
+    rows = docs.select(row.alias("__row"), F.col(f"`{text}`").alias("__text"))
+    size = F.length(F.coalesce("__text", F.lit("")))
+    kept = rows.schema if keep_text else rows.select("__row").schema
+    schema = StructType([*kept.fields, StructField("ids", ArrayType(IntegerType()))])
+    if "decoded" in results:
+        schema = schema.add("decoded", "string")
+    small = rows.where(size <= spread_chars).mapInArrow(released(_encode_rows(path, piece_chars, schema.names)), schema)
+    spread = _encode_spread(rows.where(size > spread_chars), path, piece_chars).select(*kept.names, "ids")
+    if "decoded" in results:
+        spread = bpe_decode(spread, path)
+    columns = {c: F.col("__row")[c].alias(c) for c in others}
+    if keep_text and text not in results:
+        columns[text] = F.col("__text").alias(text)
+    return small.unionByName(spread).select(*[columns[c] for c in docs.columns if c in columns], *results)
 
 
 def _lists(found: list[bytes]) -> pa.Array:
@@ -266,13 +303,14 @@ def _lists(found: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
-def _encode_rows(path: str, piece_chars: int):
+def _encode_rows(path: str, piece_chars: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(a, BATCH)
-                found = encode_texts(path, batch["__text"].to_pylist(), piece_chars)
-                yield pa.RecordBatch.from_arrays([batch["__row"], _lists(found)], ["__row", "ids"])
+                ids = _lists(encode_texts(path, [x or "" for x in batch["__text"].to_pylist()], piece_chars))
+                made = {"ids": ids, "decoded": decode_lists(path, ids) if "decoded" in names else None}
+                yield pa.RecordBatch.from_arrays([made[n] if n in made else batch[n] for n in names], names)
 
     return run
 
@@ -281,7 +319,7 @@ UNITS = "starts array<int>, ends array<int>, tokens array<binary>, firsts array<
 
 
 def _encode_spread(rows: DataFrame, path: str, piece_chars: int) -> DataFrame:
-    """(__row, ids): pieces are rows of their own, dealt by a digest of their text and their place.
+    """``rows`` with ids: pieces are rows of their own, dealt by a digest of their text and their place.
 
     The digest is all that a piece knows of its row, so a task that runs again
     gives the same pieces, and copies of a text share them.
@@ -319,7 +357,7 @@ def _encode_spread(rows: DataFrame, path: str, piece_chars: int) -> DataFrame:
         return pa.table([group["key"][:1].combine_chunks(), ids], ["key", "ids"])
 
     encoded = leaves.groupBy("key").applyInArrow(together, "key string, ids array<int>")
-    return keyed.join(encoded, F.col("__key") == F.col("key")).select("__row", "ids")
+    return keyed.join(encoded, F.col("__key") == F.col("key"))
 
 
 @cache
@@ -353,5 +391,5 @@ def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 batch = whole.slice(a, BATCH)
                 yield pa.RecordBatch.from_arrays([batch["__row"], decode_lists(path, batch["__ids"])], ["__row", "decoded"])
 
-    found = rows.mapInArrow(run, rows.select("__row").schema.add("decoded", "string"))
+    found = rows.mapInArrow(released(run), rows.select("__row").schema.add("decoded", "string"))
     return found.select(*fields(tokens, "__row", "decoded"), "decoded")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, discard, materialize, struct_of
+from .common import LAST_ID, discard, materialize, released, struct_of
 from .components import connected_components
 from .near_copies import verified
 
@@ -112,7 +112,7 @@ def _identical(plain: DataFrame, least_texts: int) -> tuple[DataFrame, DataFrame
             columns = [batch["__id"].take(pick), batch["__same"].take(pick), pa.array(line, pa.int64()), pa.array(n, pa.int32()), pa.array(whole, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "line", "words", "whole"])
 
-    each = plain.mapInArrow(run, "__id long, __same long, line long, words int, whole int").groupBy("line", "__same")
+    each = plain.mapInArrow(released(run), "__id long, __same long, line long, words int, whole int").groupBy("line", "__same")
     each = materialize(each.agg(F.min("__id").alias("__id"), F.first("words").alias("words"), F.max("whole").alias("whole")), "identical")
     counts = each.groupBy("line").agg(F.count("*").alias("n"), F.first("words").alias("words"), F.min(F.struct("__id", "__same")).alias("least"))
     often = counts.where((F.col("n") > 1) & (F.col("n") >= least_identical(F.col("words"), least_texts)))
@@ -152,7 +152,7 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
                 leaf += found
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(leaf, pa.int64())], ["__same", "leaf"])
 
-    reached = plain.mapInArrow(leaves, "__same long, leaf long").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
+    reached = plain.mapInArrow(released(leaves), "__same long, leaf long").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     full = materialize(reached.where(F.col("n") >= least_texts).select("leaf"), "leaves")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
             columns = [batch["__id"].take(pick), batch["__same"].take(pick), pa.array(leaf, pa.int64()), pa.array(line, pa.int64()), pa.array(content, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "leaf", "line", "content"])
 
-    found = plain.mapInArrow(members, "__id long, __same long, leaf long, line long, content binary").join(_small(full), "leaf", "left_semi")
+    found = plain.mapInArrow(released(members), "__id long, __same long, leaf long, line long, content binary").join(_small(full), "leaf", "left_semi")
     found = materialize(found, "members")
     # texts that have a line, the copies of a text as one
     having = materialize(found.groupBy("line", "__same").agg(F.min("__id").alias("__id")), "having")
@@ -180,7 +180,7 @@ def recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", lea
             yield pa.RecordBatch.from_arrays([batch["line"], batch["leaf"], pa.array(split, pa.list_(pa.int64()))], ["line", "leaf", "tokens"])
 
     distinct = found.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("content").alias("content")).select("line", "leaf", "content")
-    lines = materialize(distinct.mapInArrow(shapes, "line long, leaf long, tokens array<long>").join(each, "line"), "lines")
+    lines = materialize(distinct.mapInArrow(released(shapes), "line long, leaf long, tokens array<long>").join(each, "line"), "lines")
     places = lines.select("leaf", "line", "n", F.size("tokens").alias("length"), F.posexplode("tokens").alias("place", "token"))
     constant = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("texts")).where(F.col("texts") >= least_texts)
     # a place is in every line of its leaf
@@ -244,7 +244,7 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_te
 
     # what texts lose grows with the corpus: always merged, never broadcast on an estimate
     joined = keyed.join(lost.hint("merge"), "__same", "left").select("__row", "__text", "lines")
-    return joined.mapInArrow(cut, joined.select("__row").schema.add("__kept", "string").add("__lines", "long").add("__dropped", "long"))
+    return joined.mapInArrow(released(cut), joined.select("__row").schema.add("__kept", "string").add("__lines", "long").add("__dropped", "long"))
 
 
 def without_recurring_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, spare_copies: bool = False) -> DataFrame:

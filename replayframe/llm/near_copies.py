@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, discard, materialize
+from .common import LAST_ID, discard, materialize, released
 from .components import connected_components
 from .simhash import _LOWER, links, one_row_each
 
@@ -124,7 +124,7 @@ def _sets(plain: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["__id", "__same", "set", "fp", "fp2", "n", "keys"])
 
-    return plain.mapInArrow(run, "__id long, __same long, set long, fp long, fp2 long, n int, keys array<long>")
+    return plain.mapInArrow(released(run), "__id long, __same long, set long, fp long, fp2 long, n int, keys array<long>")
 
 
 def _by_fingerprint(each: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _shingles(texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
             found = [shingle_set(t, shingle) for t in batch["__text"].cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["set"], pa.array(found, pa.list_(pa.int64()))], ["set", "shingles"])
 
-    return texts.join(asked, "set", "left_semi").mapInArrow(run, "set long, shingles array<long>")
+    return texts.join(asked, "set", "left_semi").mapInArrow(released(run), "set long, shingles array<long>")
 
 
 MEMBER = ("set", "fp", "fp2", "n", "label")
@@ -326,7 +326,7 @@ def _partnered(units: DataFrame, radius: int, similarity: float) -> DataFrame:
                 table = pa.Table.from_batches(rows).select([*UNIT, "second", "set", "label"]).filter(pa.array(found))
                 yield from table.to_batches()
 
-    return units.select(*UNIT, "second", *MEMBER).mapInArrow(run, "key long, low long, high long, second boolean, set long, label long")
+    return units.select(*UNIT, "second", *MEMBER).mapInArrow(released(run), "key long, low long, high long, second boolean, set long, label long")
 
 
 def _large(some: DataFrame, texts: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
@@ -358,7 +358,7 @@ def _large(some: DataFrame, texts: DataFrame, shingle: int, radius: int, similar
                 a, b = (name[s[list(x)]] for s, x in zip((one, two), zip(*links), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    out = materialize(units.mapInArrow(run, "a long, b long").distinct(), "large")
+    out = materialize(units.mapInArrow(released(run), "a long, b long").distinct(), "large")
     discard(members, met, asked, found)
     return out
 
@@ -395,7 +395,7 @@ def _chained(labelled: DataFrame, order: tuple[str, ...], radius: int, similarit
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _members(each: DataFrame) -> DataFrame:

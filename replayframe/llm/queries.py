@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_round_trip
 from .collocations import collocations
 from .common import read
 from .filter_audit import audit
@@ -78,8 +78,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
         path = public_tokenizers.path("word_bpe_49k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = bpe_encode(docs, path).select("doc_id", "ids")
-    return bpe_decode(tokens, path).select(
+    return bpe_round_trip(docs, path, keep_text=False).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LAST_ID, discard, fields, materialize, struct_of
+from .common import LAST_ID, discard, fields, materialize, released, struct_of
 from .components import connected_components
 
 RADIUS = 2
@@ -69,7 +69,7 @@ def add_simhash(docs: DataFrame, text: str = "text", name: str = "__fp", shingle
             found = np.array([simhash(x or b"", shingle) for x in texts], np.uint64).view(np.int64)
             yield batch.append_column(name, pa.array(found))
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, LongType())]))
+    return rows.mapInArrow(released(run), StructType([*rows.schema.fields, StructField(name, LongType())]))
 
 
 def as_hex(fingerprint: Column) -> Column:
@@ -192,7 +192,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
                 both = np.array(found, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    out = materialize(units.mapInArrow(run, "a long, b long").distinct(), "links")
+    out = materialize(units.mapInArrow(released(run), "a long, b long").distinct(), "links")
     discard(counts)
     return out
 
