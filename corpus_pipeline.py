@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replayframe.llm.bpe import bpe_round_trip
-from replayframe.llm.common import discard, materialize, steps
+from replayframe.llm.common import discard, materialize, small_batches, steps
 from replayframe.llm.line_templates import without_recurring_lines
 from replayframe.llm.mixing import mixed_documents
 from replayframe.llm.near_copies import drop_near_copies
@@ -30,12 +30,14 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near copies lose no lines to each other: the next stage drops them as a
     whole, and not all but a few lines of them.  No row is dropped.
     """
-    return without_recurring_lines(docs, spare_copies=True)
+    with small_batches(spark):
+        return without_recurring_lines(docs, spare_copies=True)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group linked by a similarity of 0.8 in five-word shingles."""
-    return drop_near_copies(docs)
+    with small_batches(spark):
+        return drop_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
