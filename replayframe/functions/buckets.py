@@ -26,10 +26,16 @@ def labels() -> list[str]:
 def range_bucket(value: Column, base: Column, exact: bool = False) -> Column:
     """The bucket of ``value / base`` for a positive base, by comparing products; ``exact`` for decimal columns."""
     names = labels()
-    out = F.lit(names[-1])
-    for bound, name in reversed([*zip(THRESHOLDS, names[1:])]):
-        out = F.when(value <= F.lit(Decimal(_text(bound)) if exact else bound) * base, name).otherwise(out)
-    return F.when(value <= 0, names[0]).otherwise(out)
+
+    def among(low: int, high: int) -> Column:
+        """The bucket, if it is one of these; halving takes four comparisons where a search in order takes up to fourteen."""
+        if low == high:
+            return F.lit(names[low])
+        half = (low + high) // 2
+        bound = THRESHOLDS[half - 1]
+        return F.when(value <= F.lit(Decimal(_text(bound)) if exact else bound) * base, among(low, half)).otherwise(among(half + 1, high))
+
+    return F.when(value <= 0, names[0]).otherwise(among(1, len(names) - 1))
 
 
 def intervals() -> list[tuple[str, float, float | None, float | None]]:

@@ -46,5 +46,9 @@ def check_size(action, size, to_call, stack, min_bet, min_raise) -> Column:
 
 
 def check_action(action, size, to_call, current_bet, stack, min_bet, min_raise, reopened) -> Column:
-    allowed = F.array_contains(legal_actions(to_call, current_bet, stack, reopened), action)
+    # what legal_actions allows, without an array
+    owing, unbet = F.coalesce(to_call > 0, F.lit(False)), F.coalesce(current_bet == 0, F.lit(False))
+    raises = ~unbet & F.coalesce(reopened & (stack > to_call), F.lit(False))
+    known = F.when(action.isin("FOLD", "CALL"), owing).when(action == "CHECK", ~owing).when(action == "BET", unbet).when(action == "RAISE", raises).when(action.isNotNull(), False)
+    allowed = known & F.when(action.isNotNull(), F.coalesce(stack > 0, F.lit(False)))
     return F.when(~allowed, "action not available").otherwise(check_size(action, size, to_call, stack, min_bet, min_raise))

@@ -82,5 +82,5 @@ def cascade(checks: list[tuple[str, Column]]) -> Column:
 
 def cards(text: Column) -> Column:
     """``AsKd`` as an array of cards, an even run of ``?`` as unknown ones; null if anything is left over."""
-    found = F.regexp_extract_all(text, F.lit(r"([2-9TJQKA][cdhs]|\?\?)"), 1)
-    return F.when(F.array_join(found, "") == text, found)
+    found = F.array(F.regexp_extract_all(text, F.lit(r"([2-9TJQKA][cdhs]|\?\?)"), 1))
+    return F.transform(found, lambda x: F.when(F.array_join(x, "") == text, x))[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,8 +33,15 @@ def decision_tokens() -> list[str]:
 
 def ids(tokens: Column) -> Column:
     """Ids of an array of tokens; null for a token that isn't in the vocabulary."""
-    known = F.create_map(*[F.lit(x) for pair in enumerate(vocabulary()) for x in reversed(pair)])
-    return F.transform(tokens, lambda t: F.try_element_at(known, t).cast("smallint"))
+    return F.transform(tokens, _id)
+
+
+def _id(token: Column) -> Column:
+    """A map is searched from its start, so each token's stands in one of many small ones, named by its checksum."""
+    small: list[list[Column]] = [[F.lit(""), F.lit(None).cast("smallint")] for _ in range(256)]
+    for i, name in enumerate(vocabulary()):
+        small[zlib.crc32(name.encode()) % 256] += [F.lit(name), F.lit(i).cast("smallint")]
+    return F.try_element_at(F.get(F.array(*[F.create_map(*x) for x in small]), F.pmod(F.crc32(token), F.lit(256)).cast("int")), token)
 
 
 def tokens(numbers: Column) -> Column:

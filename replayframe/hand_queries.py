@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import decisions, scoring, vocabulary
 from .operators import artifacts, batches, census, evaluation, manifest as headers, metric_sums, metrics, prefixes, replay, selection, sequences, trajectories
+from .operators.once import once
 from .queries import _bucket_sql, query, table
 from .sources import native
 
@@ -158,8 +159,8 @@ encoded AS (SELECT k, hero, CASE WHEN n <> 6 THEN 'seats' WHEN ante > 0 THEN 'bl
   '<BOS> ' || {POSITIONS_SQL}[hero] || ' ' || body || ' <EOS>' AS tokens FROM told JOIN aims USING (k, hero) JOIN hands USING (k))"""
 
 
-def _trajectories(spark, sf_dir) -> DataFrame:
-    return trajectories.trajectories(replay.replay(hands(spark, sf_dir)))
+def _trajectories(spark, sf_dir, keep: tuple[str, ...] = ()) -> DataFrame:
+    return trajectories.trajectories(replay.replay(hands(spark, sf_dir)), keep)
 
 
 @query(f"""WITH RECURSIVE {TOKENS_SQL} SELECT k AS hand, hero, coalesce(error, 'ok') AS error, CASE WHEN error IS NULL THEN decisions END AS decisions,
@@ -527,11 +528,10 @@ def cards_seen(spark, sf_dir):
 @query(f"""WITH RECURSIVE {TOKENS_SQL} SELECT e.k AS hand, e.hero, array_to_string(list_sort([c1, c2]), ' ') AS leaked FROM encoded e JOIN held h ON h.k = e.k AND h.hero = e.hero WHERE error IS NULL AND e.k % 2 = 1""")
 def leaked_cards(spark, sf_dir):
     # of odd hands the cards are looked at from the next seat, whose player must not see them
-    made = _trajectories(spark, sf_dir).where("error is null")
-    held = replay.replay(hands(spark, sf_dir)).where("error is null").select("member", "hand_key", "holes")
+    made = _trajectories(spark, sf_dir, ("holes",)).where("error is null")
     k, hero = F.col("hand_key").cast("long"), F.col("hero")
     seat = F.when(k % 2 == 1, (hero + 1) % 6).otherwise(hero)
-    found = made.join(held, ["member", "hand_key"]).withColumn("leaked", artifacts.leaked_cards(F.col("tokens"), F.col("holes"), seat)).where(F.size("leaked") > 0)
+    found = once(made, {"leaked": artifacts.leaked_cards(F.col("tokens"), F.col("holes"), seat)}).where(F.size("leaked") > 0)
     return found.select(k.alias("hand"), (hero + 1).cast("long").alias("hero"), F.array_join("leaked", " ").alias("leaked"))
 
 

@@ -21,3 +21,8 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     row = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias(made)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     return df.select("*", row).select(*kept, *[F.col(made)[n].alias(n) for n in columns])
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; unlike a transform of one item this doesn't copy what comes out."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)

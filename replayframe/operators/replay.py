@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.legality import check_action, valid_state
 from ..functions.text import cards
-from .once import once
+from .once import let, once
 
 CHIPS = "decimal(20,4)"
 ITEM = {
@@ -21,7 +21,7 @@ ITEM = {
 }
 STATE = {
     "error": "string", "stacks": f"array<{CHIPS}>", "paid": f"array<{CHIPS}>", "active": "array<boolean>", "acted": "array<boolean>", "current_bet": CHIPS,
-    "min_raise": CHIPS, "pot": CHIPS, "street": "string", "board": "array<string>", "holes": "array<array<string>>",
+    "min_raise": CHIPS, "pot": CHIPS, "street": "string", "board": "array<string>",
     "items": "array<struct<" + ",".join(f"{k}:{v}" for k, v in ITEM.items()) + ">>",
 }
 STREETS = {3: "FLOP", 4: "TURN", 5: "RIVER"}
@@ -30,34 +30,37 @@ STREETS = {3: "FLOP", 4: "TURN", 5: "RIVER"}
 def parse_actions(actions: Column) -> Column:
     """Texts such as ``p1 cbr 200`` as structs (op, player from 0, cards, amount); op is null if a text is no action."""
 
+    part = F.regexp_extract
+    seat = r"^p(\d+) (?:f$|cc$|cbr \S|sm\b|sd\b|kc\b|k\b)"
+    hole, board, bet = r"^d dh p(\d+) (\S+)$", r"^d db (\S+)$", r"^p\d+ cbr (\S+)$"
+    none = F.array().cast("array<string>")
+
+    def told(op, player, dealt, amount=None):
+        return F.struct(op.alias("op"), (player.try_cast("int") - 1).alias("player"), dealt.alias("cards"), (F.lit(None) if amount is None else amount).cast(CHIPS).alias("amount"))
+
     def one(a):
-        part = lambda pattern, n=1: F.regexp_extract(a, pattern, n)
-        seat = r"^p(\d+) (?:f$|cc$|cbr \S|sm\b|sd\b|kc\b|k\b)"
-        hole, board, bet = r"^d dh p(\d+) (\S+)$", r"^d db (\S+)$", r"^p\d+ cbr (\S+)$"
-        amount, dealt = part(bet).try_cast(CHIPS), F.when(a.rlike(hole), cards(part(hole, 2))).otherwise(cards(part(board)))
-        op = (
-            F.when(a.rlike(hole) & dealt.isNotNull(), "hole")
-            .when(a.rlike(board) & dealt.isNotNull(), "board")
-            .when(a.rlike(r"^p\d+ f$"), "f")
-            .when(a.rlike(r"^p\d+ cc$"), "cc")
-            .when(a.rlike(bet) & (amount >= 0), "cbr")
-            .when(a.rlike(r"^p\d+ (sm|sd|kc|k)\b"), "show")
+        plain = F.when(a.rlike(r"^p\d+ f$"), "f").when(a.rlike(r"^p\d+ cc$"), "cc").when(a.rlike(r"^p\d+ (sm|sd|kc|k)\b"), "show")
+        raised = lambda x: told(F.when(x >= 0, "cbr").otherwise(plain), part(a, seat, 1), none, x)
+        dealt = lambda what, player: lambda t: let(cards(t), lambda c: told(F.when((t != "") & c.isNotNull(), what), player, c))
+        # patterns take most of the time, so the first letters choose which to try
+        return (
+            F.when(a.startswith("p") & F.contains(a, F.lit(" cbr ")), let(part(a, bet, 1).try_cast(CHIPS), raised))
+            .when(a.startswith("p"), told(plain, part(a, seat, 1), none))
+            .when(a.startswith("d dh p"), let(part(a, hole, 2), dealt("hole", part(a, hole, 1))))
+            .otherwise(let(part(a, board, 1), dealt("board", F.lit(None).cast("string"))))
         )
-        player = F.when(a.rlike(hole), part(hole)).otherwise(part(seat)).try_cast("int") - 1
-        return F.struct(op.alias("op"), player.alias("player"), dealt.alias("cards"), amount.alias("amount"))
 
     return F.transform(actions, one)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
+def _struct(types: dict[str, str], values: dict[str, Column]) -> Column:
+    """A struct of these fields, null where no value is given."""
+    return F.struct(*[(values[k] if k in values else F.lit(None)).cast(t).alias(k) for k, t in types.items()])
 
 
-def _struct(types: dict[str, str], values: dict[str, Column]) -> Column:
-    """A struct of these fields, null where no value is given; the cast lets every field be null, as a fold's state must."""
-    fields = F.struct(*[(values[k] if k in values else F.lit(None)).cast(t).alias(k) for k, t in types.items()])
-    return fields.cast("struct<" + ",".join(f"{k}:{t}" for k, t in types.items()) + ">")
+def _nullable(types: dict[str, str], made: Column) -> Column:
+    """A struct whose every field may be null, as the state a fold starts from must; a cast copies all that it holds, so no step has one."""
+    return made.cast("struct<" + ",".join(f"{k}:{t}" for k, t in types.items()) + ">")
 
 
 def _put(state: Column, **changes: Column) -> Column:
@@ -118,9 +121,9 @@ def _act(s: Column, o: Column, min_bet: Column) -> Column:
             pot=s.pot + m.spent,
             items=F.concat(s["items"], F.array(item)),
         )
-        return _let(F.struct(why.alias("why")), lambda w: F.when(w.why.isNull(), done).otherwise(_put(s, error=w.why)))
+        return let(F.struct(why.alias("why")), lambda w: F.when(w.why.isNull(), done).otherwise(_put(s, error=w.why)))
 
-    return _let(seat, lambda a: _let(move(a), lambda m: apply(a, m)))
+    return let(seat, lambda a: let(move(a), lambda m: apply(a, m)))
 
 
 def _reveal(s: Column, o: Column, min_bet: Column) -> Column:
@@ -164,36 +167,42 @@ def replay(hands: DataFrame) -> DataFrame:
     )
     total = lambda c: F.aggregate(c, zero, lambda a, x: (a + x).cast(CHIPS))
     bet = F.array_max("__blinds")
-    start = _struct(
+    start = _nullable(STATE, _struct(
         STATE,
         {
             "stacks": F.zip_with("__rest", "__blinds", lambda s, b: s - b), "paid": F.col("__blinds"), "active": _all(F.col("stacks"), True), "acted": _all(F.col("stacks"), False),
             "current_bet": bet, "min_raise": F.greatest(F.col("min_bet"), bet), "pot": total("__antes") + total("__blinds"), "street": F.lit("PREFLOP"),
-            "board": F.array().cast("array<string>"), "holes": _all(F.col("stacks"), F.array().cast("array<string>")), "items": items,
+            "board": F.array().cast("array<string>"), "items": items,
         },
-    )
+    ))
     min_bet = F.col("min_bet")
 
     def step(s, o):
         return (
-            F.when(s.error.isNotNull(), _put(s))
+            F.when(s.error.isNotNull(), s)
             .when(o.op.isNull(), _put(s, error=F.lit("unknown action")))
-            .when(o.op == "show", _put(s))
-            .when(o.op == "hole", _put(s, holes=_set(s.holes, o.player, o.cards)))
             .when(o.op == "board", _reveal(s, o, min_bet))
             .otherwise(_act(s, o, min_bet))
         )
 
     posts = posts.withColumn("__start", F.when(F.col("__wrong").isNull(), start))
-    folded = once(posts, {"__end": F.aggregate(parse_actions(F.col("actions")), F.col("__start"), step)})
-    idle = ~F.exists("__end.items", lambda x: x.kind == "action")
-    error = F.coalesce("__wrong", "__end.error", F.when(idle, "no action"))
+
+    def played(ops):
+        """Cards by seat (the last that are dealt count) and the end of the fold, on which deals to seats and what is shown have no bearing."""
+        to = lambda d, i: F.try_element_at(F.filter(d, lambda o: o.player == i), F.lit(-1)).cards
+        held = let(F.filter(ops, lambda o: o.op == "hole"), lambda d: F.transform("stacks", lambda _, i: F.coalesce(to(d, i), F.array().cast("array<string>"))))
+        moves = F.filter(ops, lambda o: F.coalesce(~o.op.isin("hole", "show"), F.lit(True)))
+        return F.struct(F.when(ops.isNotNull(), held).alias("holes"), F.aggregate(moves, F.col("__start"), step).alias("state"))
+
+    folded = once(posts, {"__end": F.when(F.col("__wrong").isNull(), let(parse_actions(F.col("actions")), played))})
+    idle = ~F.exists("__end.state.items", lambda x: x.kind == "action")
+    error = F.coalesce("__wrong", "__end.state.error", F.when(idle, "no action"))
     out = folded.withColumn("__error", error)
     return out.select(
         *[c for c in hands.columns if c != "error"],
         "big_blind",
         F.when(F.col("__error").isNull(), F.col("__end.holes")).alias("holes"),
-        F.when(F.col("__error").isNull(), F.col("__end.items")).alias("items"),
+        F.when(F.col("__error").isNull(), F.col("__end.state.items")).alias("items"),
         F.col("__error").alias("error"),
     )
 

@@ -143,3 +143,32 @@ def test_hands_are_folded_once(spark):
             assert plan.count("player is not in the hand") == 1, made.__name__
     finally:
         spark.conf.set("spark.sql.maxPlanStringLength", before)
+
+
+def _folds(spark, made):
+    """How often the plan of a query replays the hands."""
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 30))
+    try:
+        return made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("player is not in the hand")
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", before)
+
+
+def test_leaked_cards_replay_once(spark):
+    """The cards of the hand come along with its trajectories, so nothing is replayed again and joined."""
+    assert _folds(spark, hand_queries.leaked_cards) == 1
+
+
+def test_steps_of_the_fold_copy_nothing(spark):
+    """Only the state that the fold starts from is cast as a whole: a cast in a step copies all events before it."""
+    end = replay.replay(hand_queries.hands(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().analyzed().toString()
+    assert end.count("as struct<error:string,stacks") <= 1
+
+
+def test_odd_actions(spark):
+    """What is no action stays none, whatever letters it begins with."""
+    said = ["p1 f", "p1 f x", "p2 cc", "p12 cbr 20.5", "p1 cbr -3", "p1 cbr", "p1 cbr 1 2", "p1 xcbr 5", "p3 sm AsKd", "p3 k-x", "p3 km", "d dh p1 AsKd", "d dh p1 AsK", "d dh p1 As Kd", "d dh px AsKd", "d db AsKdQc", "d db ", "x", "", None]
+    found = spark.createDataFrame([(said,)], "a array<string>").select(replay.parse_actions(F.col("a")).alias("p")).first().p
+    assert [x.op for x in found] == ["f", None, "cc", "cbr", None, None, None, None, "show", "show", None, "hole", None, None, None, "board", None, None, None, None]
+    assert [found[i].player for i in (0, 2, 3, 8, 11, 15)] == [0, 1, 11, 2, 0, None] and str(found[3].amount) == "20.5000" and found[15].cards == ["As", "Kd", "Qc"]
