@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import decisions, scoring, vocabulary
 from .operators import artifacts, batches, census, evaluation, manifest as headers, metric_sums, metrics, prefixes, replay, selection, sequences, trajectories
 from .operators.once import once
+from .operators.steps import materialize
 from .queries import _bucket_sql, query, table
 from .sources import native
 
@@ -483,6 +484,8 @@ SELECT k AS hand, hero, e::INTEGER AS length, coalesce(n, 0) AS seen FROM prefix
 def novelty_decision_prefixes(spark, sf_dir):
     """How many trajectories of train hands begin as each decision of the other hands does."""
     found = _trajectories(spark, sf_dir).where("error is null").select(F.col("hand_key").cast("long").alias("hand"), (F.col("hero") + 1).cast("long").alias("hero"), "tokens")
+    # train hands and others are read several times below, but replayed here alone
+    found = materialize(found, "novelty-trajectories")
     ends = F.filter(F.transform("tokens", lambda t, i: F.when(t == MARKER, i + 1)), lambda x: x.isNotNull())
     train, others = found.where("hand % 5 <> 0"), found.where("hand % 5 = 0")
     return prefixes.prefix_counts(others, train, ["hand", "hero"], "tokens", ends).select("hand", "hero", F.col("k").alias("length"), F.col("n").alias("seen"))

@@ -172,3 +172,8 @@ def test_odd_actions(spark):
     found = spark.createDataFrame([(said,)], "a array<string>").select(replay.parse_actions(F.col("a")).alias("p")).first().p
     assert [x.op for x in found] == ["f", None, "cc", "cbr", None, None, None, None, "show", "show", None, "hole", None, None, None, "board", None, None, None, None]
     assert [found[i].player for i in (0, 2, 3, 8, 11, 15)] == [0, 1, 11, 2, 0, None] and str(found[3].amount) == "20.5000" and found[15].cards == ["As", "Kd", "Qc"]
+
+
+def test_novelty_replays_once(spark):
+    """Hands are replayed where their trajectories are written; the plan reads these."""
+    assert _folds(spark, hand_queries.novelty_decision_prefixes) == 0
