@@ -177,3 +177,19 @@ def test_odd_actions(spark):
 def test_novelty_replays_once(spark):
     """Hands are replayed where their trajectories are written; the plan reads these."""
     assert _folds(spark, hand_queries.novelty_decision_prefixes) == 0
+
+
+def test_places_of_a_sequence_are_found_once(spark):
+    """Checks of a sequence share one pass for its decisions, reveals and targets, and judge odd masks as before."""
+    from replayframe.operators import artifacts
+
+    good = "<BOS> POSITION_UTG <PLAYER_1_DECISION> PLAYER_1_HOLE_CARDS CARD_As CARD_Kd POT_SIZE_BB RANGE_ZERO TO_CALL_BB RANGE_ZERO PLAYER_2 ACTION_FOLD <EOS>".split()
+    mask = [0] * 11 + [1, 0]
+    rows = [(0, good, mask), (1, good, [*mask[:11], 2, 0]), (2, good, [*mask[:11], None, 0]), (3, [], []), (4, good, [*mask[:10], 1, 1, 0]), (5, [*good[:2], *good[3:]], [*mask[:2], *mask[3:]]), (6, None, None)]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>, loss_mask array<tinyint>").withColumns({"ids": vocabulary.ids(F.col("tokens")), "split": F.col("k").cast("string")})
+    found = artifacts.violations(df, F.col("k"))
+    assert found._jdf.queryExecution().analyzed().toString().count("sequence(0, ") <= 1
+    by = {k: sorted(r.violated for r in found.collect() if r.example == k) for k in range(7)}
+    count = "decision_and_target_counts"
+    assert by[0] == [] and by[1] == [count, "mask_value", "no_target", "targets_of_a_decision"] and by[2] == [count, "no_target"] and by[3] == ["no_decision", "no_position", "no_target"]
+    assert by[4] == [count, "odd_target", "targets_of_a_decision"] and by[5] == [count, "no_decision"] and by[6] == ["no_position"]
