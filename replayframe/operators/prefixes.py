@@ -63,8 +63,9 @@ def prefix_counts(asked: DataFrame, stored: DataFrame, key: list[str], items: st
         return each.select(*key, *more, *[F.col(p + "at")[c[len(p) :]].alias(c) for c in at])
 
     prefix = F.slice(F.col(p + "items"), F.lit(1), F.col(p + "at")["k"])
-    there = rows(stored).join(rows(asked).select(*at).distinct(), at, "left_semi")
-    counts = materialize(there.groupBy(*at).agg(F.count("*").alias(p + "n"), F.min(own).alias(p + "one")), "prefix-counts")
+    # counted before they meet what is asked, so that a prefix of many sequences isn't gathered in one task
+    there = rows(stored).groupBy(*at).agg(F.count("*").alias(p + "n"), F.min(own).alias(p + "one"))
+    counts = materialize(there.join(rows(asked).select(*at).distinct(), at), "prefix-counts")
     sample = rows(stored, own.alias(p + "one"), prefix.alias(p + "sample")).select(p + "one", p + "sample", *at)
     counts = counts.join(sample, [p + "one", *at]).dropDuplicates(at)
     met = rows(asked, prefix.alias(p + "prefix")).join(counts, at, "left")

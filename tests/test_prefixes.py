@@ -39,3 +39,13 @@ def test_a_key_that_stands_twice(spark):
     stored = spark.createDataFrame([(3, [x, "b"]) for x in "acdefgh"], schema)
     got = prefixes.prefix_counts(spark.createDataFrame([(k, [x, "b"]) for k, x in enumerate("acdefgh")], schema), stored, ["id"], "items", ends)
     assert [r.n for r in got.collect()] == [1] * 7
+
+
+def test_a_common_prefix_is_counted_before_it_is_joined(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(prefixes, "materialize", lambda df, name: written.append(df) or df)
+    df = spark.createDataFrame([(k, ["a", "b"]) for k in range(9)], "id int, items array<string>")
+    got = prefixes.prefix_counts(df.where("id < 2"), df, ["id"], "items", F.array(F.lit(2)))
+    assert [r.n for r in got.collect()] == [9, 9]
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan[plan.index("Join ") :]
